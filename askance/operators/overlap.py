@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -19,15 +20,14 @@ def _gram_counts(rows: DataFrame, keys: list[str], pred: Column, gold: Column, o
     """(keys, n, gram, in_pred, in_gold)."""
     tokens = rows.select(*keys, pred.alias("_p"), gold.alias("_g"))
 
+    def tagged(side: str, n: int, is_pred: int) -> Column:
+        return F.transform(
+            tx.ngrams(F.col(side), n),
+            lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram"), F.lit(is_pred).alias("p")),
+        )
+
     def listed(side: str, is_pred: int) -> Column:
-        grams = [
-            F.transform(
-                tx.ngrams(F.col(side), n),
-                lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(is_pred).alias("p")),
-            )
-            for n in orders
-        ]
-        return F.concat(*grams) if len(grams) > 1 else grams[0]
+        return F.concat(*[tagged(side, n, is_pred) for n in orders])
 
     both = F.concat(listed("_p", 1), listed("_g", 0))
     return (
@@ -135,13 +135,13 @@ def lcs_members(gold: list[str], pred: list[str]) -> set[int]:
     return found
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _union_lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Summary-level hits: for each gold line the union of its common subsequences with every
     predicted line, each token used at most as often as either text holds it."""

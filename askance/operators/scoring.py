@@ -120,13 +120,20 @@ def scorer_named(name: str) -> PairScorer:
     return SCORERS[name]
 
 
-def _mean_absent(sentence: Column, sample_tris: Column) -> Column:
+def _mean_absent(sentence: Column, counted: Column) -> Column:
+    """Mean absent share over ``counted``: STRUCT(text, copies) per distinct sample."""
+
     def over(t: Column) -> Column:
         absent = F.aggregate(
-            sample_tris, F.lit(0).cast("bigint"), lambda acc, s: acc + F.size(F.array_except(t, s)).cast("bigint")
+            counted,
+            F.lit(0).cast("bigint"),
+            lambda acc, s: acc
+            + s["copies"] * F.when(F.contains(s["text"], F.lower(sentence)), 0).otherwise(
+                F.size(F.filter(t, lambda x: ~F.contains(s["text"], x)))
+            ),
         )
-        total = (F.size(t) * F.size(sample_tris)).cast("double")
-        return F.coalesce(F.try_divide(absent.cast("double"), total), nan())
+        samples = F.aggregate(counted, F.lit(0).cast("bigint"), lambda acc, s: acc + s["copies"])
+        return F.coalesce(F.try_divide(absent.cast("double"), (F.size(t) * samples).cast("double")), nan())
 
     return tx.let(tx.trigrams(sentence), over)
 
@@ -135,15 +142,21 @@ def score_nested(rows: DataFrame) -> DataFrame:
     """Add sentences, sentence scores and their mean to rows that hold passage and samples.
 
     The generator returns a fixed number of samples per question, so the row stays small and
-    the whole step is a projection: no shuffle.
+    the whole step is a projection: no shuffle. A sample drawn several times is searched once.
     """
     split = rows.withColumn("passage_sentences", tx.sentences(F.col("passage")))
+    counted = tx.let(
+        F.transform("samples", F.lower),
+        lambda low: F.transform(
+            F.array_distinct(low),
+            lambda d: F.struct(
+                d.alias("text"), F.size(F.filter(low, lambda x: x == d)).cast("bigint").alias("copies")
+            ),
+        ),
+    )
     scored = split.withColumn(
         "sentence_scores",
-        tx.let(
-            F.transform("samples", tx.trigrams),
-            lambda tris: F.transform("passage_sentences", lambda s: _mean_absent(s, tris)),
-        ),
+        tx.let(counted, lambda c: F.transform("passage_sentences", lambda s: _mean_absent(s, c))),
     )
     return _with_average(scored)
 
