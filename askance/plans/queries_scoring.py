@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as tx
 from ..operators import generate as g
-from ..operators import prompts, report, routing, scoring
+from ..operators import cluster, report, routing, scoring
 from ..sources import store
 from ..sources import tables as t
 from . import runs, views
@@ -131,6 +131,14 @@ def slc_score(spark, sf):
     return rounded(rep.select("run_id", "self_learning_capability_score"), ["self_learning_capability_score"])
 
 
+@query("curiosity_cluster")
+def curiosity_cluster(spark, sf):
+    """The report per turn number, whose runs have more than ten distinct questions: the cluster way."""
+    scored = views.scored(spark, sf).withColumn("run_id", F.col("turn").cast("string"))
+    counts = cluster.cluster_counts(cluster.labels(cluster.question_points(scored)))
+    return rounded(report.run_report(scored, counts), _ROUNDED)
+
+
 _METRICS = ["knowledge_limit_awareness_score", "brevity_coefficient"]
 
 

@@ -1,11 +1,14 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FALLBACK: dict[str, str] = {}
+
 
 def local_session(app: str = "askance", cores: int | str = 8, partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the bench. Clusters bring their own."""
@@ -14,36 +17,39 @@ def local_session(app: str = "askance", cores: int | str = 8, partitions: int =
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local-mode session that names none gets a scratch folder; elsewhere an unset
-    folder is an error, since a machine-local folder dies with its machine.
+    Only a local-mode session that names none gets a scratch folder; elsewhere an unset folder is
+    an error, since a machine-local folder dies with its machine.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="askance-ckpt-"))
-    else:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _FALLBACK.setdefault("folder", tempfile.mkdtemp(prefix="askance-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared checkpoint folder and go on from the stored rows."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the stored table.
+
+    A table rather than ``checkpoint``: a checkpointed plan keeps the size estimate of the plan it
+    came from, and over rounds of joins those estimates multiply without end.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
