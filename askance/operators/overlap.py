@@ -1,11 +1,13 @@
 """Text-against-reference measures: BLEU, ROUGE, exact match and F1, accuracy.
 
-Multiset overlaps are grouped counts per (row, n-gram), one side's count and the other's in the
-same aggregate, so a long text spreads over tasks and no pair of texts is compared in Python.
+A prediction and its reference sit in one row, so their common n-grams are counted in the row, in
+Arrow batches: nothing moves but the few sums per row. Counting them by grouping on the n-gram
+would shuffle every n-gram of every text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,57 +18,55 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 
 
-def _gram_counts(rows: DataFrame, keys: list[str], pred: Column, gold: Column, orders: list[int]) -> DataFrame:
-    """(keys, n, gram, in_pred, in_gold)."""
-    tokens = rows.select(*keys, pred.alias("_p"), gold.alias("_g"))
+def clipped_hits(pred: list[str], gold: list[str], n: int) -> int:
+    """Common n-grams, each as often as the side that has it less."""
+    mine, theirs = (Counter(zip(*(tokens[i:] for i in range(n)))) for tokens in (pred, gold))
+    if len(mine) > len(theirs):
+        mine, theirs = theirs, mine
+    return sum(min(times, theirs[gram]) for gram, times in mine.items() if gram in theirs)
 
-    def tagged(side: str, n: int, is_pred: int) -> Column:
-        return F.transform(
-            tx.ngrams(F.col(side), n),
-            lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram"), F.lit(is_pred).alias("p")),
-        )
 
-    def listed(side: str, is_pred: int) -> Column:
-        return F.concat(*[tagged(side, n, is_pred) for n in orders])
+def _hits(pred: Column, gold: Column, order: int) -> Column:
+    """ARRAY<BIGINT>: the common n-grams for n = 1..order."""
 
-    both = F.concat(listed("_p", 1), listed("_g", 0))
-    return (
-        tokens.select(*keys, F.inline(both))
-        .groupBy(*keys, "n", "gram")
-        .agg(F.sum("p").alias("in_pred"), F.sum(1 - F.col("p")).alias("in_gold"))
-    )
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for preds, golds in batches:
+            rows = [(list(p), list(g)) for p, g in zip(preds, golds)]
+            yield pd.Series([[clipped_hits(p, g, n) for n in range(1, order + 1)] for p, g in rows])
+
+    return count(pred, gold)
+
+
+def _grams(tokens: Column, n: int) -> Column:
+    return F.greatest(F.size(tokens) - (n - 1), F.lit(0))
 
 
-def bleu(rows: DataFrame, keys: list[str], pred: str = "prediction", gold: str = "reference", order: int = 4, run: list[str] | None = None) -> DataFrame:
+def bleu(rows: DataFrame, run: list[str] | None = None, pred: str = "prediction", gold: str = "reference", order: int = 4) -> DataFrame:
     """Corpus BLEU per run: score, the four precisions, brevity penalty, length ratio, lengths."""
     run = run or []
-    p, g = tx.bleu_tokens(F.col(pred)), tx.bleu_tokens(F.col(gold))
-    counts = _gram_counts(rows, [*run, *keys], p, g, list(range(1, order + 1)))
-    sums = []
-    for n in range(1, order + 1):
-        here = F.col("n") == n
-        sums += [
-            F.coalesce(F.sum(F.when(here, F.least("in_pred", "in_gold"))), F.lit(0)).alias(f"m{n}"),
-            F.coalesce(F.sum(F.when(here, F.col("in_pred"))), F.lit(0)).alias(f"t{n}"),
-        ]
-    sums.append(F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("in_gold"))), F.lit(0)).alias("reference_length"))
-    total = counts.groupBy(*run).agg(*sums)
-    for n in range(1, order + 1):
-        total = total.withColumn(
-            f"precision_{n}", F.coalesce(F.try_divide(F.col(f"m{n}").cast("double"), F.col(f"t{n}").cast("double")), F.lit(0.0))
-        )
-    logs = sum((F.ln(f"precision_{n}") for n in range(2, order + 1)), F.ln("precision_1"))
-    worst = F.least(*[F.col(f"precision_{n}") for n in range(1, order + 1)])
-    ratio = F.try_divide(F.col("t1").cast("double"), F.col("reference_length").cast("double"))
-    total = total.withColumn("length_ratio", ratio).withColumn("translation_length", F.col("t1"))
-    penalty = F.when(F.col("length_ratio") > 1, F.lit(1.0)).when(
-        F.col("length_ratio") > 0, F.exp(1 - 1 / F.col("length_ratio"))
-    ).otherwise(F.lit(0.0))
+    orders = range(1, order + 1)
+    tokens = rows.select(*run, tx.bleu_tokens(F.col(pred)).alias("_p"), tx.bleu_tokens(F.col(gold)).alias("_g"))
+    counted = tokens.select(
+        *run, _hits(F.col("_p"), F.col("_g"), order).alias("_m"), F.size("_g").alias("_ng"),
+        *[_grams(F.col("_p"), n).alias(f"_t{n}") for n in orders],
+    )
+    total = counted.groupBy(*run).agg(
+        *[F.sum(F.get("_m", n - 1)).cast("double").alias(f"m{n}") for n in orders],
+        *[F.sum(f"_t{n}").alias(f"t{n}") for n in orders],
+        F.sum("_ng").alias("reference_length"),
+    )
+    shares = {f"precision_{n}": F.coalesce(F.try_divide(F.col(f"m{n}"), F.col(f"t{n}").cast("double")), F.lit(0.0)) for n in orders}
+    total = total.withColumns(shares).withColumn("translation_length", F.col("t1")).withColumn(
+        "length_ratio", F.try_divide(F.col("t1").cast("double"), F.col("reference_length").cast("double"))
+    )
+    ratio = F.col("length_ratio")
+    penalty = F.when(ratio > 1, F.lit(1.0)).when(ratio > 0, F.exp(1 - 1 / ratio)).otherwise(F.lit(0.0))
+    logs = sum((F.ln(f"precision_{n}") for n in orders[1:]), F.ln("precision_1"))
+    geometric = F.when(F.least(*shares) > 0, F.exp(logs / order)).otherwise(F.lit(0.0))
     total = total.withColumn("brevity_penalty", penalty)
-    geometric = F.when(worst > 0, F.exp(logs / order)).otherwise(F.lit(0.0))
     return total.withColumn("bleu", geometric * F.col("brevity_penalty")).select(
-        *run, "bleu", *[f"precision_{n}" for n in range(1, order + 1)], "brevity_penalty", "length_ratio",
-        "translation_length", "reference_length",
+        *run, "bleu", *shares, "brevity_penalty", "length_ratio", "translation_length", "reference_length"
     )
 
 
@@ -76,18 +76,12 @@ def f_measure(hits: Column, in_pred: Column, in_gold: Column) -> Column:
 
 
 def rouge_n(rows: DataFrame, keys: list[str], pred: str = "prediction", gold: str = "reference") -> DataFrame:
-    """(keys, rouge1, rouge2) per row, also for rows with no token at all."""
-    counts = _gram_counts(rows, keys, tx.rouge_tokens(F.col(pred)), tx.rouge_tokens(F.col(gold)), [1, 2])
-    scores = []
-    for n in (1, 2):
-        here = F.col("n") == n
-        hits = F.coalesce(F.sum(F.when(here, F.least("in_pred", "in_gold"))), F.lit(0))
-        p = F.coalesce(F.sum(F.when(here, F.col("in_pred"))), F.lit(0))
-        g = F.coalesce(F.sum(F.when(here, F.col("in_gold"))), F.lit(0))
-        scores.append(f_measure(hits, p, g).alias(f"rouge{n}"))
-    per = counts.groupBy(*keys).agg(*scores)
-    return rows.select(*keys).join(per, keys, "left").select(
-        *keys, *[F.coalesce(f"rouge{n}", F.lit(0.0)).alias(f"rouge{n}") for n in (1, 2)]
+    """(keys, rouge1, rouge2) per row."""
+    tokens = rows.select(*keys, tx.rouge_tokens(F.col(pred)).alias("_p"), tx.rouge_tokens(F.col(gold)).alias("_g"))
+    counted = tokens.withColumn("_m", _hits(F.col("_p"), F.col("_g"), 2))
+    return counted.select(
+        *keys,
+        *[f_measure(F.get("_m", n - 1), _grams(F.col("_p"), n), _grams(F.col("_g"), n)).alias(f"rouge{n}") for n in (1, 2)],
     )
 
 
@@ -198,21 +192,26 @@ def rouge_l(rows: DataFrame, keys: list[str], pred: str = "prediction", gold: st
 
 def squad(rows: DataFrame, key: str, pred: str = "prediction", golds: str = "answers") -> DataFrame:
     """(key, exact_match, f1) on a 0..1 scale: the best over the row's gold answers."""
-    long = rows.select(key, F.col(pred).alias("_pred"), F.posexplode(golds).alias("gold_idx", "_gold"))
-    p, g = tx.answer_tokens(F.col("_pred")), tx.answer_tokens(F.col("_gold"))
-    tokens = long.select(key, "gold_idx", p.alias("_p"), g.alias("_g")).withColumn(
-        "exact", (F.col("_p") == F.col("_g")).cast("double")
-    )
-    counts = _gram_counts(tokens, [key, "gold_idx", "exact"], F.col("_p"), F.col("_g"), [1])
-    per = counts.groupBy(key, "gold_idx").agg(
-        F.max("exact").alias("exact"),
-        f_measure(F.sum(F.least("in_pred", "in_gold")), F.sum("in_pred"), F.sum("in_gold")).alias("f1"),
-    )
-    # rows where both sides normalise to nothing have no token rows: they match exactly, with F1 0
-    empty = tokens.filter((F.size("_p") == 0) & (F.size("_g") == 0)).select(
-        key, "gold_idx", F.lit(1.0).alias("exact"), F.lit(0.0).alias("f1")
+    tokens = rows.select(
+        key, tx.answer_tokens(F.col(pred)).alias("_p"), F.transform(golds, tx.answer_tokens).alias("_gs")
     )
-    return per.unionByName(empty).groupBy(key).agg(F.max("exact").alias("exact_match"), F.max("f1").alias("f1"))
+    exact = F.exists("_gs", lambda g: g == F.col("_p")).cast("double").alias("exact_match")
+    return tokens.select(key, exact, _best_f1(F.col("_p"), F.col("_gs")).alias("f1"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _best_f1(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for preds, golds in batches:
+        out = []
+        for pred, answers in zip(preds, golds):
+            p = list(pred)
+            best = 0.0
+            for answer in answers:
+                g = list(answer)
+                hits = clipped_hits(p, g, 1)
+                best = max(best, 2 * hits / (len(p) + len(g)) if hits else 0.0)
+            out.append(best)
+        yield pd.Series(out, dtype="float64")
 
 
 def accuracy(predicted: Column, label: Column) -> Column:

@@ -14,9 +14,9 @@ SMOOTHING = 0.1
 
 @dataclass(frozen=True)
 class PairModel:
-    """Counts of word pairs and of first words, and the vocabulary size."""
+    """Counts of word pairs with those of their first words, and the vocabulary size."""
 
-    pairs: DataFrame  # w1, w2, c
+    pairs: DataFrame  # w1, w2, c, c1
     firsts: DataFrame  # w1, c1
     vocabulary: Column
 
@@ -25,40 +25,39 @@ class PairModel:
         return -F.ln((F.coalesce(c, F.lit(0)) + k) / (F.coalesce(c1, F.lit(0)) + k * self.vocabulary))
 
 
-def _pairs(text: Column) -> Column:
-    return tx.let(
-        tx.words(text),
-        lambda w: F.when(F.size(w) < 2, F.array().cast("array<struct<w1:string,w2:string>>")).otherwise(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))),
-                lambda i: F.struct(F.get(w, i).alias("w1"), F.get(w, i + 1).alias("w2")),
-            )
-        ),
-    )
+def _pairs(texts: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, w1, w2): each word with the one after it."""
+    listed = texts.select(*keep, tx.words(F.col(text)).alias("_w"))
+    zipped = F.arrays_zip(F.col("_w").alias("w1"), F.slice("_w", F.lit(2), F.size("_w")).alias("w2"))
+    return listed.select(*keep, F.inline(zipped)).filter(F.col("w2").isNotNull())
 
 
 def fit(corpus: DataFrame, text: str = "text") -> PairModel:
-    pairs = corpus.select(F.inline(_pairs(F.col(text)))).groupBy("w1", "w2").agg(F.count("*").alias("c"))
-    firsts = pairs.groupBy("w1").agg(F.sum("c").alias("c1"))
+    counts = _pairs(corpus, text).groupBy("w1", "w2").agg(F.count("*").alias("c"))
+    firsts = counts.groupBy("w1").agg(F.sum("c").alias("c1"))
     words = corpus.select(F.explode(tx.words(F.col(text))).alias("w")).distinct()
-    return PairModel(pairs, firsts, words.agg(F.count("*").alias("v")).scalar())
+    return PairModel(counts.join(firsts, "w1"), firsts, words.agg(F.count("*").alias("v")).scalar())
 
 
-def perplexities(texts: DataFrame, key: str, model: PairModel, text: str = "text") -> DataFrame:
+def perplexities(texts: DataFrame, key: str, model: PairModel, text: str = "text", in_corpus: bool = False) -> DataFrame:
     """(key, chars, words, nll, token_ppl, char_ppl, word_ppl) for texts of two words or more.
 
-    The first word is context only. Each text's repeated pairs are counted before the joins; a
-    frequent pair is then many rows on the text side and one on the model side, which adaptive
-    execution splits.
+    The first word is context only. A frequent pair is many rows on the text side and one on the
+    model side, a join adaptive execution splits. With ``in_corpus`` the texts are part of what the
+    model was counted on, so every pair is known and the second join falls away.
     """
     lengths = texts.select(
         key,
         F.length(tx.strip(F.col(text))).cast("bigint").alias("chars"),
         F.size(tx.words(F.col(text))).cast("bigint").alias("words"),
     ).filter(F.col("words") >= 2)
-    own = texts.select(key, F.inline(_pairs(F.col(text)))).groupBy(key, "w1", "w2").agg(F.count("*").alias("times"))
-    costed = own.join(model.pairs, ["w1", "w2"], "left").join(model.firsts, "w1", "left")
-    nll = costed.groupBy(key).agg(F.sum(F.col("times") * model.nll(F.col("c"), F.col("c1"))).alias("nll"))
+    own = _pairs(texts, text, key)
+    if in_corpus:
+        costed = own.join(model.pairs, ["w1", "w2"])
+    else:
+        known = own.join(model.pairs.select("w1", "w2", "c"), ["w1", "w2"], "left")
+        costed = known.join(model.firsts, "w1", "left")
+    nll = costed.groupBy(key).agg(F.sum(model.nll(F.col("c"), F.col("c1"))).alias("nll"))
     return lengths.join(nll, key).select(
         key, "chars", "words", "nll",
         F.exp(F.col("nll") / (F.col("words") - 1)).alias("token_ppl"),

@@ -56,18 +56,15 @@ def lexical_search(pages: DataFrame, links: int = LINKS) -> Search:
     return search
 
 
-def _overlap(sentence: Column, asked: Column) -> Column:
-    return F.size(F.array_intersect(asked, tx.lexical_tokens(sentence)))
-
-
-def best_sentence(prompt: Column, sentences: Column) -> Column:
+def best_sentence(prompt: Column, sentences: Column, tokens: Column) -> Column:
     """STRUCT(text, score): the page sentence with most of the prompt's distinct words, the earliest
-    on a tie; the score is the share of those words. NULL text when nothing is shared."""
+    on a tie; the score is the share of those words. NULL text when nothing is shared.
+
+    ``tokens`` holds each sentence's words, made once per page."""
 
     def over(asked: Column) -> Column:
-        counts = F.transform(sentences, lambda s: _overlap(s, asked))
         return tx.let(
-            counts,
+            F.transform(tokens, lambda t: F.size(F.array_intersect(asked, t))),
             lambda c: F.struct(
                 F.when(F.array_max(c) > 0, F.get(sentences, (F.array_position(c, F.array_max(c)) - 1).cast("int"))).alias("text"),
                 F.coalesce(F.try_divide(F.array_max(c).cast("double"), F.size(asked).cast("double")), F.lit(0.0)).alias("score"),
@@ -85,7 +82,7 @@ def lead_summary(text: Column, longest: int = fixed.SUMMARY_MAX_WORDS) -> Column
 def curate(questions: DataFrame, pages: DataFrame, search: Search) -> DataFrame:
     """One row per (question, linked page) with answer, summary, text and score.
 
-    Sentences are split once per page, before the join; rows without an answer stay here with a
+    Sentences and their words are made once per page, before the join; rows without an answer stay here with a
     NULL ``answer_text`` and are taken apart by ``succeeded`` / ``failed``.
     """
     links = search(questions).select("q_id", "page_id", "rank")
@@ -95,9 +92,9 @@ def curate(questions: DataFrame, pages: DataFrame, search: Search) -> DataFrame:
         "full_text",
         tx.sentences(F.col("full_text")).alias("_sentences"),
         lead_summary(F.col("full_text")).alias("summary_text"),
-    )
+    ).withColumn("_tokens", F.transform("_sentences", tx.lexical_tokens))
     rows = links.join(questions.select("q_id", "prompt"), "q_id").join(read, "page_id")
-    best = best_sentence(F.col("prompt"), F.col("_sentences"))
+    best = best_sentence(F.col("prompt"), F.col("_sentences"), F.col("_tokens"))
     return rows.withColumn("_best", best).select(
         "q_id", "page_id", "rank", "prompt",
         F.col("_best.text").alias("answer_text"),

@@ -29,7 +29,7 @@ _PPL = (
 
 def _perplexities(spark, sf):
     texts = suites.perplexity_texts(t.table(spark, sf, "documents").select("doc_id", "text"), sample=None, word_limit=None)
-    return perplexity.perplexities(texts, "doc_id", perplexity.fit(texts))
+    return perplexity.perplexities(texts, "doc_id", perplexity.fit(texts), in_corpus=True)
 
 
 @query(
@@ -108,7 +108,7 @@ _BLEU_SUMS = ", ".join(
     + ", round(bp, 6) AS brevity_penalty, round(ratio, 6) AS length_ratio, tl::BIGINT AS translation_length, rl::BIGINT AS reference_length FROM u",
 )
 def bleu(spark, sf):
-    out = overlap.bleu(_predicted(spark, sf), ["idx"], run=["run_id"])
+    out = overlap.bleu(_predicted(spark, sf), run=["run_id"])
     return rounded(out, ["bleu", "precision_1", "precision_2", "precision_3", "precision_4", "brevity_penalty", "length_ratio"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import judge, pairs, retrieval, tokens
+from ..session import cut_lineage
 from ..sources import tables as t
 from . import training
 from .queries_text import S_VERDICT_SCORE, s_page_text, s_token_ids
@@ -110,6 +111,11 @@ def pair_length_budget(spark, sf):
 # ---- pages --------------------------------------------------------------------------------
 
 
+def _pages(spark, sf):
+    """Pages parsed once and stored: search, reading and links all come back to them."""
+    return cut_lineage(t.pages(spark, sf))
+
+
 def _asked(spark, sf):
     return t.table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("prompt"))
 
@@ -127,7 +133,7 @@ _LINKS = (
 
 @query("retrieve_pages", f"WITH {_LINKS} SELECT q_id, page_id, url, rank, round(1.0 / df, 6)::DOUBLE AS score FROM ln JOIN pg USING (page_id)")
 def retrieve_pages(spark, sf):
-    return retrieval.lexical_search(t.pages(spark, sf))(_asked(spark, sf)).withColumn("score", r6("score"))
+    return retrieval.lexical_search(_pages(spark, sf))(_asked(spark, sf)).withColumn("score", r6("score"))
 
 
 _CURATED = (
@@ -149,7 +155,7 @@ _CURATED = (
     "full_text, source_url FROM cu",
 )
 def curate_pages(spark, sf):
-    pages = t.pages(spark, sf)
+    pages = _pages(spark, sf)
     found = retrieval.succeeded(retrieval.curate(_asked(spark, sf), pages, retrieval.lexical_search(pages)))
     return found.drop("rank").withColumn("answer_score", r6("answer_score"))
 
@@ -169,7 +175,7 @@ def curate_pages(spark, sf):
 def train_from_pages(spark, sf):
     asked = _asked(spark, sf)
     scored = asked.select("prompt", F.concat(tx.strip(F.col("prompt")), F.lit("...")).alias("passage"))
-    frame = training.from_pages(asked, t.pages(spark, sf), scored)
+    frame = training.from_pages(asked, _pages(spark, sf), scored)
     return frame.withColumn("answer_score", r6("answer_score")).select(
         "prompt", "answer_text", "answer_score", "source_url", "passage", "LLM_judge_relevance", "similarity_text", "similarity"
     )
