@@ -49,7 +49,9 @@ def sentences(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct lower-case character trigrams, empty for texts under three characters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
+    # one match per character; the second half of a two-unit character is no place to start
+    windows = F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(...))")
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), windows, F.lit(1)))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -18,8 +18,8 @@ from ..functions.text import let
 from ..functions.vectors import l1_normalize
 
 _OUT = "q_id bigint, term_id bigint, distance double"
-BROADCAST_QUERIES = 20_000
 BLOCK = 4_096
+BROADCAST_QUERIES = BLOCK
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -105,10 +105,10 @@ def _by_blocks(points: DataFrame, vocab: DataFrame, k: int, block: int) -> DataF
     n_t = max(1, -(-vocab.count() // block))
     left = points.select(
         "q_id", "vector", F.pmod(F.xxhash64("q_id"), F.lit(n_q)).alias("a"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).cast("bigint").alias("b"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_t - 1).cast("bigint"))).alias("b"),
     )
     right = vocab.select(
-        "term_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("bigint").alias("a"),
+        "term_id", "embedding", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("a"),
         F.pmod(F.xxhash64("term_id"), F.lit(n_t)).alias("b"),
     )
 

@@ -20,8 +20,13 @@ def from_pages(
     judge: j.Judge = j.lexical_judge,
     relevance: Callable[[Column, Column], Column] = j.lexical_relevance,
 ) -> DataFrame:
-    """Training frame from pages: search, read, clean, judge relevance, join passages, judge agreement."""
-    found = retrieval.curate(questions, pages, search or retrieval.lexical_search(pages))
+    """Training frame from pages: search, read, clean, judge relevance, join passages, judge agreement.
+
+    A question asked many times is searched once: its pages meet each of its passages, so rows grow
+    with the passages and not with their square.
+    """
+    once = questions.groupBy("prompt").agg(F.min("q_id").alias("q_id"))
+    found = retrieval.curate(once, pages, search or retrieval.lexical_search(pages))
     docs = retrieval.succeeded(found).select(
         "prompt", F.col("answer_score").cast("double").alias("answer_score"), "answer_text", "summary_text", "full_text", "source_url"
     )

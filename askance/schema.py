@@ -1,30 +1,23 @@
-"""Row shapes of the stored tables."""
+"""Row shapes of the stored tables, as DDL."""
 
-from pyspark.sql import types as T
-
-
-def _of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-RUN_CONFIG = _of(
-    "run_id string, model string, method string, temperature double, n int, batch_size int, seed int"
-)
-SCORED = _of(
+RUN_CONFIG = "run_id string, model string, method string, temperature double, n int, batch_size int, seed int"
+SCORED = (
     "run_id string, q_id bigint, topics string, prompt string, passage string, "
     "passage_sentences array<string>, samples array<string>, sentence_scores array<double>, "
     "average_score double, hallucinated boolean"
 )
-RUNS = _of(
+RUNS = (
     "run_id string, pretrained_model_name string, method string, curiosity_score double, "
     "knowledge_limit_awareness_score double, brevity_coefficient double, self_learning_capability_score double"
 )
-CURATED = _of(
-    "prompt string, answer_text string, summary_text string, full_text string, answer_score double, "
-    "source_url string"
-)
-PAIRS = _of("prompt string, chosen string, rejected string")
-METRICS = _of("run_id string, suite string, metric string, idx bigint, value double, text string")
-EVENTS = _of(
-    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+CURATED = (
+    "prompt string, answer_text string, summary_text string, full_text string, answer_score double, source_url string"
 )
+PREFERENCE_PAIRS = "prompt string, chosen string, rejected string"
+METRICS = "run_id string, suite string, metric string, idx bigint, value double, text string"
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+# evaluation sets
+TEXT_EVAL = "text string"
+INSTRUCTION_EVAL = "instruction string, input string, output string"
+READING_EVAL = "id string, question string, context string, answers struct<text: array<string>>"
+SENTIMENT_EVAL = "sentence string, label int"
