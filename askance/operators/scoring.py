@@ -78,13 +78,14 @@ def nan_mean(score: Column) -> Column:
     return F.coalesce(F.avg(F.when(~F.isnan(score), score)), nan())
 
 
-def passage_scores(passages: DataFrame, scores: DataFrame) -> DataFrame:
-    """(q_id, n_sentences, average_score) for every passage, also one without a sentence."""
+def passage_scores(passages: DataFrame, scores: DataFrame, *keep: str) -> DataFrame:
+    """(q_id, keep, n_sentences, average_score) for every passage, also one without a sentence."""
     per = scores.groupBy("q_id").agg(
         F.count("*").alias("n_sentences"), nan_mean(F.col("score")).alias("average_score")
     )
-    return passages.select("q_id").join(per, "q_id", "left").select(
+    return passages.select("q_id", *keep).join(per, "q_id", "left").select(
         "q_id",
+        *keep,
         F.coalesce("n_sentences", F.lit(0)).cast("bigint").alias("n_sentences"),
         F.coalesce("average_score", nan()).alias("average_score"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.vectors import hash_embedding
 from ..operators import generate as g
 from ..operators import neighbours, prompts, report, scoring
 from ..operators.order import with_position
@@ -88,6 +89,13 @@ def trending_run(topics: DataFrame, model: g.Model = g.BASELINE, prompt_mode: st
     return answer_and_score(asked, model, prompt_mode)
 
 
+def with_embeddings(scored: DataFrame, embed=hash_embedding) -> DataFrame:
+    """Add the optional ``topics_embedding`` and ``prompt_embedding`` of a scored question."""
+    return scored.withColumns(
+        {"topics_embedding": embed(F.col("topics")), "prompt_embedding": embed(F.col("prompt"))}
+    )
+
+
 def run_records(scored: DataFrame, config: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """Stored run rows: the report with the run's model and method. ``config`` has one row per run."""
     rep = report.run_report(scored, clusters)

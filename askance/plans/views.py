@@ -24,6 +24,6 @@ def sentence_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """(q_id, conv_id, turn, prompt, passage, n_sentences, average_score, hallucinated, part_ord)."""
-    rows = passages(spark, folder).drop("pool_id")
-    scores = scoring.passage_scores(rows, sentence_scores(spark, folder))
-    return scoring.split(rows.join(scores, "q_id"))
+    rows = passages(spark, folder)
+    scores = sentence_scores(spark, folder)
+    return scoring.split(scoring.passage_scores(rows, scores, "conv_id", "turn", "prompt", "passage"))

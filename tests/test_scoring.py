@@ -155,3 +155,35 @@ def test_before_after_and_rescore(spark):
     assert (r["n"], r["mean_before"], r["mean_after"], r["mean_delta"]) == (2, 0.75, 0.0, -0.75)
     hooked = suites.rescore(asked, g.BASELINE, scorer="trigram").collect()
     assert {x["after"] for x in hooked} == {0.0}
+
+
+def test_run_records_and_embeddings(spark):
+    its = spark.range(3).select(F.lit("r").alias("run_id"), F.col("id").alias("q_id"))
+    scored = runs.open_run(its)
+    config = spark.createDataFrame([("r", None, "open")], "run_id string, model string, method string")
+    rec = runs.run_records(scored, config).first()
+    assert rec["pretrained_model_name"] is None and rec["method"] == "open" and rec["brevity_coefficient"] is not None
+    row = runs.with_embeddings(scored).first()
+    assert len(row["topics_embedding"]) == len(row["prompt_embedding"]) == 64
+
+
+def test_one_conversation_with_a_third_of_all_rows(spark, tmp_path):
+    import numpy as np
+    from oracle_compare import compare
+
+    import duckdb
+    from askance.plans.catalog import CHECKS, QUERIES
+
+    rng = np.random.default_rng(4)
+    words = ["red", "fox", "ran", "home", "to", "eat", "a", "plum"]
+    text = lambda: " ".join(rng.choice(words, 6)) + ". " + " ".join(rng.choice(words, 3)) + "!"
+    rows = [(0, i, "user" if i % 2 == 0 else "assistant", text()) for i in range(160)]
+    rows += [(1 + i // 4, i % 4, "user" if i % 2 == 0 else "assistant", text()) for i in range(320)]
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    for name in ("sentence_sample_pairs", "run_report", "nest_samples", "scan_qa_pairs", "curiosity_small"):
+        problem, _, n = compare(spark, con, str(tmp_path), QUERIES[name], CHECKS[name])
+        assert problem is None and n > 0, (name, problem)
