@@ -38,6 +38,7 @@ from .report import question_counts
 
 BLOCK = 2_048
 NEIGHBOURS = 5
+GROUP = fixed.MIN_CLUSTER_SIZE
 
 _LABELS = "run_id string, pid string, copies bigint, cluster string"
 
@@ -150,7 +151,7 @@ def label_block(pdf: pd.DataFrame) -> pd.DataFrame:
     reach = np.maximum(dist, np.maximum(core[:, None], core[None, :]))
     pids = pdf["pid"].tolist()
     edges = sorted(_tree(reach), key=lambda e: (e[0], *sorted((pids[e[1]], pids[e[2]]))))
-    label = _label(edges, copies, core, fixed.MIN_CLUSTER_SIZE)
+    label = _label(edges, copies, core, GROUP)
     first: dict[int, str] = {}
     for pid, c in zip(pids, label):
         first.setdefault(c, pid)
@@ -324,7 +325,7 @@ def _grow(points: DataFrame, tree: DataFrame, size: int) -> tuple[DataFrame, Dat
         )
 
 
-def tree_labels(points: DataFrame, tree: DataFrame, size: int = fixed.MIN_CLUSTER_SIZE) -> DataFrame:
+def tree_labels(points: DataFrame, tree: DataFrame, size: int = GROUP) -> DataFrame:
     """(run_id, pid, copies, cluster) from a spanning tree (run_id, w, u, v); ``points`` carry core."""
     home, comps = _grow(points, tree, size)
     big = comps.filter(F.col("born").isNotNull()).select("run_id", "comp", "born")

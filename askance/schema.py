@@ -16,6 +16,17 @@ CURATED = (
 PREFERENCE_PAIRS = "prompt string, chosen string, rejected string"
 METRICS = "run_id string, suite string, metric string, idx bigint, value double, text string"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+# input tables; declared so that opening one reads no footers
+TABLES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": EVENTS,
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}
 # evaluation sets
 TEXT_EVAL = "text string"
 INSTRUCTION_EVAL = "instruction string, input string, output string"
