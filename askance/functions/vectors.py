@@ -46,16 +46,13 @@ def hash_embedding(text: Column, dims: int = 64) -> Column:
     )
     zero = F.array_repeat(F.lit(0.0), dims)
 
-    def scaled(hits: Column) -> Column:
-        counts = F.transform(
+    def counted(hits: Column) -> Column:
+        return F.transform(
             F.sequence(F.lit(0), F.lit(dims - 1)),
             lambda d: F.size(F.filter(hits, lambda h: h == d)).cast("double"),
         )
-        return let(
-            counts,
-            lambda c: let(
-                l2_norm(c), lambda n: F.when(n == 0, zero).otherwise(F.transform(c, lambda x: x / n))
-            ),
-        )
 
-    return let(buckets, scaled)
+    def scaled(counts: Column) -> Column:
+        return let(l2_norm(counts), lambda n: F.when(n == 0, zero).otherwise(F.transform(counts, lambda x: x / n)))
+
+    return let(let(buckets, counted), scaled)

@@ -154,8 +154,10 @@ def _union_lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
             hits = 0
             for g in lines_g:
                 union: set[int] = set()
+                held = set(g)
                 for p in lines_p:
-                    union |= lcs_members(g, p)
+                    if not held.isdisjoint(p):
+                        union |= lcs_members(g, p)
                 for i in sorted(union):
                     t = g[i]
                     if left_g.get(t, 0) > 0 and left_p.get(t, 0) > 0:

@@ -26,17 +26,19 @@ class PairModel:
 
 
 def _pairs(texts: DataFrame, text: str, *keep: str) -> DataFrame:
-    """(keep, w1, w2): each word with the one after it."""
+    """(keep, w1, w2): each word with the one after it, NULL after a text's last word."""
     listed = texts.select(*keep, tx.words(F.col(text)).alias("_w"))
     zipped = F.arrays_zip(F.col("_w").alias("w1"), F.slice("_w", F.lit(2), F.size("_w")).alias("w2"))
-    return listed.select(*keep, F.inline(zipped)).filter(F.col("w2").isNotNull())
+    return listed.select(*keep, F.inline(zipped))
 
 
 def fit(corpus: DataFrame, text: str = "text") -> PairModel:
+    """One count of the corpus gives all three: every word is a first word once, so the number of
+    different first words is the vocabulary's size; last words add nothing to ``c1``."""
     counts = _pairs(corpus, text).groupBy("w1", "w2").agg(F.count("*").alias("c"))
-    firsts = counts.groupBy("w1").agg(F.sum("c").alias("c1"))
-    words = corpus.select(F.explode(tx.words(F.col(text))).alias("w")).distinct()
-    return PairModel(counts.join(firsts, "w1"), firsts, words.agg(F.count("*").alias("v")).scalar())
+    followed = F.col("w2").isNotNull()
+    firsts = counts.groupBy("w1").agg(F.coalesce(F.sum(F.when(followed, F.col("c"))), F.lit(0)).alias("c1"))
+    return PairModel(counts.filter(followed).join(firsts, "w1"), firsts, firsts.agg(F.count("*").alias("v")).scalar())
 
 
 def perplexities(texts: DataFrame, key: str, model: PairModel, text: str = "text", in_corpus: bool = False) -> DataFrame:
@@ -51,7 +53,7 @@ def perplexities(texts: DataFrame, key: str, model: PairModel, text: str = "text
         F.length(tx.strip(F.col(text))).cast("bigint").alias("chars"),
         F.size(tx.words(F.col(text))).cast("bigint").alias("words"),
     ).filter(F.col("words") >= 2)
-    own = _pairs(texts, text, key)
+    own = _pairs(texts, text, key).filter(F.col("w2").isNotNull())
     if in_corpus:
         costed = own.join(model.pairs, ["w1", "w2"])
     else:

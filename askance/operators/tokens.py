@@ -14,6 +14,13 @@ def token_ids(text: Column) -> Column:
     return F.transform(tx.words(text), tx.token_id)
 
 
+def fixed_rows(df: DataFrame, text: str, length: int = fixed.FIXED_TOKENS) -> DataFrame:
+    """Add ``n_tokens``, ``ids`` and ``mask``; only the words that stay are numbered."""
+    kept = F.transform(F.slice("_w", 1, length), tx.token_id)
+    out = df.withColumn("_w", tx.words(F.col(text))).withColumn("n_tokens", F.size("_w")).withColumn("_i", kept)
+    return out.withColumn("ids", fix_length(F.col("_i"), length)).withColumn("mask", fixed_mask(F.col("_i"), length)).drop("_w", "_i")
+
+
 def fix_length(ids: Column, length: int = fixed.FIXED_TOKENS, pad: int = 0) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(pad), length)), 1, length)
 

@@ -34,21 +34,21 @@ def _perplexities(spark, sf):
 
 @query(
     "perplexity_rows",
-    f"WITH {_PPL} SELECT doc_id, chars, words, " + ", ".join(f"round({c}, 6) AS {c}" for c in _PPL_COLUMNS) + " FROM pp",
+    f"WITH {_PPL} SELECT doc_id, chars, words, " + ", ".join(f"round({c}, 4) AS {c}" for c in _PPL_COLUMNS) + " FROM pp",
 )
 def perplexity_rows(spark, sf):
-    return rounded(_perplexities(spark, sf), _PPL_COLUMNS)
+    return _perplexities(spark, sf).withColumns({c: F.round(c, 4) for c in _PPL_COLUMNS})
 
 
 @query(
     "perplexity_means",
     f"WITH {_PPL} SELECT count(*) AS n_texts, "
-    + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ["chars", "words", *_PPL_COLUMNS])
+    + ", ".join(f"round(avg({c}), 4) AS mean_{c}" for c in ["chars", "words", *_PPL_COLUMNS])
     + " FROM pp",
 )
 def perplexity_means(spark, sf):
     out = perplexity.means(_perplexities(spark, sf))
-    return rounded(out, [c for c in out.columns if c.startswith("mean_")])
+    return out.withColumns({c: F.round(c, 4) for c in out.columns if c.startswith("mean_")})
 
 
 # ---- predictions: the question, then the answer's sentences in reverse ---------------------

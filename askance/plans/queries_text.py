@@ -317,13 +317,12 @@ def s_token_ids(x: str) -> str:
     "least(len(ids), 256)::INT AS mask_sum FROM i",
 )
 def fix_length_tokens(spark, sf):
-    rows = t.table(spark, sf, "documents").select("doc_id", tokens.token_ids(F.col("text")).alias("raw"))
-    mask = tokens.fixed_mask(F.col("raw"))
+    rows = tokens.fixed_rows(t.table(spark, sf, "documents").select("doc_id", "text"), "text")
     return rows.select(
         "doc_id",
-        F.size("raw").alias("n_tokens"),
-        F.array_join(tokens.fix_length(F.col("raw")).cast("array<string>"), " ").alias("ids"),
-        F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("mask_sum"),
+        "n_tokens",
+        F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"),
+        F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
     )
 
 
