@@ -28,7 +28,8 @@ _PPL = (
 
 
 def _perplexities(spark, sf):
-    texts = suites.perplexity_texts(t.table(spark, sf, "documents").select("doc_id", "text"), sample=None, word_limit=None)
+    documents = t.spread(t.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    texts = suites.perplexity_texts(documents, sample=None, word_limit=None)
     return perplexity.perplexities(texts, "doc_id", perplexity.fit(texts), in_corpus=True)
 
 
@@ -56,7 +57,7 @@ def perplexity_means(spark, sf):
 
 def _predicted(spark, sf):
     turned = F.array_join(F.reverse(tx.sentences(F.col("passage"))), "\n")
-    return t.qa_pairs(spark, sf).select(
+    return t.qa_pairs(spark, sf, spread_out=True).select(
         F.col("turn").cast("string").alias("run_id"), F.col("q_id").alias("idx"), "prompt",
         F.concat("prompt", F.lit("\n"), turned).alias("prediction"), F.col("passage").alias("reference"),
     )
@@ -155,7 +156,7 @@ def s_answer_tokens(x: str) -> str:
 )
 def squad_em_f1(spark, sf):
     golds = F.col("golds")
-    rows = t.qa_pairs(spark, sf).select("q_id", "prompt", tx.sentences(F.col("passage")).alias("golds"))
+    rows = t.qa_pairs(spark, sf, spread_out=True).select("q_id", "prompt", tx.sentences(F.col("passage")).alias("golds"))
     pred = F.when(F.length("prompt") % 2 == 0, F.col("prompt")).otherwise(F.concat(F.lit("The "), F.get(golds, 0), F.lit("!")))
     return rounded(overlap.squad(rows.select("q_id", pred.alias("prediction"), golds.alias("answers")), "q_id"), ["f1"])
 

@@ -317,7 +317,7 @@ def s_token_ids(x: str) -> str:
     "least(len(ids), 256)::INT AS mask_sum FROM i",
 )
 def fix_length_tokens(spark, sf):
-    rows = tokens.fixed_rows(t.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    rows = tokens.fixed_rows(t.spread(t.table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "text")
     return rows.select(
         "doc_id",
         "n_tokens",

@@ -10,12 +10,12 @@ from ..sources import tables as t
 
 
 def passages(spark: SparkSession, folder: str) -> DataFrame:
-    return t.qa_pairs(spark, folder).withColumn("pool_id", F.col("conv_id"))
+    return t.qa_pairs(spark, folder, spread_out=True).withColumn("pool_id", F.col("conv_id"))
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
     """The other answers of a conversation are a passage's samples."""
-    return t.answers(spark, folder).select(F.col("conv_id").alias("pool_id"), "text")
+    return t.spread(t.answers(spark, folder), "conv_id", "turn").select(F.col("conv_id").alias("pool_id"), "text")
 
 
 def sentence_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan with too few splits for the session's cores, spread over them by key.
+
+    For work that costs far more than its bytes suggest. A table of many files has splits enough
+    and is left as it is. Only for scans: asking a joined plan for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
 def stored(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stored run, frame or pair set with its declared schema."""
     return spark.read.schema(schema).parquet(path)
@@ -48,7 +58,7 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def qa_pairs(spark: SparkSession, folder: str) -> DataFrame:
+def qa_pairs(spark: SparkSession, folder: str, spread_out: bool = False) -> DataFrame:
     """Each user turn with the assistant turn right after it.
 
     An equi-join on (conversation, turn) rather than ``lead`` over the conversation: a very
@@ -57,7 +67,10 @@ def qa_pairs(spark: SparkSession, folder: str) -> DataFrame:
     following = answers(spark, folder).select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("passage")
     )
-    return questions(spark, folder).join(following, ["conv_id", "turn"]).select(
+    asked = questions(spark, folder)
+    if spread_out:
+        asked = spread(asked, "conv_id", "turn")
+    return asked.join(following, ["conv_id", "turn"]).select(
         "q_id", "conv_id", "turn", "prompt", "passage"
     )
 
@@ -114,7 +127,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Fetched pages as text; pages with no text yield no row."""
     text = tx.page_text(F.col("html"))
     return (
-        table(spark, folder, "pages")
+        spread(table(spark, folder, "pages"), "page_id")
         .select("page_id", "url", text.alias("full_text"))
         .filter(F.col("full_text") != fixed.MISSING_TEXT)
     )
