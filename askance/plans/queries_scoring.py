@@ -157,14 +157,18 @@ def metrics_long(spark, sf):
 
 @query(
     "router_rows",
-    f"WITH {SCORES}, n AS (SELECT count(DISTINCT hallucinated) AS n_classes FROM sc) SELECT q_id, "
+    f"WITH {SCORES} SELECT q_id, "
     "'<|user|>' || chr(10) || 'You are a student who is eager to learn about new things. ' || prompt || ' <|end|>' || chr(10) || "
-    "'<|assistant|>' || chr(10) AS prompt, hallucinated::INT AS label, md5(q_id::VARCHAR || ':42') AS shuffle_key, n_classes FROM sc, n",
+    "'<|assistant|>' || chr(10) AS prompt, hallucinated::INT AS label, md5(q_id::VARCHAR || ':42') AS shuffle_key FROM sc",
 )
 def router_rows(spark, sf):
     rows = routing.router_rows(views.scored(spark, sf), tx.render("microsoft/Phi-3-mini-4k-instruct"), fixed.EVAL_SEED)
-    n = routing.class_count(rows).scalar()
-    return rows.withColumn("n_classes", n).orderBy("shuffle_key")
+    return rows.orderBy("shuffle_key")
+
+
+@query("route_classes", f"WITH {SCORES} SELECT count(DISTINCT hallucinated) AS n_classes FROM sc")
+def route_classes(spark, sf):
+    return routing.class_count(routing.router_rows(views.scored(spark, sf), lambda p: p, fixed.EVAL_SEED))
 
 
 _AFTER = (
