@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "fresh_folder", "open_shared", "table", "tokenizer_path", "worker_state", "write_shared"]
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -90,3 +88,17 @@ def open_shared(path: str):
 
     files, inner = fs.FileSystem.from_uri(path)
     return files.open_input_file(inner)
+
+
+def groups(texts, size: int):
+    """(start, length) slices of some ``size`` bytes of text each, or one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield at, to - at
+        at = to

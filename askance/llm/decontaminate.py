@@ -139,14 +139,18 @@ def _scanner(text: Column, rows) -> Column:
     return scanned(text)
 
 
-@F.pandas_udf(_DIGEST)
-def _digests(n_words: pd.Series, hits: pd.Series) -> pd.DataFrame:
-    rows = []
-    for n, runs in zip(n_words, hits):
-        runs = [(r["item_id"], r["first"], r["last"]) for r in runs] if runs is not None else []
-        hit, items = covered(runs), sorted({r[0] for r in runs})
-        rows.append((hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
-    return pd.DataFrame(rows, columns=["n_hit", "n_items", "items_sha256", "contaminated"])
+def _digests(n_words: Column, hits: Column) -> Column:
+    @F.pandas_udf(_DIGEST)
+    def digested(counts: pd.Series, found: pd.Series) -> pd.DataFrame:
+        rows = []
+        for n, runs in zip(counts, found):
+            runs = [(r["item_id"], r["first"], r["last"]) for r in runs] if runs is not None else []
+            hit, items = covered(runs), sorted({r[0] for r in runs})
+            digest = hashlib.sha256(",".join(items).encode()).hexdigest()
+            rows.append((hit, len(items), digest, hit > 0 and 20 * hit >= n))
+        return pd.DataFrame(rows, columns=["n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return digested(n_words, hits)
 
 
 def contamination(
@@ -160,31 +164,35 @@ def contamination(
     windows; items given twice count once. Repeated documents come out as often as they came in. An empty
     benchmark leaves every document clean. Other columns are not looked at.
     """
-    slices = _slices(window_rows(bench, window), slice_windows)
-    if len(slices) == 1:
-        found = docs.select("doc_id", _scanner(F.col("text"), slices[0]).alias("f")).select("doc_id", "f.*")
-    else:
-        key = F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")
-        passes = None
-        for rows in slices:
-            one = docs.select("doc_id", key, _scanner(F.col("text"), rows).alias("f"))
-            one = one.select("doc_id", "key", F.explode("f.hits").alias("hit")).distinct()
-            passes = one if passes is None else passes.unionByName(one)
-        hits = passes.groupBy("doc_id", "key").agg(F.collect_set("hit").alias("hits"))
-        counted = docs.select(
-            F.col("doc_id").alias("id"), key.alias("text_key"), _counted(F.col("text")).alias("n_words")
-        )
-        found = counted.join(
-            hits, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")), "left"
-        ).select(F.col("id").alias("doc_id"), "n_words", F.coalesce("hits", F.array()).alias("hits"))
-    return found.select("doc_id", "n_words", "hits", _digests("n_words", "hits").alias("d")).select(
+    found = _found(docs, _slices(window_rows(bench, window), slice_windows))
+    digest = _digests(F.col("n_words"), F.col("hits")).alias("d")
+    return found.select("doc_id", "n_words", "hits", digest).select(
         "doc_id", "n_words", "hits", "d.n_hit", "d.n_items", "d.items_sha256", "d.contaminated"
     )
 
 
-@F.pandas_udf("bigint")
-def _counted(texts: pd.Series) -> pd.Series:
-    return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
+def _found(docs: DataFrame, slices: list) -> DataFrame:
+    """(doc_id, text_key, n_words, hits) per row; one pass over the texts for each slice."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key")
+    if len(slices) == 1:
+        return docs.select("doc_id", key, _scanner(F.col("text"), slices[0]).alias("f")).select("doc_id", "text_key", "f.*")
+    passes = None
+    for rows in slices:
+        one = docs.select(F.col("doc_id").alias("id"), key.alias("key"), _scanner(F.col("text"), rows).alias("f"))
+        one = one.select("id", "key", F.explode("f.hits").alias("hit")).distinct()
+        passes = one if passes is None else passes.unionByName(one)
+    hits = passes.groupBy("id", "key").agg(F.collect_set("hit").alias("hits"))
+    counted = docs.select("doc_id", key, _counted(F.col("text")).alias("n_words"))
+    met = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    return met.select("doc_id", "text_key", "n_words", F.coalesce("hits", F.array()).alias("hits"))
+
+
+def _counted(text: Column) -> Column:
+    @F.pandas_udf("bigint")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
+
+    return counted(text)
 
 
 def remove_contaminated(
@@ -195,6 +203,8 @@ def remove_contaminated(
     if len(slices) == 1:
         found = _scanner(F.col("text"), slices[0])
         return docs.filter(~_digests(found["n_words"], found["hits"])["contaminated"])
-    judged = contamination(docs, bench, window, slice_windows).filter("contaminated").select("doc_id").distinct()
-    named = docs.join(judged, "doc_id", "left_anti")
-    return named.select([F.col(f"`{c}`") for c in docs.columns])
+    found = _found(docs, slices).withColumn("d", _digests(F.col("n_words"), F.col("hits")))
+    gone = found.filter("d.contaminated").select("doc_id", "text_key").distinct().alias("gone")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("gone.doc_id"))
+    same &= F.sha2(F.coalesce("docs.text", F.lit("")), 256) == F.col("gone.text_key")
+    return docs.alias("docs").join(gone, same, "left_anti").select([F.col(f"docs.`{c}`") for c in docs.columns])

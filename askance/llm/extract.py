@@ -27,7 +27,7 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
@@ -347,18 +347,21 @@ def _chosen(batches):
         )
 
 
-@F.arrow_udf("string")
-def _texts(bodies: pa.Array, removed: pa.Array) -> pa.Array:
-    import zstandard
+def _texts(bodies: Column, removed: Column) -> Column:
+    @F.arrow_udf("string")
+    def joined(bodies: pa.Array, removed: pa.Array) -> pa.Array:
+        import zstandard
+
+        opener, out = zstandard.ZstdDecompressor(), []
+        for body, gone in zip(bodies.to_pylist(), removed.to_pylist()):
+            blocks, gone = json.loads(opener.decompress(body)), set(gone or ())
+            kept = [text for line, text in blocks if gone.isdisjoint(line)]
+            if not kept and all(line for line, _ in blocks):
+                kept = [text for _, text in blocks]  # every branch alike on all pages tells nothing
+            out.append("\n".join(kept))
+        return pa.array(out, pa.string())
 
-    opener, out = zstandard.ZstdDecompressor(), []
-    for body, gone in zip(bodies.to_pylist(), removed.to_pylist()):
-        blocks, gone = json.loads(opener.decompress(body)), set(gone or ())
-        kept = [text for line, text in blocks if gone.isdisjoint(line)]
-        if not kept and not any(not line for line, _ in blocks):
-            kept = [text for _, text in blocks]  # every branch alike on all pages tells nothing
-        out.append("\n".join(kept))
-    return pa.array(out, pa.string())
+    return joined(bodies, removed)
 
 
 def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:

@@ -41,13 +41,21 @@ _BYTES_PER_E = 2.0
 def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A raw-content dictionary per value of ``lang``, from ``labelled`` (doc_id, text, lang).
 
-    The sample is bounded: the ``rows`` texts of least hash per language, ``CHARS_PER_ROW`` characters of
+    The sample is bounded: the ``rows`` texts of least hash per language (where hashes fall very unevenly, a
+    few less), ``CHARS_PER_ROW`` characters of
     each, ``size`` bytes in all. Rows with a null label or a text without a letter teach nothing.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row per language
+    if not counts:
+        return {}
+    # Of each language only as many as are needed, and half as many more, leave the scan.
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40))
+    pairs = [F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 40, (rows * 3 << 39) // n + 1))]
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
     sample = (
-        usable.select("lang", "doc_id", F.substring("text", 1, CHARS_PER_ROW).alias("text"))
+        usable.select("lang", "doc_id", F.substring("text", 1, CHARS_PER_ROW).alias("text"), draw.alias("draw"))
+        .filter(F.col("draw") < F.element_at(F.create_map(*pairs), F.col("lang")))
         .withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= rows)
         .orderBy("lang", "n")
