@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import open_shared, write_shared
-from .tokens import TextEncoder, packed_ids
+from .tokens import encoder
 
 END_ID = 1
 MANIFEST = "part int, docs bigint, tokens bigint, width int"
@@ -26,20 +26,21 @@ MANIFEST = "part int, docs bigint, tokens bigint, width int"
 _FLUSH = 8 << 20
 
 
-def _writer(folder: str, width: int, end: int):
+def _writer(folder: str, path: str, end: int):
     def write(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, own = TaskContext.get().partitionId(), encoder(path)
+        width = 4 if own.wide else 2
         tail, offsets, docs, total = np.array([end], f"<u{width}").tobytes(), [0], [], 0
 
         def ids():
             nonlocal total
             held = bytearray()
             for batch in batches:
-                for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for doc, body in zip(batch.column(0).to_pylist(), own.packed(batch.column(1))):
                     body = body.as_py()
                     held += body
                     held += tail
@@ -69,17 +70,17 @@ def _writer(folder: str, width: int, end: int):
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text), append ``end_id`` to each and write the ids to ``folder``.
 
-    Documents lie in ascending doc_id order, those without an id first; equal ids are ordered by their
-    tokens, so the files are the same whichever task wrote them. Texts are encoded where they are read;
-    what is shuffled is packed ids, ranged by (doc_id, hash of ids) so that one id given very often still
-    spreads. Null and empty texts are the end id alone. Returns the manifest: a row per part.
+    Documents lie in ascending doc_id order, those without an id first; rows with one id are ordered by
+    their text, so the files are the same whichever task wrote them. Texts are ranged by (doc_id, hash of
+    text), so that one id given very often still spreads, and encoded behind the exchange: finding the
+    ranges reads the input once more but encodes nothing. Null and empty texts are the end id alone.
+    Returns the manifest: a row per part.
     """
     spark = docs.sparkSession
-    width = 4 if TextEncoder(path).wide else 2
-    coded = docs.select("doc_id", packed_ids(F.col("text"), path).alias("ids"))
-    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("ids")]
-    ranged = coded.repartitionByRange(parts, *keys[:2]) if parts else coded.repartitionByRange(*keys[:2])
-    manifest = ranged.sortWithinPartitions(*keys).mapInArrow(_writer(folder, width, end_id), MANIFEST)
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    rows = docs.select("doc_id", "text")
+    ranged = rows.repartitionByRange(parts, *keys[:2]) if parts else rows.repartitionByRange(*keys[:2])
+    manifest = ranged.sortWithinPartitions(*keys).mapInArrow(_writer(folder, path, end_id), MANIFEST)
     rows = manifest.collect()  # a row per part, not per document
     return spark.createDataFrame(sorted(rows, key=lambda r: r["part"]), MANIFEST)
 
