@@ -22,18 +22,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import worker_state
+from .common import groups, worker_state
 
 BLANK = "▁"
 SHARPNESS = 1.0
 SEED = 42
-#: Lattice edges that a worker keeps before it starts anew: at 9 bytes each, with the units' names, some 200 MB.
-KEPT_EDGES = 12_000_000
-#: Characters that are cut and drawn together; the draws take some 60 bytes of memory per character.
-GROUP_CHARS = 2_000_000
+#: Lattice edges that a worker keeps before it starts anew: at 9 bytes each, with the units' names, some 120 MB.
+KEPT_EDGES = 6_000_000
+#: Bytes of text that are cut and drawn together; the draws take some 60 bytes of memory for each.
+GROUP_CHARS = 1_500_000
 #: Units up to this length are learned together; 48 weights of at least 1/32,000 are still far from zero.
 MATRIX_CHARS = 48
 _KEY_BASE = np.uint64(0x100000001B3)
@@ -72,13 +74,18 @@ class Lattice:
         self.key_ids = np.array([i for i, _ in self.weight.values()], np.int32)[order]
         self.key_weights = np.array([w for _, w in self.weight.values()])[order]
         self.kept = kept
+        self.start, self.chars = _Column("int32", kept // 16), _Column("int32", kept // 16)  # per unit: first node, length
+        self.first = _Column("int32", kept // 2)  # per node: its first edge
+        self.share, self.back, self.piece = (_Column(t, kept) for t in ("float32", "uint8", "int32"))  # per edge
         self.clear()
 
     def clear(self) -> None:
         self.units = {"": 0}
-        self.start, self.chars = _Column("int64", [0]), _Column("int32", [0])  # per unit: first node, length
-        self.first = _Column("int64")  # per node: its first edge
-        self.share, self.back, self.piece = _Column("float32"), _Column("uint8"), _Column("int32")  # per edge
+        columns = [self.start, self.chars, self.first, self.share, self.back, self.piece]
+        for column in columns:
+            column.size = 0
+        self.start.extend([0])
+        self.chars.extend([0])
 
     def learn(self, units: list[str]) -> None:
         """Forward sums over new units: for every end, the shares of the edges that come in there."""
@@ -86,7 +93,7 @@ class Lattice:
         for u in units:
             by_length.setdefault(len(u), []).append(u)
         for n, group in sorted(by_length.items()):
-            size = 20_000 if n <= 24 else 2_000
+            size = 60_000 // n
             for lo in range(0, len(group), size):
                 if n <= MATRIX_CHARS:
                     self._learn_matrix(group[lo : lo + size], n)
@@ -172,8 +179,6 @@ class Lattice:
 
     def _cut(self, texts: list[str]):
         """(offsets per text, unit numbers): texts cut into units, a list array by Arrow's own functions."""
-        import pyarrow.compute as pc
-
         mark = next((s for s in _SEPARATORS if not any(s in t for t in texts)), None)
         if mark is None:  # every mark occurs somewhere: cut in Python
             pattern = re.compile(" +[^ \n]*?(?:(?<=[A-Za-zÀ-ÿ])(?=[.,])|(?=[ \n]|$))|\n|[^ \n]+?(?:(?<=[A-Za-zÀ-ÿ])(?=[.,])|(?=[ \n]|$))")
@@ -193,18 +198,7 @@ class Lattice:
         return lists.offsets.to_numpy(), numbers[coded.indices.to_numpy()] if names else np.empty(0, np.int64)
 
     def sample(self, texts: list[str | None], seeds: list[int]):
-        """(offsets, ids): sampled piece ids of the texts, one after another; some ``GROUP_CHARS`` at a time."""
-        bounds, parts, lo, size = [np.zeros(1, np.int64)], [np.empty(0, np.int32)], 0, 0
-        for n, text in enumerate(texts, 1):
-            size += len(text or "")
-            if size >= GROUP_CHARS or n == len(texts):
-                ends, ids = self._sample(texts[lo:n], seeds[lo:n])
-                bounds.append(ends[1:] + bounds[-1][-1])
-                parts.append(ids)
-                lo, size = n, 0
-        return np.concatenate(bounds), np.concatenate(parts)
-
-    def _sample(self, texts: list[str | None], seeds: list[int]):
+        """(offsets, ids): sampled piece ids of the texts, one after another."""
         offsets, units = self._cut([t or "" for t in texts])
         counts = np.diff(offsets)
         seed = np.repeat(np.array(seeds, np.uint64), counts)
@@ -255,9 +249,8 @@ class Lattice:
 class _Column:
     """A typed column that grows."""
 
-    def __init__(self, kind: str, rows=()):
-        self.data, self.size = np.zeros(1024, kind), 0
-        self.extend(rows)
+    def __init__(self, kind: str, room: int):
+        self.data, self.size = np.empty(room + 1024, kind), 0
 
     def __len__(self) -> int:
         return self.size
@@ -265,7 +258,7 @@ class _Column:
     def extend(self, rows) -> None:
         end = self.size + len(rows)
         if end > len(self.data):
-            grown = np.zeros(max(end, len(self.data) * 3 // 2), self.data.dtype)
+            grown = np.empty(end * 5 // 4, self.data.dtype)
             grown[: self.size] = self.data[: self.size]
             self.data = grown
         self.data[self.size : end] = rows
@@ -306,10 +299,13 @@ def sampled(key: Column, text: Column, path: str, seed: int = SEED, sharpness: f
 
     @F.arrow_udf("array<int>")
     def drawn(seeds: pa.Array, texts: pa.Array) -> pa.Array:
-        bounds, ids = lattice(path, sharpness).sample(
-            texts.to_pylist(), [s & (2**64 - 1) for s in seeds.to_pylist()]
-        )
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+        own, made = lattice(path, sharpness), [pa.array([], pa.list_(pa.int32()))]
+        for part in groups(texts, GROUP_CHARS):
+            bounds, ids = own.sample(
+                texts.slice(*part).to_pylist(), [s & (2**64 - 1) for s in seeds.slice(*part).to_pylist()]
+            )
+            made.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
+        return pa.concat_arrays(made)
 
     return drawn(F.xxhash64(F.lit(seed), key.cast("string")), text)
 
@@ -320,7 +316,7 @@ def decoded(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def spelt(lists: pa.Array) -> pa.Array:
         own = lattice(path)
-        return pa.array([own.text_of(i or ()) for i in lists.to_pylist()], pa.string())
+        return pa.array([own.text_of(i.values.to_pylist() if i.is_valid else ()) for i in lists], pa.string())
 
     return spelt(ids)
 
@@ -336,6 +332,21 @@ def encoded(text: Column, path: str) -> Column:
     return best(text)
 
 
+def _parts(batches, path: str, sharpness: float, key: int, text: int):
+    """Slices of record batches with their sampled pieces, small enough to be held beside the units."""
+    own = lattice(path, sharpness)
+    for batch in batches:
+        for part in groups(batch.column(text), GROUP_CHARS):
+            some = batch.slice(*part)
+            seeds = [s & (2**64 - 1) for s in some.column(key).to_pylist()]
+            bounds, ids = own.sample(some.column(text).to_pylist(), seeds)
+            yield some, bounds, ids
+
+
+def _row_seed(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+
+
 def with_pieces(
     docs: DataFrame, path: str, seed: int = SEED, sharpness: float = SHARPNESS, column: str = "piece_ids"
 ) -> DataFrame:
@@ -343,7 +354,17 @@ def with_pieces(
 
     Every row stays, repeated rows too. A column of that name that is there already is replaced.
     """
-    return docs.withColumn(column, sampled(F.col("doc_id"), F.col("text"), path, seed, sharpness))
+    kept = docs.drop(column)
+    text, width = kept.columns.index("text"), len(kept.columns)
+    schema = StructType([*kept.schema.fields, StructField(column, ArrayType(IntegerType()))])
+
+    def cut(batches):
+        for some, bounds, ids in _parts(batches, path, sharpness, width, text):
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*some.columns[:width], lists], names=[*some.schema.names[:width], column])
+
+    names = [F.col(f"`{c}`") for c in kept.columns]
+    return kept.select(*names, _row_seed(seed).alias("row seed")).mapInArrow(cut, schema)
 
 
 def sampled_digests(docs: DataFrame, path: str, seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
@@ -353,27 +374,30 @@ def sampled_digests(docs: DataFrame, path: str, seed: int = SEED, sharpness: flo
     the decoded text, and ``lossless`` says that it equals the text (null: the empty text).
     """
 
-    @F.arrow_udf("struct<n_pieces: bigint, ids_crc32: bigint, text_sha256: string, lossless: boolean>")
-    def digested(lists: pa.Array, texts: pa.Array) -> pa.Array:
+    def digested(batches):
         import hashlib
         import zlib
 
-        own, rows = lattice(path, sharpness), []
-        for ids, text in zip(lists, texts.to_pylist()):
-            found = ids.values.to_numpy(zero_copy_only=False)
-            back = own.text_of(found.tolist())
-            rows.append(
-                {
-                    "n_pieces": len(found),
-                    "ids_crc32": zlib.crc32(found.astype("<u4").tobytes()),
-                    "text_sha256": hashlib.sha256(back.encode("utf-8")).hexdigest(),
-                    "lossless": back == (text or ""),
-                }
+        own = lattice(path, sharpness)
+        for some, bounds, ids in _parts(batches, path, sharpness, 1, 2):
+            chars, counts, sums, hashes, same = [], np.diff(bounds), [], [], []
+            for first, last, text in zip(bounds[:-1].tolist(), bounds[1:].tolist(), some.column(2).to_pylist()):
+                back = own.text_of(ids[first:last].tolist())
+                chars.append(len(text or ""))
+                sums.append(zlib.crc32(ids[first:last].astype("<u4").tobytes()))
+                hashes.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
+                same.append(back == (text or ""))
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), pa.array(chars, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(hashes), pa.array(same)],
+                names=["doc_id", "n_chars", "n_pieces", "ids_crc32", "text_sha256", "lossless"],
             )
-        kind = pa.struct([("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("text_sha256", pa.string()), ("lossless", pa.bool_())])
-        return pa.array(rows, kind)
 
-    ids = sampled(F.col("doc_id"), F.col("text"), path, seed, sharpness)
-    return docs.select(
-        "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), digested(ids, F.col("text")).alias("d")
-    ).select("doc_id", "n_chars", "d.*")
+    schema = StructType(
+        [
+            docs.schema["doc_id"],
+            *(StructField(n, LongType()) for n in ("n_chars", "n_pieces", "ids_crc32")),
+            StructField("text_sha256", StringType()),
+            StructField("lossless", BooleanType()),
+        ]
+    )
+    return docs.select("doc_id", _row_seed(seed).alias("seed"), "text").mapInArrow(digested, schema)
