@@ -201,7 +201,7 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
 
     tail_at = max(0, size - 65_557)
     tail = at(tail_at, size - tail_at)
-    end = tail.rfind(b"PK\x05\x06")
+    end = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
     while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
         end = tail.rfind(b"PK\x05\x06", 0, end)
     if end < 0:
