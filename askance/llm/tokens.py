@@ -11,16 +11,19 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, file_digest, worker_state
+from .common import cut_lineage, file_digest, groups, held
 
-#: Chunks that a worker remembers before it starts anew: at some 150 bytes each about 90 MB.
-CACHED_CHUNKS = 600_000
+#: Chunks that a worker remembers in each of two generations: at some 170 bytes each 25 MB and 25 MB.
+CACHED_CHUNKS = 150_000
+#: Bytes of text that are encoded together.
+GROUP_BYTES = 4_000_000
 #: Normaliser steps that never look across a blank, once white space only separates.
 _LOCAL_STEPS = {"NFC", "Lowercase"}
 
@@ -45,7 +48,7 @@ class TextEncoder:
     """Ids of texts as the tokenizers library gives them, without added special tokens."""
 
     def __init__(self, path: str, cached: int = CACHED_CHUNKS):
-        self.cached, self.ids, self.by_chunk = cached, {}, False
+        self.cached, self.ids, self.older, self.by_chunk = cached, {}, {}, False
         if path.endswith(".model"):
             import sentencepiece
 
@@ -110,16 +113,24 @@ class TextEncoder:
                     row.append(i)
             ids[part[at]] = self._pack(row)
 
-    def packed(self, texts) -> list[bytes]:
+    def packed(self, texts: pa.Array) -> pa.Array:
         """Little-endian unsigned ids (two bytes where the vocabulary allows it) of each text; null is empty."""
-        if not self.by_chunk:
-            return [self.whole(t or "") for t in texts]
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        odd = {n: self.whole(t) for n, t in enumerate(texts) if t and "<|" in t}
-        plain = pa.array(["" if n in odd or t is None else t for n, t in enumerate(texts)], pa.large_string())
+        made = [pa.array([], pa.binary())]
+        for part in groups(texts, GROUP_BYTES):
+            some = texts.slice(*part)
+            if self.by_chunk:
+                made.append(self._by_chunk(some))
+            else:
+                made.append(pa.array([self.whole(t or "") for t in some.to_pylist()], pa.binary()))
+        return pa.concat_arrays(made)
+
+    def _by_chunk(self, texts: pa.Array) -> pa.Array:
+        plain = pc.fill_null(texts, "")
+        odd = pc.match_substring(plain, "<|")
+        some = pc.any(odd).as_py()
+        if some:
+            whole = [self.whole(t) for t in plain.filter(odd).to_pylist()]
+            plain = pc.if_else(odd, "", plain)
         if self.lowers:
             plain = pc.ascii_lower(plain)
             plain = pc.replace_substring_regex(pc.replace_substring(plain, "\n", " "), "([a-z])([.,]) ", "\\1 \\2 ")
@@ -127,18 +138,22 @@ class TextEncoder:
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
         if len(self.ids) > self.cached:
-            self.ids.clear()
-        self.ids[""] = b""
-        new = [c for c in chunks if c not in self.ids]
+            self.ids, self.older = {}, self.ids
+        ids, older = self.ids, self.older
+        ids[""] = b""
+        new = []
+        for c in chunks:
+            if c not in ids:
+                if c in older:
+                    ids[c] = older[c]
+                else:
+                    new.append(c)
         if new:
             self._learn(new)
-        joined = pa.array([self.ids[c] for c in chunks], pa.large_binary()).take(coded.indices)
-        ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)[split.offsets.to_numpy()]
-        data = joined.buffers()[2]
-        out = [bytes(data[a:b]) if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        for n, ids in odd.items():
-            out[n] = ids
-        return out
+        joined = pa.array([ids[c] for c in chunks], pa.binary()).take(coded.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)[split.offsets.to_numpy()]
+        out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), joined.buffers()[2]])
+        return pc.replace_with_mask(out, odd, pa.array(whole, pa.binary())) if some else out
 
 
 #: The byte-level spelling: printable Latin-1 bytes stand for themselves, the others for U+0100 onwards.
@@ -150,19 +165,15 @@ for _b in range(256):
 
 def encoder(path: str) -> TextEncoder:
     """The worker's encoder of a vocabulary file."""
-    held = worker_state()
-    if ("encoder", path) not in held:
-        held["encoder", path] = TextEncoder(path)
-    return held["encoder", path]
+    return held(("encoder", path), lambda: TextEncoder(path))
 
 
 def packed_ids(text: Column, path: str) -> Column:
     """Binary column of little-endian unsigned ids."""
 
-    @F.pandas_udf("binary")
-    def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series(encoder(path).packed(list(texts)), dtype=object)
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        return encoder(path).packed(texts)
 
     return packed(text)
 
@@ -178,31 +189,38 @@ def _digested(text: Column, squeeze: bool, body: bool) -> Column:
     texts that hold a special token's mark, the content is taken as it is.
     """
 
-    @F.pandas_udf("n_bytes bigint, digest binary" + ", body binary" * body)
-    def digested(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<n_bytes: bigint, digest: binary" + ", body: binary" * body + ">")
+    def digested(texts: pa.Array) -> pa.Array:
         import zstandard
 
-        packer, rows = zstandard.ZstdCompressor(level=1), []
-        for t in texts:
-            data = (t or "").encode("utf-8")
+        packer, sizes, digests, bodies = zstandard.ZstdCompressor(level=1), [], [], []
+        for t in texts.cast(pa.binary()):
+            data = t.as_py() or b""
             same = b" ".join(data.split()) if squeeze and b"<|" not in data else data
-            row = (len(data), hashlib.sha256(same).digest())
-            rows.append((*row, packer.compress(same)) if body else row)
-        return pd.DataFrame(rows, columns=["n_bytes", "digest", "body"][: 2 + body])
+            sizes.append(len(data))
+            digests.append(hashlib.sha256(same).digest())
+            if body:
+                bodies.append(packer.compress(same))
+        columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
+        names = ["n_bytes", "digest"]
+        if body:
+            columns, names = [*columns, pa.array(bodies, pa.binary())], [*names, "body"]
+        return pa.StructArray.from_arrays(columns, names)
 
     return digested(text)
 
 
 def _counted(body: Column, path: str) -> Column:
-    @F.pandas_udf("bigint")
-    def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("bigint")
+    def counted(bodies: pa.Array) -> pa.Array:
         import zstandard
 
-        width = 4 if encoder(path).wide else 2
-        opener = zstandard.ZstdDecompressor()
-        for bodies in parts:
-            texts = [opener.decompress(b).decode("utf-8") for b in bodies]
-            yield pd.Series([len(p) // width for p in encoder(path).packed(texts)], dtype="int64")
+        own, opener, made = encoder(path), zstandard.ZstdDecompressor(), [pa.array([], pa.int64())]
+        for part in groups(bodies, GROUP_BYTES // 4):
+            texts = pa.array([opener.decompress(b).decode("utf-8") for b in bodies.slice(*part).to_pylist()], pa.string())
+            sizes = pc.binary_length(own.packed(texts)).cast(pa.int64())
+            made.append(pc.divide(sizes, 4 if own.wide else 2))
+        return pa.concat_arrays(made)
 
     return counted(body)
 
