@@ -22,13 +22,19 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid4().hex}"
 
 
-def worker_state() -> dict:
-    """A dict that lives as long as the Python worker: loaded models and their caches.
+def held(key, make):
+    """The model that the Python worker holds under ``key``, made if it holds another one.
 
-    The package's functions travel by value, so its own globals would be new in each task.
+    The package's functions travel by value, so its own globals would be new in each task. A worker holds
+    one model at a time: it outlives the stage that made it, and several would add up.
     """
     name = "_askance_worker_state"
-    return vars(sys.modules.setdefault(name, types.ModuleType(name))).setdefault("held", {})
+    state = vars(sys.modules.setdefault(name, types.ModuleType(name)))
+    if state.get("key") != key:
+        state["key"], state["model"] = None, None
+        state["model"] = make()
+        state["key"] = key
+    return state["model"]
 
 
 def tokenizer_path(name: str) -> str:

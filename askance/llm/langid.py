@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import held
 
 #: The bound of the fit: rows per language, characters of each, and bytes of a dictionary.
 ROWS_PER_LANGUAGE = 900
@@ -131,10 +131,7 @@ def predicted(text: Column, dictionaries, min_margin: float = MIN_MARGIN) -> Col
 
     @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
     def judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        held = worker_state()
-        if key not in held:
-            held[key] = Compressors(dictionaries.value)
-        compressors = held[key]
+        compressors = held(key, lambda: Compressors(dictionaries.value))
         for texts in parts:
             rows = [compressors.judge(t) for t in texts]
             out = pd.DataFrame(rows, columns=["lang_pred", "score", "margin"])

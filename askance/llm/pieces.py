@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import groups, worker_state
+from .common import groups, held
 
 BLANK = "▁"
 SHARPNESS = 1.0
@@ -284,10 +284,7 @@ def _mixed(x):
 
 
 def lattice(path: str, sharpness: float = SHARPNESS) -> Lattice:
-    held = worker_state()
-    if ("lattice", path, sharpness) not in held:
-        held["lattice", path, sharpness] = Lattice(path, sharpness)
-    return held["lattice", path, sharpness]
+    return held(("lattice", path, sharpness), lambda: Lattice(path, sharpness))
 
 
 def sampled(key: Column, text: Column, path: str, seed: int = SEED, sharpness: float = SHARPNESS) -> Column:
