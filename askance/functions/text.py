@@ -209,5 +209,5 @@ def lexical_tokens(text: Column) -> Column:
 
 
 def token_id(token: Column) -> Column:
-    """A stable token number in 1..65536, the default where no tokeniser is plugged in."""
-    return (F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") + 1).cast("int")
+    """A stable token number in 1..2^60, the default where no tokeniser is plugged in."""
+    return F.conv(F.substring(F.md5(token), 1, 15), 16, 10).cast("bigint") + 1

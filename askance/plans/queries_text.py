@@ -307,7 +307,7 @@ def page_text(spark, sf):
 
 
 def s_token_ids(x: str) -> str:
-    return f"list_transform({s_words(x)}, lambda w: ('0x' || substr(md5(w), 1, 4))::INT + 1)"
+    return f"list_transform({s_words(x)}, lambda w: ('0x' || substr(md5(w), 1, 15))::BIGINT + 1)"
 
 
 @query(
