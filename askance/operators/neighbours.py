@@ -6,8 +6,6 @@ task, so the number of rows made is k per query and block, never one per pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +16,7 @@ from ..functions.text import let
 from ..functions.vectors import l1_normalize
 
 _OUT = "q_id bigint, term_id bigint, distance double"
-BLOCK = 4_096
-BROADCAST_QUERIES = BLOCK
+BLOCK = 1_024
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -57,11 +54,6 @@ def block_best(q: np.ndarray, t_ids: np.ndarray, t: np.ndarray, k: int) -> tuple
     return np.concatenate(ids), np.concatenate(dists)
 
 
-def _merge(ids: np.ndarray, dists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, dists), axis=1)[:, :k]
-    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(dists, order, axis=1)
-
-
 def _rows(q_ids: np.ndarray, ids: np.ndarray, dists: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"q_id": np.repeat(q_ids, ids.shape[1]), "term_id": ids.ravel(), "distance": dists.ravel()})
 
@@ -69,37 +61,14 @@ def _rows(q_ids: np.ndarray, ids: np.ndarray, dists: np.ndarray) -> pd.DataFrame
 def nearest(points: DataFrame, vocab: DataFrame, k: int = fixed.NEAREST_TERMS, block: int = BLOCK) -> DataFrame:
     """(q_id, term_id, distance, rank): the k nearest terms by Euclidean distance, ties by id.
 
-    ``points``: q_id, vector. ``vocab``: term_id, embedding. Up to ``BROADCAST_QUERIES`` points
-    (counted first) travel to every task and the vocabulary stays where it is; beyond that both
-    sides are cut into blocks by hash and each block pair is one group.
+    ``points``: q_id, vector. ``vocab``: term_id, embedding. Both sides are cut into blocks of about
+    ``block`` rows by hash and each block pair is one group, at every size of either side.
     """
-    few = points.select("q_id", "vector").limit(BROADCAST_QUERIES + 1).toPandas()
-    if len(few) <= BROADCAST_QUERIES:
-        found = _by_broadcast(few, vocab, k)
-    else:
-        found = _by_blocks(points, vocab, k, block)
+    found = _by_blocks(points, vocab, k, block)
     window = Window.partitionBy("q_id").orderBy("distance", "term_id")
     return found.withColumn("rank", F.row_number().over(window).cast("int")).filter(F.col("rank") <= k)
 
 
-def _by_broadcast(few: pd.DataFrame, vocab: DataFrame, k: int) -> DataFrame:
-    if few.empty:
-        return vocab.sparkSession.createDataFrame([], _OUT)
-    shared = vocab.sparkSession.sparkContext.broadcast((few["q_id"].to_numpy(), _matrix(few["vector"])))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q = shared.value
-        best = None
-        for batch in batches:
-            if len(batch):
-                new = block_best(q, batch["term_id"].to_numpy(), _matrix(batch["embedding"]), k)
-                best = new if best is None else _merge(np.hstack([best[0], new[0]]), np.hstack([best[1], new[1]]), k)
-        if best is not None:
-            yield _rows(q_ids, *best)
-
-    return vocab.select("term_id", "embedding").mapInPandas(scan, _OUT)
-
-
 def _by_blocks(points: DataFrame, vocab: DataFrame, k: int, block: int) -> DataFrame:
     n_q = max(1, -(-points.count() // block))
     n_t = max(1, -(-vocab.count() // block))

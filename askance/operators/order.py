@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 _ROWS_PER_BUCKET = 250_000
-_MAX_BUCKETS = 20_000
+_LEAST_BUCKETS = 8
 
 
 def sample_batch_size(batch_size: int) -> int:
@@ -24,14 +24,14 @@ def with_position(df: DataFrame, key: str, rows_per_bucket: int = _ROWS_PER_BUCK
 
     A global ``row_number`` would sort the table in one task. Here approximate quantiles cut the
     keys into ranges of even size, each range is ranked on its own, and the ranges before it add
-    their counts. What the driver holds is the list of range ends, at most ``_MAX_BUCKETS``.
+    their counts. Every size of table goes this way. What the driver holds is the list of range
+    ends: one number per ``rows_per_bucket`` rows, and ``_LEAST_BUCKETS`` of them at least.
     """
     n = df.select(key).count()
-    buckets = max(1, min(_MAX_BUCKETS, ceil(n / rows_per_bucket)))
-    if buckets == 1:
-        return df.withColumn("pos", (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint")), n
+    buckets = max(_LEAST_BUCKETS, ceil(n / rows_per_bucket))
     shares = [i / buckets for i in range(1, buckets)]
-    ends = df.agg(F.percentile_approx(F.col(key), shares, 10 * buckets).alias("e")).first()["e"]
+    # An empty table has no quantiles; any end does for it.
+    ends = df.agg(F.percentile_approx(F.col(key), shares, 10 * buckets).alias("e")).first()["e"] or [0]
     splits = [-float("inf"), *sorted({float(e) for e in ends}), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_k", outputCol="_b")
     binned = cut.transform(df.withColumn("_k", F.col(key).cast("double"))).withColumn("_b", F.col("_b").cast("int"))
