@@ -36,6 +36,9 @@ SENTIMENT_PROMPT = (
 )
 ACCURACY_MESSAGE = "###PROMPT: {prompt}\n\n###GOLD_ANSWER: {gold}\n\n###SYSTEM_ANSWER: {answer}"
 RELEVANCE_MESSAGE = "###PROMPT: {prompt}\n\n###CONTEXT: {context}"
+ANSWERER_INSTRUCTION = "Act as an expert capable of answering questions from various domains."
+ACCURACY_INSTRUCTION = "Act as an expert in evaluating the correctness of other models' answers. As an input, you will receive three texts:\n\n##PROMPT: task definition for the model;\n\n##GOLD_ANSWER: the correct answer prepared by a human expert;\n\n##SYSTEM_ANSWER: the answer of the model you are evaluating.\n\nDo you accept ##SYSTEM_ANSWER as the correct answer that captures the meaning contained in ##GOLD_ANSWER?\n\nYES - if the answer ##SYSTEM_ANSWER can be considered correct relative to ##GOLD_ANSWER\n\nNO - if the answer ##SYSTEM_ANSWER is completely different from ##GOLD_ANSWER\n\nPARTLY - if the answer ##SYSTEM_ANSWER can be considered partially correct relative to ##GOLD_ANSWER"
+RELEVANCE_INSTRUCTION = "Act as an expert in evaluating the relevance of an article for answering a question. As an input, you will receive two texts:\n\n###PROMPT: the question to be answered;\n\n###CONTEXT: the article providing the context to answer the question.\n\nDo you accept ###CONTEXT as a relevant article to answer the question contained in ###PROMPT?\n\nYES - if the article ###CONTEXT can be considered relevant to ###PROMPT\n\nNO - if the article is completely irrelevant to ###PROMPT\n\nPARTLY - if the the article is partially relevant to ###PROMPT"
 BASELINE_TOPICS = "AI, blockchain, cryptocurrency"
 
 # ---- fixed values: chat templates (model, prefix, suffix, response marker, strip the response,

@@ -22,11 +22,29 @@ def relevance_message(prompt: Column, context: Column) -> Column:
     return tx.fill(fixed.RELEVANCE_MESSAGE, prompt=prompt, context=context)
 
 
+def messages(instruction: str, user: Column) -> Column:
+    """What a chat model gets: STRUCT(system, user), the instruction and the texts to decide on."""
+    return F.struct(F.lit(instruction).alias("system"), user.alias("user"))
+
+
 def judge_by(call: Callable[[Column], Column]) -> Judge:
-    """A judge from a function of the whole message (a pandas UDF around a model, say)."""
+    """A judge from a function of the texts' message alone (a pandas UDF around a model, say)."""
     return lambda prompt, gold, answer: call(accuracy_message(prompt, gold, answer))
 
 
+def instructed_judge(call: Callable[[Column], Column]) -> Judge:
+    """A judge from a function of both messages, so that it is told what to decide and how to answer."""
+    return lambda prompt, gold, answer: call(messages(fixed.ACCURACY_INSTRUCTION, accuracy_message(prompt, gold, answer)))
+
+
+def instructed_relevance(call: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda prompt, context: call(messages(fixed.RELEVANCE_INSTRUCTION, relevance_message(prompt, context)))
+
+
+def instructed_answerer(call: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda prompt: call(messages(fixed.ANSWERER_INSTRUCTION, prompt))
+
+
 def overlap_f1(a: Column, b: Column) -> Column:
     """F1 of the distinct lower-case tokens of two texts; 0 when either has none."""
 

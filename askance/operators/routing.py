@@ -45,9 +45,9 @@ def fit_router(rows: DataFrame, vector: str, label: str = "label") -> LogisticRe
 
 
 def route(rows: DataFrame, key: str, vector: str, model: LogisticRegressionModel, variants: list[str]) -> DataFrame:
-    """(key, route, variant): the likeliest class and the model variant it stands for.
+    """(key, route, variant, is_known_route): the likeliest class and the model variant it stands for.
 
-    Variant 0 is the base model; classes past the list share the last variant.
+    Variant 0 is the base model. A class past the list has no variant: NULL, and the flag is false.
     """
     ready = rows.select("*", array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     names = F.array(*[F.lit(v) for v in variants])
@@ -55,5 +55,6 @@ def route(rows: DataFrame, key: str, vector: str, model: LogisticRegressionModel
     return model.transform(ready).select(
         *[c for c in rows.columns if c != vector],
         chosen.alias("route"),
-        F.get(names, F.least(chosen, F.lit(len(variants) - 1))).alias("variant"),
+        F.get(names, chosen).alias("variant"),
+        (chosen < len(variants)).alias("is_known_route"),
     )

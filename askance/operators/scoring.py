@@ -106,6 +106,18 @@ def trigram_scorer(sentence: Column, sample: Column) -> Column:
     )
 
 
+def verdict_scorer(ask: Callable[[Column, Column], Column]) -> PairScorer:
+    """A pair scorer from a judge asked whether the sample supports the sentence: yes 0, no 1, other 0.5."""
+
+    def score(sentence: Column, sample: Column) -> Column:
+        return tx.let(
+            tx.verdict_class(ask(sentence, sample)),
+            lambda v: F.when(v == "yes", F.lit(0.0)).when(v == "no", F.lit(1.0)).otherwise(F.lit(0.5)),
+        )
+
+    return score
+
+
 SCORERS: dict[str, PairScorer] = {"trigram": trigram_scorer}
 
 

@@ -65,6 +65,9 @@ def test_pair_scorer_hook_agrees_with_default_and_unknown_warns(spark):
     assert len(seen) == 1
     scoring.register_scorer("flat", lambda s, t: F.lit(0.25))
     assert {r["score"] for r in scoring.score_pairs(rows, "flat").collect()} == {0.25}
+    for said, score in (("Yes, it does", 0.0), ("No.", 1.0), ("Hard to say", 0.5)):
+        scoring.register_scorer("verdict", scoring.verdict_scorer(lambda s, t, said=said: F.lit(said)))
+        assert {r["score"] for r in scoring.score_pairs(rows, "verdict").collect()} == {score}
 
 
 def test_result_does_not_depend_on_partitions(spark, sf):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from askance.functions import text as tx
 from askance.functions import vectors as v
 from askance.operators import judge, neighbours, order, pairs, retrieval, routing, tokens
 from askance.plans import training
@@ -156,7 +157,7 @@ def test_curated_rows_and_failures(spark):
     assert retrieval.succeeded(found).count() == 0 and retrieval.failed(found).count() == 1
 
 
-def test_neighbours_both_ways(spark, monkeypatch):
+def test_neighbours_in_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(120, 5))
     x[60:100] = x[0]  # a third are copies of one vector
@@ -174,8 +175,8 @@ def test_neighbours_both_ways(spark, monkeypatch):
         return out
 
     assert lists(neighbours.nearest(points, vocab)) == want
-    monkeypatch.setattr(neighbours, "BROADCAST_QUERIES", 5)
     assert lists(neighbours.nearest(points, vocab, block=16)) == want
+    assert lists(neighbours.nearest(points.limit(0), vocab)) == {}
 
 
 def test_topic_pick(spark):
@@ -208,7 +209,37 @@ def test_router(spark):
     data = spark.createDataFrame(rows, "vec_id bigint, e array<double>, label int")
     out = routing.route(data, "vec_id", "e", routing.fit_router(data, "e"), ["base", "adapter"]).collect()
     assert sum(r["route"] == r["label"] for r in out) >= 78
-    assert all(r["variant"] == ["base", "adapter"][r["route"]] for r in out)
+    assert all(r["variant"] == ["base", "adapter"][r["route"]] and r["is_known_route"] for r in out)
+    short = routing.route(data, "vec_id", "e", routing.fit_router(data, "e"), ["base"]).collect()
+    assert {(r["route"], r["variant"], r["is_known_route"]) for r in short} == {(0, "base", True), (1, None, False)}
+
+
+def test_positions_of_no_rows_and_of_few(spark):
+    none, n = order.with_position(spark.createDataFrame([], "k bigint"), "k")
+    assert n == 0 and none.count() == 0
+    few, n = order.with_position(spark.createDataFrame([(30,), (10,), (20,)], "k bigint"), "k")
+    assert n == 3 and [(r["k"], r["pos"]) for r in few.orderBy("k").collect()] == [(10, 0), (20, 1), (30, 2)]
+
+
+def test_judges_are_told_what_to_decide(spark):
+    row = spark.createDataFrame([("q?", "gold", "answer")], "p string, g string, a string")
+
+    def call(m):
+        return F.concat_ws(" | ", m["system"], m["user"])
+
+    seen = row.select(
+        judge.instructed_judge(call)(F.col("p"), F.col("g"), F.col("a")).alias("j"),
+        judge.instructed_relevance(call)(F.col("p"), F.col("g")).alias("r"),
+        judge.instructed_answerer(call)(F.col("p")).alias("w"),
+    ).first()
+    assert "YES - if the answer" in seen["j"] and seen["j"].endswith("###SYSTEM_ANSWER: answer")
+    assert "PARTLY - if the the article" in seen["r"] and seen["r"].endswith("###CONTEXT: gold")
+    assert seen["w"].endswith(" domains. | q?")
+
+
+def test_token_numbers_keep_words_apart(spark):
+    words = spark.range(200_000).select(tx.token_id(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("n"))
+    assert words.distinct().count() == 200_000
 
 
 def test_short_texts_are_set_aside(spark):
