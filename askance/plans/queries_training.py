@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as tx
 from ..operators import judge, pairs, retrieval, tokens
 from ..session import cut_lineage
 from ..sources import tables as t
-from . import training
+from . import training, views
 from .queries_text import S_VERDICT_SCORE, s_page_text, s_token_ids
-from .registry import PAIRS, QUESTIONS, query, r6, s_sentences, s_strip, s_tokens, s_words
+from .registry import PAIRS, QUESTIONS, SCORES, query, r6, s_fill, s_sentences, s_strip, s_tokens, s_words
 
 
 def _known(spark, sf):
@@ -63,6 +64,39 @@ def train_from_answers(spark, sf):
     return frame.select("prompt", "answer_text", "passage", "similarity_text", "similarity")
 
 
+_DOUBTFUL = (
+    f"{SCORES}, dq AS (SELECT prompt, passage FROM sc WHERE hallucinated), "
+    f"dp AS (SELECT {s_strip('prompt')} AS prompt, {s_strip('passage')} AS passage FROM dq), "
+    f"an AS (SELECT {s_strip('prompt')} AS prompt, {s_strip('answer')} AS answer_text FROM "
+    "(SELECT DISTINCT prompt, prompt || '...' AS answer FROM dq)), "
+    "tr AS (SELECT an.prompt, answer_text, passage FROM an LEFT JOIN dp USING (prompt)), "
+    f"jd AS (SELECT *, {_s_judge('answer_text', _PASSAGE)} AS similarity_text FROM tr), "
+    f"fr AS (SELECT prompt, answer_text, passage, similarity_text, {_AGREE} AS similarity FROM jd)"
+)
+
+
+def _doubtful(spark, sf):
+    return training.from_doubtful(views.scored(spark, sf), lambda p: F.concat(p, F.lit("...")))
+
+
+@query("train_from_doubtful", f"WITH {_DOUBTFUL} SELECT * FROM fr")
+def train_from_doubtful(spark, sf):
+    """Scored questions to the training frame of the doubtful ones."""
+    return _doubtful(spark, sf).select("prompt", "answer_text", "passage", "similarity_text", "similarity")
+
+
+@query(
+    "doubtful_preferences",
+    f"WITH {_DOUBTFUL} SELECT "
+    + s_fill(fixed.TEMPLATES[0][1] + "{prompt}" + fixed.TEMPLATES[0][2], prompt="prompt")
+    + f" AS prompt, {s_strip(f'CASE WHEN similarity > 0.5 THEN {_PASSAGE} ELSE answer_text END')} AS chosen, "
+    f"{s_strip(f'CASE WHEN similarity > 0.5 THEN chr(45) ELSE {_PASSAGE} END')} AS rejected FROM fr",
+)
+def doubtful_preferences(spark, sf):
+    """Scored questions to the preference pairs of the doubtful ones."""
+    return pairs.preference_pairs(_doubtful(spark, sf), tx.render(fixed.TEMPLATES[0][0]))
+
+
 def _judged_documents(spark, sf):
     """Labelled documents as a training frame: the document is the answer, its echo the passage."""
     docs = t.table(spark, sf, "documents").join(t.verdicts(spark, sf), "doc_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import judge as j
 from ..operators import pairs, retrieval
+from ..session import cut_lineage
 
 
 def from_pages(
@@ -41,6 +42,18 @@ def from_answers(answers: DataFrame, scored: DataFrame, judge: j.Judge = j.lexic
     return pairs.training_frame(docs, scored, judge)
 
 
+def from_doubtful(
+    scored: DataFrame, answer: Callable[[Column], Column], judge: j.Judge = j.lexical_judge
+) -> DataFrame:
+    """Training frame of the doubtful questions of ``scored`` alone: each distinct one is answered once.
+
+    The doubtful rows come back in the answers and on either side of the join, so they are stored in
+    the shared folder once rather than scored three times.
+    """
+    doubtful = cut_lineage(scored.filter("hallucinated").select("prompt", "passage"))
+    return from_answers(j.stronger_answers(doubtful, answer), doubtful, judge)
+
+
 def rejudge(train: DataFrame, judge: j.Judge = j.lexical_judge) -> DataFrame:
     """A stored training frame with its agreement judged anew."""
     verdict = judge(F.col("prompt"), F.col("answer_text"), F.coalesce("passage", F.lit("-")))
