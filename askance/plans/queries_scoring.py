@@ -197,7 +197,7 @@ def before_after(spark, sf):
 # ---- whole runs with the model-free generator -----------------------------------------------
 
 _OPEN_Q = s_fill(fixed.OPEN_QUESTION_PROMPT, topics=lit(fixed.BASELINE_TOPICS))
-_ASKED_OPEN = f"'Answer concisely with only one sentence. ' || {_OPEN_Q} || '...'"
+_ASKED_OPEN = f"{s_fill(fixed.PASSAGE_PROMPT, question=_OPEN_Q)} || '...'"
 
 
 def _iterations(spark, sf):
@@ -214,12 +214,13 @@ def baseline_open_run(spark, sf):
 
 
 _INDUCED = s_fill(fixed.INDUCED_QUESTION_PROMPT, topics=lit(fixed.BASELINE_TOPICS), word="word")
+_ASKED_INDUCED = f"{s_fill(fixed.PASSAGE_PROMPT, question=_INDUCED)} || '...'"
 
 
 @query(
     "baseline_induced_run",
     f"WITH {QUESTIONS}, w AS (SELECT unnest({fixed.QUESTION_WORDS}) AS word), src AS (SELECT turn, "
-    f"'Answer concisely with only one sentence. ' || {_INDUCED} || '...' AS prompt, false AS hallucinated FROM q, w), "
+    f"{_ASKED_INDUCED} AS prompt, false AS hallucinated FROM q, w), "
     f"rep AS ({s_report('turn', 'src')}) {_R6_REPORT}",
 )
 def baseline_induced_run(spark, sf):
@@ -234,7 +235,7 @@ _SWEEP_SRC = " UNION ALL ".join(
     f"SELECT 'baseline|{c['method']}|{c['temperature']}' AS run, 'baseline' AS model, '{c['method']}' AS method, "
     f"{c['temperature']}::DOUBLE AS temperature, "
     + (f"{_ASKED_OPEN} AS prompt, false AS hallucinated FROM q" if c["method"] == "open" else
-       f"'Answer concisely with only one sentence. ' || {_INDUCED} || '...' AS prompt, false AS hallucinated FROM q, w")
+       f"{_ASKED_INDUCED} AS prompt, false AS hallucinated FROM q, w")
     for c in SWEEP
 )
 

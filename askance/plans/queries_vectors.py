@@ -97,8 +97,8 @@ def oracle_topics(spark, sf):
 
 @query(
     "baseline_oracle_run",
-    f"WITH {_TOPICS}, src AS (SELECT label AS run, 'Answer concisely with only one sentence. ' || "
-    f"{s_fill(fixed.OPEN_QUESTION_PROMPT, topics='topics')} || '...' AS prompt, false AS hallucinated FROM tp "
+    f"WITH {_TOPICS}, src AS (SELECT label AS run, "
+    f"{s_fill(fixed.PASSAGE_PROMPT, question=s_fill(fixed.OPEN_QUESTION_PROMPT, topics='topics'))} || '...' AS prompt, false AS hallucinated FROM tp "
     f"JOIN embeddings ON vec_id = q_id), rep AS ({s_report('run', 'src')}) {_R6_REPORT}",
 )
 def baseline_oracle_run(spark, sf):
