@@ -1,10 +1,14 @@
 """Pages for a question, and the answer and summary read from each page.
 
-A page's score for a question is the rarity of the rarest word they share, 1 / df; the
-best ten pages by (score, page number) are the question's links. Under that score only a word's
-first ten pages can ever matter: any later page has ten pages of at least its score, ahead of it
-by number. So a word brings at most ten rows to the join, however common it is, and the result
-is still exact.
+A page's score for a question is the summed rarity of the distinct words they share; the best ten
+pages by (score, page number) are the question's links. A word's rarity is ln((pages + 1) / df) in
+whole millionths, so sums do not depend on their order.
+
+The list is exact, but no question meets every page that shares a word with it. Ten pages at least
+reach the rarity of a question's rarest word held by ten or more. Its commonest words, as long as
+their rarities sum to less than that, cannot bring in a page on their own: only the other words
+fetch candidates. Candidates that could not reach the tenth best even with all the common words are
+left, and the common words are looked up for the rest alone.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from ..functions import text as tx
 from .order import first_per_group
 
 LINKS = 10
+MILLIONTHS = 1_000_000
 
 # A search function maps questions (q_id, prompt) to links (q_id, page_id, url, rank, ...).
 Search = Callable[[DataFrame], DataFrame]
@@ -28,29 +33,48 @@ def _words(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.array_distinct(tx.lexical_tokens(F.col(text)))).alias("word"))
 
 
+def _fetching(wanted: DataFrame, held: DataFrame, n_pages: Column, links: int) -> DataFrame:
+    """(q_id, word, weight, fetches): a question's words that pages hold, and whether each brings candidates."""
+    frequency = held.groupBy("word").agg(F.count("*").alias("df"))
+    rarity = F.round(F.ln((n_pages + 1).cast("double") / F.col("df")) * MILLIONTHS).cast("bigint")
+    terms = wanted.join(frequency.withColumn("weight", rarity), "word")
+    question = Window.partitionBy("q_id")
+    lightest_first = question.orderBy("weight", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = F.max(F.when(F.col("df") >= links, F.col("weight"))).over(question)
+    so_far = F.sum("weight").over(lightest_first)
+    return terms.select("q_id", "word", "weight", F.coalesce(so_far >= reached, F.lit(True)).alias("fetches"))
+
+
 def lexical_search(pages: DataFrame, links: int = LINKS) -> Search:
     """The default search over a page table (page_id, url, full_text)."""
 
     def search(questions: DataFrame) -> DataFrame:
         wanted = _words(questions, "q_id", "prompt")
-        held = _words(pages, "page_id", "full_text")
-        # Partial sums and partial top tens: a word of a third of all pages moves as a few rows per task.
-        frequency = held.groupBy("word").agg(F.count("*").alias("df"))
-        first = first_per_group(held, ["word"], [F.col("page_id")], links, "at").groupBy("word").agg(
-            F.collect_list("page_id").alias("page_ids")
+        # Only words that are asked for leave the scan; a word of a third of all pages is counted per task first.
+        held = _words(pages, "page_id", "full_text").join(wanted.select("word").distinct(), "word", "left_semi")
+        terms = _fetching(wanted, held, pages.agg(F.count("*")).scalar(), links)
+        found = terms.filter("fetches").join(held, "word").groupBy("q_id", "page_id").agg(F.sum("weight").alias("sure"))
+        common = terms.filter(~F.col("fetches"))
+        rest = common.groupBy("q_id").agg(F.sum("weight").alias("rest"))
+        tenth = (
+            first_per_group(found, ["q_id"], [F.col("sure").desc(), F.col("page_id")], links)
+            .filter(F.col("rank") == links)
+            .select("q_id", F.col("sure").alias("tenth"))
+        )
+        near = (
+            found.join(rest, "q_id", "left")
+            .join(tenth, "q_id", "left")
+            .filter(F.col("tenth").isNull() | (F.col("sure") + F.coalesce("rest", F.lit(0)) >= F.col("tenth")))
+            .select("q_id", "page_id", "sure")
         )
-        hits = wanted.join(frequency.join(first, "word"), "word")
-        # A word with ten or more pages settles the list, so commoner words than it add nothing.
-        enough = F.min(F.when(F.col("df") >= links, F.col("df"))).over(Window.partitionBy("q_id"))
-        useful = hits.withColumn("enough", enough).filter(F.col("enough").isNull() | (F.col("df") <= F.col("enough")))
-        rarest = (
-            useful.select("q_id", "df", F.explode("page_ids").alias("page_id"))
-            .groupBy("q_id", "page_id")
-            .agg(F.min("df").alias("df"))
+        more = near.join(common, "q_id").join(held, ["page_id", "word"]).select("q_id", "page_id", "weight")
+        scored = (
+            near.withColumnRenamed("sure", "weight").unionByName(more).groupBy("q_id", "page_id").agg(F.sum("weight").alias("total"))
         )
-        ranked = first_per_group(rarest, ["q_id"], [F.col("df"), F.col("page_id")], links)
+        ranked = first_per_group(scored, ["q_id"], [F.col("total").desc(), F.col("page_id")], links)
         return ranked.join(pages.select("page_id", "url"), "page_id").select(
-            "q_id", "page_id", "url", F.col("rank").cast("int").alias("rank"), (1 / F.col("df").cast("double")).alias("score")
+            "q_id", "page_id", "url", F.col("rank").cast("int").alias("rank"),
+            (F.col("total") / float(MILLIONTHS)).alias("score"),
         )
 
     return search

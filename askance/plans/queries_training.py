@@ -154,18 +154,18 @@ def _asked(spark, sf):
     return t.table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("prompt"))
 
 
-# The check takes every shared word of every pair; the query only each word's first ten pages.
+# The check sums every shared word of every pair; the query fetches candidates by the rarer words.
 _LINKS = (
     f"pg AS (SELECT * FROM (SELECT page_id, url, {s_page_text('html')} AS full_text FROM pages) WHERE full_text <> ''), "
     f"pw AS (SELECT page_id, unnest(list_distinct({s_tokens('full_text')})) AS w FROM pg), "
-    "fr AS (SELECT w, count(*) AS df FROM pw GROUP BY 1), "
+    "fr AS (SELECT w, round(ln(((SELECT count(*) FROM pg) + 1)::DOUBLE / count(*)) * 1000000)::BIGINT AS weight FROM pw GROUP BY 1), "
     f"qw AS (SELECT item_id AS q_id, unnest(list_distinct({s_tokens('text')})) AS w FROM benchmark), "
-    "hit AS (SELECT q_id, page_id, min(df) AS df FROM qw JOIN pw USING (w) JOIN fr USING (w) GROUP BY 1, 2), "
-    "ln AS (SELECT q_id, page_id, row_number() OVER (PARTITION BY q_id ORDER BY df, page_id)::INT AS rank, df FROM hit QUALIFY rank <= 10)"
+    "hit AS (SELECT q_id, page_id, sum(weight)::BIGINT AS total FROM qw JOIN pw USING (w) JOIN fr USING (w) GROUP BY 1, 2), "
+    "ln AS (SELECT q_id, page_id, row_number() OVER (PARTITION BY q_id ORDER BY total DESC, page_id)::INT AS rank, total FROM hit QUALIFY rank <= 10)"
 )
 
 
-@query("retrieve_pages", f"WITH {_LINKS} SELECT q_id, page_id, url, rank, round(1.0 / df, 6)::DOUBLE AS score FROM ln JOIN pg USING (page_id)")
+@query("retrieve_pages", f"WITH {_LINKS} SELECT q_id, page_id, url, rank, round(total / 1000000.0::DOUBLE, 6)::DOUBLE AS score FROM ln JOIN pg USING (page_id)")
 def retrieve_pages(spark, sf):
     return retrieval.lexical_search(_pages(spark, sf))(_asked(spark, sf)).withColumn("score", r6("score"))
 

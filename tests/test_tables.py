@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,13 +122,14 @@ def brute_search(questions, pages, k=10):
     for ws in words.values():
         for w in ws:
             df[w] = df.get(w, 0) + 1
+    weight = {w: round(math.log((len(pages) + 1) / n) * 1_000_000) for w, n in df.items()}
     out = {}
     for q, text in questions:
         scored = []
         for p, ws in words.items():
-            shared = [df[w] for w in set(text.lower().split()) & ws]
+            shared = [weight[w] for w in set(text.lower().split()) & ws]
             if shared:
-                scored.append((min(shared), p))
+                scored.append((-sum(shared), p))
         out[q] = [p for _, p in sorted(scored)[:k]]
     return out
 
@@ -137,6 +140,7 @@ def test_search_is_exact_with_a_crowd_of_copies(spark):
     pages = [(i, f"u{i}", "same copy text w1 w2") for i in range(30)]
     pages += [(100 + i, f"u{100 + i}", " ".join(rng.choice(vocab, 6))) for i in range(60)]
     questions = [(i, " ".join(rng.choice(vocab + ["same", "unseen"], 4))) for i in range(40)]
+    questions += [(50, "same copy text"), (51, "w1 w2 same copy text w3"), (52, "unseen"), (53, ""), (54, " ".join(vocab))]
     found = retrieval.lexical_search(spark.createDataFrame(pages, "page_id bigint, url string, full_text string"))(
         spark.createDataFrame(questions, "q_id bigint, prompt string")
     )
