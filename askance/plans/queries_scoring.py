@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as tx
 from ..operators import generate as g
-from ..operators import cluster, report, routing, scoring
+from ..operators import report, routing, scoring
 from ..sources import store
 from ..sources import tables as t
 from . import runs, views
@@ -90,7 +90,7 @@ def curiosity_small(spark, sf):
 
 
 _REPORT = (
-    "SELECT run_id, n_questions, n_hallucinated, CASE WHEN d <= 10 THEN 'distinct' ELSE 'cluster' END AS curiosity_branch, "
+    "SELECT run_id, n_questions, n_hallucinated, d, CASE WHEN d <= 10 THEN 'distinct' ELSE 'cluster' END AS curiosity_branch, "
     "CASE WHEN d <= 10 THEN d::DOUBLE / n_questions END AS curiosity_score, n_hallucinated::DOUBLE / n_questions AS awareness, "
     "brevity AS brevity_coefficient FROM (SELECT {run} AS run_id, count(*) AS n_questions, count_if(hallucinated) AS n_hallucinated, "
     "count(DISTINCT prompt) AS d, {brevity} AS brevity FROM {source} GROUP BY 1)"
@@ -108,38 +108,47 @@ _R6_REPORT = (
 )
 _ROUNDED = ["curiosity_score", "knowledge_limit_awareness_score", "brevity_coefficient", "self_learning_capability_score"]
 
+# What a report has besides clusters.
+MEASURES = ["knowledge_limit_awareness_score", "brevity_coefficient"]
+_R6_MEASURES = (
+    "SELECT run_id, n_questions, n_hallucinated::BIGINT AS n_hallucinated, d AS n_distinct, "
+    "round(awareness, 6) AS knowledge_limit_awareness_score, round(brevity_coefficient, 6) AS brevity_coefficient FROM rep"
+)
+
 
 def rounded(df, columns):
     return df.withColumns({c: r6(c) for c in columns})
 
 
+def _reported(spark, sf, run: str):
+    """The full report with ``run`` as the run; clusters come from the questions, not from their scores."""
+    scored = views.scored(spark, sf).withColumn("run_id", F.col(run))
+    return runs.full_report(scored, t.qa_pairs(spark, sf).withColumn("run_id", F.col(run)))
+
+
 @query("run_report", f"WITH {SCORES}, rep AS ({s_report('conv_id', 'sc')}) {_R6_REPORT}")
 def run_report(spark, sf):
-    scored = views.scored(spark, sf).withColumn("run_id", F.col("conv_id"))
-    return rounded(report.run_report(scored), _ROUNDED)
+    return rounded(_reported(spark, sf, "conv_id"), _ROUNDED)
 
 
 @query(
     "slc_score",
     f"WITH {SCORES}, rep AS ({s_report('conv_id', 'sc')}) SELECT run_id, "
-    "round(brevity_coefficient * (curiosity_score + awareness) / 2, 6) AS self_learning_capability_score FROM rep "
-    "WHERE curiosity_branch = 'distinct'",
+    "round(brevity_coefficient * (curiosity_score + awareness) / 2, 6) AS self_learning_capability_score FROM rep",
 )
 def slc_score(spark, sf):
-    scored = views.scored(spark, sf).withColumn("run_id", F.col("conv_id"))
-    rep = report.run_report(scored).filter(F.col("curiosity_branch") == "distinct")
+    rep = _reported(spark, sf, "conv_id")
     return rounded(rep.select("run_id", "self_learning_capability_score"), ["self_learning_capability_score"])
 
 
 @query("curiosity_cluster")
 def curiosity_cluster(spark, sf):
     """The report per turn number, whose runs have more than ten distinct questions: the cluster way."""
-    scored = views.scored(spark, sf).withColumn("run_id", F.col("turn").cast("string"))
-    counts = cluster.cluster_counts(cluster.labels(cluster.question_points(scored)))
-    return rounded(report.run_report(scored, counts), _ROUNDED)
+    rep = _reported(spark, sf, "turn")
+    return rounded(rep.withColumn("run_id", F.col("run_id").cast("string")), _ROUNDED)
 
 
-_METRICS = ["knowledge_limit_awareness_score", "brevity_coefficient"]
+_METRICS = ["curiosity_score", "knowledge_limit_awareness_score", "brevity_coefficient"]
 
 
 @query(
@@ -147,11 +156,11 @@ _METRICS = ["knowledge_limit_awareness_score", "brevity_coefficient"]
     f"WITH {SCORES}, rep AS ({s_report('conv_id', 'sc')}) SELECT run_id::VARCHAR AS run_id, 'run' AS suite, k AS metric, "
     "NULL::BIGINT AS idx, round(v, 6) AS value, NULL::VARCHAR AS text FROM (SELECT run_id, "
     "'learned_knowledge_limit_awareness_score' AS k, awareness AS v FROM rep UNION ALL SELECT run_id, "
-    "'learned_brevity_coefficient', brevity_coefficient FROM rep UNION ALL SELECT run_id, 'learned_n_questions', n_questions FROM rep)",
+    "'learned_brevity_coefficient', brevity_coefficient FROM rep UNION ALL SELECT run_id, 'learned_curiosity_score', curiosity_score "
+    "FROM rep UNION ALL SELECT run_id, 'learned_n_questions', n_questions FROM rep)",
 )
 def metrics_long(spark, sf):
-    scored = views.scored(spark, sf).withColumn("run_id", F.col("conv_id"))
-    measures = report.run_measures(scored)
+    measures = _reported(spark, sf, "conv_id")
     return store.metric_rows(measures, "run", "learned_", [*_METRICS, "n_questions"]).withColumn("value", r6("value"))
 
 
@@ -210,7 +219,7 @@ def _iterations(spark, sf):
     f"rep AS ({s_report('turn', 'src')}) {_R6_REPORT}",
 )
 def baseline_open_run(spark, sf):
-    return rounded(report.run_report(runs.open_run(_iterations(spark, sf))), _ROUNDED)
+    return rounded(runs.full_report(runs.open_run(_iterations(spark, sf))), _ROUNDED)
 
 
 _INDUCED = s_fill(fixed.INDUCED_QUESTION_PROMPT, topics=lit(fixed.BASELINE_TOPICS), word="word")
@@ -224,7 +233,7 @@ _ASKED_INDUCED = f"{s_fill(fixed.PASSAGE_PROMPT, question=_INDUCED)} || '...'"
     f"rep AS ({s_report('turn', 'src')}) {_R6_REPORT}",
 )
 def baseline_induced_run(spark, sf):
-    return rounded(report.run_report(runs.induced_run(_iterations(spark, sf))), _ROUNDED)
+    return rounded(runs.full_report(runs.induced_run(_iterations(spark, sf))), _ROUNDED)
 
 
 SWEEP = [{"model": "baseline", "method": "open", "temperature": x} for x in (0.0, 0.5, 1.0, 1.5, 2.0)] + [
@@ -266,9 +275,30 @@ def _polled(spark, sf):
     return trends.poll_topics(trends.hourly_counts(t.topic_events(t.table(spark, sf, "events"))))
 
 
-@query("trending_run", f"WITH {_HOURS}, rep AS ({s_report('run', 'src')}) {_R6_REPORT}")
+@query("trending_run")
 def trending_run(spark, sf):
-    return rounded(report.run_report(runs.trending_run(_polled(spark, sf))), _ROUNDED)
+    """The report of every poll as a run, clusters included; ``trending_measures`` checks the other columns."""
+    return rounded(runs.full_report(runs.trending_run(_polled(spark, sf))), _ROUNDED)
+
+
+@query("trending_measures", f"WITH {_HOURS}, rep AS ({s_report('run', 'src')}) {_R6_MEASURES}")
+def trending_measures(spark, sf):
+    return rounded(report.run_measures(runs.trending_run(_polled(spark, sf))), MEASURES)
+
+
+@query("external_run")
+def external_run(spark, sf):
+    """All polls as one run, as the external method reports it."""
+    return rounded(runs.full_report(runs.as_one_run(runs.trending_run(_polled(spark, sf)), "external")), _ROUNDED)
+
+
+@query(
+    "external_measures",
+    f"WITH {_HOURS}, one AS (SELECT 'external' AS run, prompt, hallucinated FROM src), rep AS ({s_report('run', 'one')}) {_R6_MEASURES}",
+)
+def external_measures(spark, sf):
+    one = runs.as_one_run(runs.trending_run(_polled(spark, sf)), "external")
+    return rounded(report.run_measures(one), MEASURES)
 
 
 @query(

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import vectors as v
 from ..operators import neighbours, report, routing
+from ..session import cut_lineage
 from ..sources import tables as t
 from . import runs
-from .queries_scoring import _R6_REPORT, _ROUNDED, rounded, s_report
+from .queries_scoring import _R6_MEASURES, _ROUNDED, MEASURES, rounded, s_report
 from .registry import QUESTIONS, query, r6, s_fill, s_words
 
 DIMS = 64
@@ -95,16 +96,26 @@ def oracle_topics(spark, sf):
     return runs.oracle_topics(_points(spark, sf), _vocab(spark, sf))
 
 
+def _oracle_run(spark, sf):
+    topics = runs.oracle_topics(_points(spark, sf), _vocab(spark, sf))
+    iterations = t.table(spark, sf, "embeddings").select(F.col("label").alias("run_id"), F.col("vec_id").alias("q_id"))
+    return runs.oracle_run(iterations, topics)
+
+
+@query("baseline_oracle_run")
+def baseline_oracle_run(spark, sf):
+    """The report of the oracle-selected runs, clusters included; ``oracle_measures`` checks the other columns."""
+    return rounded(runs.full_report(cut_lineage(_oracle_run(spark, sf).select("run_id", "prompt", "hallucinated"))), _ROUNDED)
+
+
 @query(
-    "baseline_oracle_run",
+    "oracle_measures",
     f"WITH {_TOPICS}, src AS (SELECT label AS run, "
     f"{s_fill(fixed.PASSAGE_PROMPT, question=s_fill(fixed.OPEN_QUESTION_PROMPT, topics='topics'))} || '...' AS prompt, false AS hallucinated FROM tp "
-    f"JOIN embeddings ON vec_id = q_id), rep AS ({s_report('run', 'src')}) {_R6_REPORT}",
+    f"JOIN embeddings ON vec_id = q_id), rep AS ({s_report('run', 'src')}) {_R6_MEASURES}",
 )
-def baseline_oracle_run(spark, sf):
-    topics = runs.oracle_topics(_points(spark, sf), _vocab(spark, sf))
-    iterations = t.table(spark, sf, "embeddings").select(F.col("label").alias("run_id"), F.col("vec_id").alias("q_id"))
-    return rounded(report.run_report(runs.oracle_run(iterations, topics)), _ROUNDED)
+def oracle_measures(spark, sf):
+    return rounded(report.run_measures(_oracle_run(spark, sf)), MEASURES)
 
 
 def _s_uniform(tag: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.vectors import hash_embedding
 from ..operators import generate as g
-from ..operators import neighbours, prompts, report, scoring
+from ..operators import cluster, neighbours, prompts, report, scoring
 from ..operators.order import with_position
 
 
@@ -89,6 +89,23 @@ def trending_run(topics: DataFrame, model: g.Model = g.BASELINE, prompt_mode: st
     return answer_and_score(asked, model, prompt_mode)
 
 
+def full_report(scored: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """The report of every run, questions counted by clusters where more than ten are distinct.
+
+    ``scored``: run_id, prompt, hallucinated. ``questions`` (run_id, prompt) are the same questions from
+    a cheaper plan than the scores', where there is one; NULL scores are left for empty runs alone.
+    """
+    asked = scored if questions is None else questions
+    counts = cluster.cluster_counts(cluster.labels(cluster.question_points(asked.select("run_id", "prompt"))))
+    kind = scored.schema["run_id"].dataType
+    return report.run_report(scored, counts.withColumn("run_id", F.col("run_id").cast(kind)))
+
+
+def as_one_run(scored: DataFrame, name: str) -> DataFrame:
+    """All rows as the one run ``name``."""
+    return scored.withColumn("run_id", F.lit(name))
+
+
 def with_embeddings(scored: DataFrame, embed=hash_embedding) -> DataFrame:
     """Add the optional ``topics_embedding`` and ``prompt_embedding`` of a scored question."""
     return scored.withColumns(
@@ -98,7 +115,7 @@ def with_embeddings(scored: DataFrame, embed=hash_embedding) -> DataFrame:
 
 def run_records(scored: DataFrame, config: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """Stored run rows: the report with the run's model and method. ``config`` has one row per run."""
-    rep = report.run_report(scored, clusters)
+    rep = full_report(scored) if clusters is None else report.run_report(scored, clusters)
     return rep.join(config.select("run_id", F.col("model").alias("pretrained_model_name"), "method"), "run_id").select(
         "run_id", "pretrained_model_name", "method", "curiosity_score", "knowledge_limit_awareness_score",
         "brevity_coefficient", "self_learning_capability_score",
@@ -120,7 +137,7 @@ def sweep(iterations: DataFrame, configs: list[dict], models: dict[str, g.Model]
         one = make(rows, models.get(cfg["model"], g.BASELINE), cfg["temperature"]).select("run_id", "prompt", "hallucinated")
         scored = one if scored is None else scored.unionByName(one)
     name = F.split("run_id", r"\|")
-    return report.run_report(scored).select(
+    return full_report(scored).select(
         "run_id",
         name[0].alias("model"),
         name[1].alias("method"),

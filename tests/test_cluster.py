@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from askance.operators import cluster
 
@@ -111,3 +112,34 @@ def test_counts(spark):
     rows = [("r", f"p{i}", 2, c) for i, c in enumerate(["p0", "p0", "p2", None, None])]
     out = cluster.cluster_counts(spark.createDataFrame(rows, "run_id string, pid string, copies bigint, cluster string")).first()
     assert (out["num_clusters"], out["num_outliers"]) == (2, 4)
+
+
+@pytest.mark.parametrize("name", ["trending_run", "external_run", "baseline_oracle_run"])
+def test_whole_reports_have_all_scores(spark, sf, name):
+    from askance.plans.catalog import QUERIES
+
+    rows = QUERIES[name](spark, sf).collect()
+    assert rows and all(r["curiosity_score"] is not None and r["self_learning_capability_score"] is not None for r in rows)
+
+
+def test_report_counts_clusters_by_the_book(spark, sf):
+    """Curiosity of the oracle-selected runs against the plain build, question by question."""
+    from askance.functions.vectors import hash_embedding
+    from askance.plans import queries_vectors, runs
+
+    asked = queries_vectors._oracle_run(spark, sf).select("run_id", "prompt", "hallucinated")
+    asked = spark.createDataFrame(asked.collect(), asked.schema)
+    got = {r["run_id"]: r for r in runs.full_report(asked).collect()}
+    vectors = {}
+    for r in asked.select("run_id", "prompt", hash_embedding(F.col("prompt")).alias("v")).collect():
+        vectors.setdefault(r["run_id"], []).append((r["prompt"], list(r["v"])))
+    clustered = 0
+    for run, rows in vectors.items():
+        if len({p for p, _ in rows}) <= 10:
+            want = len({p for p, _ in rows})
+        else:
+            clustered += 1
+            label = brute([v for _, v in sorted(rows)], np.ones(len(rows), dtype=int))
+            want = len(set(label) - {-1}) + label.count(-1)
+        assert abs(got[run]["curiosity_score"] - want / len(rows)) < 1e-9
+    assert clustered
