@@ -32,10 +32,10 @@ from .common import groups, held
 BLANK = "▁"
 SHARPNESS = 1.0
 SEED = 42
-#: Lattice edges that a worker keeps before it starts anew: at 9 bytes each, with the units' names, some 120 MB.
-KEPT_EDGES = 6_000_000
+#: Lattice edges that a worker keeps before it starts anew: at 9 bytes each, with the units' names, some 80 MB.
+KEPT_EDGES = 4_000_000
 #: Bytes of text that are cut and drawn together; the draws take some 60 bytes of memory for each.
-GROUP_CHARS = 1_500_000
+GROUP_CHARS = 600_000
 #: Units up to this length are learned together; 48 weights of at least 1/32,000 are still far from zero.
 MATRIX_CHARS = 48
 _KEY_BASE = np.uint64(0x100000001B3)
@@ -93,7 +93,7 @@ class Lattice:
         for u in units:
             by_length.setdefault(len(u), []).append(u)
         for n, group in sorted(by_length.items()):
-            size = 60_000 // n
+            size = max(1, 30_000 // n)
             for lo in range(0, len(group), size):
                 if n <= MATRIX_CHARS:
                     self._learn_matrix(group[lo : lo + size], n)
