@@ -1,3 +1,4 @@
+import hashlib
 import math
 import warnings
 
@@ -173,8 +174,10 @@ def test_run_records_and_embeddings(spark):
 def test_one_conversation_with_a_third_of_all_rows(spark, tmp_path):
     import numpy as np
     from oracle_compare import compare
+    from test_cluster import brute
 
     import duckdb
+    from askance.functions.vectors import hash_embedding
     from askance.plans.catalog import CHECKS, QUERIES
 
     rng = np.random.default_rng(4)
@@ -187,6 +190,27 @@ def test_one_conversation_with_a_third_of_all_rows(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
-    for name in ("sentence_sample_pairs", "run_report", "nest_samples", "scan_qa_pairs", "curiosity_small"):
+    for name in ("sentence_sample_pairs", "nest_samples", "scan_qa_pairs", "curiosity_small"):
         problem, _, n = compare(spark, con, str(tmp_path), QUERIES[name], CHECKS[name])
         assert problem is None and n > 0, (name, problem)
+    # The check SQL of the report has no clusters: the large run's curiosity is held against a plain build.
+    table = con.execute(CHECKS["run_report"])
+    names = [c[0] for c in table.description]
+    want = {row[names.index("run_id")]: dict(zip(names, row)) for row in table.fetchall()}
+    got = {r["run_id"]: r.asDict() for r in QUERIES["run_report"](spark, str(tmp_path)).collect()}
+    asked = [r[3] for r in rows if r[0] == 0 and r[2] == "user"]
+    # Equal weights, of which word counts have many, are taken in the order of the points' ids.
+    distinct = sorted(set(asked), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    shown = spark.createDataFrame([(i, x) for i, x in enumerate(distinct)], "i int, x string")
+    vectors = [list(r["v"]) for r in shown.select("i", hash_embedding(F.col("x")).alias("v")).orderBy("i").collect()]
+    copies = np.array([asked.count(x) for x in distinct])
+    label = np.array(brute(vectors, copies))
+    curiosity = (len(set(label.tolist()) - {-1}) + copies[label == -1].sum()) / len(asked)
+    big = want[0]
+    assert big["curiosity_branch"] == "cluster" and big["curiosity_score"] is None
+    big["curiosity_score"] = round(float(curiosity), 6)
+    whole = big["brevity_coefficient"] * (curiosity + big["knowledge_limit_awareness_score"]) / 2
+    big["self_learning_capability_score"] = round(float(whole), 6)
+    assert got.keys() == want.keys()
+    for run, row in want.items():
+        assert got[run] == pytest.approx(row, abs=2e-6), run
