@@ -10,11 +10,12 @@ row taken as one) and its place in that sequence. Over all pages of the host eac
 * composite importance: (1 - g^l) presentation + g^l content, with l its number of style nodes. An
   element on one page only has importance 1.
 
-Importance is weighted by role. Elements that HTML or their own class names declare as menus, headers,
-footers, sidebars, notices, adverts, forms, scripts or comments weigh 0, as do branches beside the article
-on pages that mark one; flow content without a class of its own inside a marked article weighs 1 whatever
-its entropy, since a passage that other pages quote is still the article's. All other branches are kept or
-removed by composite importance.
+Importance is weighted by role. Elements that HTML declares as menus, headers, footers, sidebars, notices,
+forms or scripts by tag, role or hiding weigh 0, as do branches beside the article on pages that mark one;
+flow content without a class of its own inside a marked article weighs 1 whatever its entropy, since a
+passage that other pages quote is still the article's. All other branches are kept or removed by composite
+importance, of which a class or id that sounds like a menu, notice, advert or the like leaves the share
+``NAMED_WEIGHT``. Names say nothing against html, body, main, article and what holds a marked article.
 
 Counting is grouped by (element, content) and (element, style) with sums before the shuffle, so a host
 with a third of all pages spreads over its elements and contents and no task gathers a host or a tree.
@@ -25,6 +26,8 @@ from __future__ import annotations
 import html as references
 import json
 import re
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +37,8 @@ from .common import cut_lineage
 
 GAMMA = 0.9
 LEAST_IMPORTANCE = 0.2
+#: What a class or id of ``NOISE_WORDS`` leaves of an element's importance.
+NAMED_WEIGHT = 0.5
 #: Elements nested deeper count as parts of their ancestor at this depth.
 MOST_DEPTH = 16
 
@@ -57,6 +62,8 @@ NOISE_WORDS = frozenset(
     "comment comments commentlist respond disqus share sharing social related recommended toolbar copyright "
     "disclaimer skip".split()
 )
+#: Never judged by their names.
+WHOLE = frozenset("html body main article".split())
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th figure hgroup hr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: An open element of the first kind is ended by the start of one of the second.
@@ -85,10 +92,13 @@ class Page:
     """Element nodes and text blocks of one page, in page order."""
 
     def __init__(self, source: str):
-        # per node: parent, signature, is plain flow, weighs nothing, is a marked article, is main
+        # per node: parent, signature, is plain flow, weighs nothing, is a marked article, is main, is named
+        # as noise, is html or body
         self.parent, self.sign, self.plain = [-1], ["#"], [False]
         self.noise, self.article, self.main = [False], [False], [False]
-        self.blocks: list[tuple[int, str]] = []
+        self.named, self.top = [False], [False]
+        #: A block is (node, text) parts: more than one where inline elements are named as noise.
+        self.blocks: list[list[tuple[int, str]]] = []
         self.links: list[tuple[int, str]] = []
         self._read(source)
 
@@ -97,7 +107,7 @@ class Page:
         role = attributes.get("role", "").strip().lower()
         own = bool(names or role)
         hidden = "hidden" in attributes or _HIDDEN.search(attributes.get("style", "")) is not None
-        noise = tag in NOISE_TAGS or role in NOISE_ROLES or hidden or not NOISE_WORDS.isdisjoint(names)
+        noise = tag in NOISE_TAGS or role in NOISE_ROLES or hidden
         if tag == "header":
             noise = not any(self.article[n] for n in self._line(above))
         self.parent.append(above)
@@ -106,6 +116,9 @@ class Page:
         self.noise.append(noise or self.noise[above])
         self.article.append((tag == "article" or role == "article") and not self.noise[-1])
         self.main.append((tag == "main" or role == "main") and not self.noise[-1])
+        whole = tag in WHOLE or role in WHOLE
+        self.named.append(not whole and not self.noise[-1] and not NOISE_WORDS.isdisjoint(names))
+        self.top.append(tag in ("html", "body"))
         return len(self.parent) - 1
 
     def _line(self, node: int):
@@ -115,13 +128,17 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]
-        held: list[str] = []
+        held: list[tuple[int, str]] = []
 
         def flush() -> None:
-            text = " ".join("".join(held).split())
+            parts: list[tuple[int, str]] = []
+            for node, some in groupby(held, itemgetter(0)):
+                parts.append((node, "".join(text for _, text in some)))
             held.clear()
-            if text:
-                self.blocks.append((stack[-1][1], text))
+            if len(parts) == 1:
+                parts = [(parts[0][0], " ".join(parts[0][1].split()))]
+            if any(text and not text.isspace() for _, text in parts):
+                self.blocks.append(parts)
 
         def close(depth: int) -> None:
             while len(stack) > depth:
@@ -134,7 +151,7 @@ class Page:
             found = _TAG.search(source, at)
             text = source[at : found.start() if found else end]
             if text and not self.noise[stack[-1][1]]:
-                held.append(references.unescape(text) if "&" in text else text)
+                held.append((stack[-1][1], references.unescape(text) if "&" in text else text))
             if not found:
                 break
             at = found.end()
@@ -151,7 +168,7 @@ class Page:
                         break
                 continue
             if tag == "br":
-                held.append(" ")
+                held.append((stack[-1][1], " "))
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if tag in ENDED_BY.get(stack[depth][0], ()):
@@ -166,18 +183,19 @@ class Page:
             if tag == "a" and attributes.get("href"):
                 self.links.append((above, attributes["href"]))
             node = above
-            if tag in BLOCK or tag in NOISE_TAGS or attributes.get("class") or attributes.get("role") or attributes.get("hidden") is not None or "style" in attributes:
+            if tag in BLOCK or tag in NOISE_TAGS or attributes.get("class") or attributes.get("id") or attributes.get("role") or attributes.get("hidden") is not None or "style" in attributes:
                 node = self._open(tag, attributes, above)
-                if tag not in BLOCK and not self.noise[node]:
+                if tag not in BLOCK and not self.noise[node] and not self.named[node]:
                     self.parent.pop(), self.sign.pop(), self.plain.pop()
                     self.noise.pop(), self.article.pop(), self.main.pop()
+                    self.named.pop(), self.top.pop()
                     node = above
             if tag in VOID:
                 continue
             if tag in RAW:
                 stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])|\\Z", re.I).search(source, at)
                 if not self.noise[node]:
-                    held.append(source[at : stop.start()])
+                    held.append((node, source[at : stop.start()]))
                 at = stop.start()
             stack.append((tag, node))
         close(1)
@@ -216,27 +234,61 @@ class Page:
     def chain(self, node: int, element: list[int]) -> list[int]:
         return list(dict.fromkeys(element[n] for n in self._line(node)))
 
-    def choice(self) -> list[tuple[list[int], str]]:
-        """Text blocks that role weights leave, each with the nodes that importance has yet to judge."""
+    def texts(self):
+        """(node, text) of all blocks, those of several parts by their parts."""
+        for parts in self.blocks:
+            for node, text in parts:
+                text = text if len(parts) == 1 else " ".join(text.split())
+                if text:
+                    yield node, text
+
+    def choice(self) -> tuple[list[tuple[int, int, bool]], list[list[tuple[int, str]]]]:
+        """(judged, blocks): the nodes that importance has yet to judge, and the blocks that role weights leave.
+
+        ``judged`` has the place in it of the next judged node above (-1: none), the node, and whether its
+        name lowers its weight; blocks name their place in ``judged`` instead of a node.
+        """
         marked = self.article if any(self.article) else self.main
         some = any(marked)
-        out = []
-        for node, text in self.blocks:
-            if self.noise[node]:
-                continue
-            judged, inside = [], False
-            for n in self._line(node):
-                if marked[n]:
-                    inside = True
-                    break
-                if n and not self.plain[n]:
-                    judged.append(n)
-            if inside:
-                out.append((judged, text))
-            elif not some:
-                line = [n for n in self._line(node) if n and self.sign[n] not in ("html", "body")]
-                out.append((line, text))
-        return out
+        names = [0] * len(self.parent)
+        for n in range(1, len(self.parent)):
+            names[n] = names[self.parent[n]] + self.named[n]
+        # The marked articles below the fewest names: whatever holds them is a wrapper, not noise. Others,
+        # as in a list of comments, stay subject to the names that hold them.
+        least = min((names[n] for n in range(len(marked)) if marked[n]), default=0)
+        wraps = [False] * len(self.parent)
+        for n in range(len(marked)):
+            if marked[n] and names[n] == least:
+                for up in self._line(n):
+                    if wraps[up]:
+                        break
+                    wraps[up] = True
+        inside, place, by_name = [False] * len(self.parent), [-1] * len(self.parent), [-1] * len(self.parent)
+        judged: list[tuple[int, int, bool]] = []
+        for n in range(1, len(self.parent)):
+            above = self.parent[n]
+            inside[n] = inside[above] or marked[n]
+            named = self.named[n] and not wraps[n]
+            if some:
+                asked = named or inside[above] and not self.plain[n] and not marked[n]
+            else:
+                asked = not self.top[n]
+            place[n], by_name[n] = place[above], by_name[above]
+            if asked and not self.noise[n]:
+                judged.append((place[above], n, named))
+                place[n] = len(judged) - 1
+                if named:
+                    if by_name[above] != place[above]:
+                        judged.append((by_name[above], n, named))
+                    by_name[n] = len(judged) - 1
+            if marked[n]:
+                place[n] = by_name[n]  # above a marked article only names count
+        blocks = []
+        for parts in self.blocks:
+            left = [(place[n], text) for n, text in parts if not self.noise[n] and (inside[n] or not some)]
+            if left:
+                blocks.append(left)
+        return judged, blocks
 
 
 def host_of(url: str | None) -> str:
@@ -271,7 +323,7 @@ def _tree_rows(batches):
                     line = page.chain(n, element)
                     out[element[n], _PAGE, 0] = line
                     out[element[n], _STYLE, style[n]] = line
-                for n, text in [*page.blocks, *page.links]:
+                for n, text in [*page.texts(), *page.links]:
                     if n:
                         out[element[n], _CONTENT, digest(text)] = page.chain(n, element)
                 made += [(e, k, v, c if k == _PAGE else None) for (e, k, v), c in out.items()]
@@ -335,33 +387,52 @@ def _chosen(batches):
         judged, bodies = [], []
         for url, source in zip(urls.to_pylist(), sources.to_pylist()):
             page = Page(source or "")
-            choice = page.choice()
-            if any(line for line, _ in choice):
+            asked, blocks = page.choice()
+            if asked:
                 element = page.keys(host_of(url))[0]
-                choice = [([element[n] for n in line], text) for line, text in choice]
-            judged.append(sorted({e for line, _ in choice for e in line}))
-            bodies.append(packer.compress(json.dumps(choice, ensure_ascii=False).encode("utf-8", "surrogatepass")))
+                asked = [(above, element[n], named) for above, n, named in asked]
+            judged.append(sorted({e for _, e, _ in asked}))
+            choice = json.dumps([asked, blocks], ensure_ascii=False)
+            bodies.append(packer.compress(choice.encode("utf-8", "surrogatepass")))
         yield pa.RecordBatch.from_arrays(
             [ids, urls, keys, pa.array(judged, pa.list_(pa.int64())), pa.array(bodies, pa.binary())],
             names=["page_id", "url", "key", "judged", "body"],
         )
 
 
-def _texts(bodies: Column, removed: Column) -> Column:
+def _kept(judged, blocks, removed: set, lowered: set) -> list[str]:
+    """Texts of the blocks of which no judged element is too low, and what stands in if that leaves nothing."""
+
+    def left(gone) -> list[str]:
+        lost = []
+        for above, element, named in judged:
+            lost.append(above >= 0 and lost[above] or gone(element, named))
+        out = []
+        for parts in blocks:
+            text = " ".join("".join(text for at, text in parts if at < 0 or not lost[at]).split())
+            if text:
+                out.append(text)
+        return out
+
+    kept = left(lambda element, named: element in removed or named and element in lowered)
+    if not kept and all(at >= 0 for parts in blocks for at, _ in parts):
+        # a wrapper's name must not empty a page; and branches alike on all pages tell nothing, so that names decide
+        kept = left(lambda element, named: element in removed) or left(lambda element, named: named) or left(lambda *_: False)
+    return kept
+
+
+def _texts(bodies: Column, removed: Column, lowered: Column) -> Column:
     @F.arrow_udf("string")
-    def joined(bodies: pa.Array, removed: pa.Array) -> pa.Array:
+    def joined(bodies: pa.Array, removed: pa.Array, lowered: pa.Array) -> pa.Array:
         import zstandard
 
         opener, out = zstandard.ZstdDecompressor(), []
-        for body, gone in zip(bodies.to_pylist(), removed.to_pylist()):
-            blocks, gone = json.loads(opener.decompress(body)), set(gone or ())
-            kept = [text for line, text in blocks if gone.isdisjoint(line)]
-            if not kept and all(line for line, _ in blocks):
-                kept = [text for _, text in blocks]  # every branch alike on all pages tells nothing
-            out.append("\n".join(kept))
+        for body, gone, low in zip(bodies.to_pylist(), removed.to_pylist(), lowered.to_pylist()):
+            judged, blocks = json.loads(opener.decompress(body))
+            out.append("\n".join(_kept(judged, blocks, set(gone or ()), set(low or ()))))
         return pa.array(out, pa.string())
 
-    return joined(bodies, removed)
+    return joined(bodies, removed, lowered)
 
 
 def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -370,18 +441,28 @@ def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     ``text`` is the kept blocks in page order, joined by a line end: character references decoded, white
     space in a block one blank, both ends trimmed; a line break is white space. ``n_chars`` counts code
     points. Null, empty and markup-only html give the empty text; markup may be cut off or unclosed. A page
-    without a readable host shares a tree with the others of that kind. If entropy would leave nothing of a
-    page that marks no article, its blocks stay. Repeated rows come out as often as they came in. Other
+    without a readable host shares a tree with the others of that kind. If importance would leave nothing of a
+    page whose blocks are all judged, names lower nothing there; if still nothing is left, names alone decide,
+    and after that all its blocks stay. Repeated rows come out as often as they came in. Other
     columns are not looked at.
     """
-    low = cut_lineage(style_tree(pages).filter(F.col("importance") < least).select(F.col("element").alias("gone")))
+    low = cut_lineage(
+        style_tree(pages)
+        .filter(NAMED_WEIGHT * F.col("importance") < least)
+        .select(F.col("element").alias("gone"), (F.col("importance") < least).alias("whole"))
+    )
     keyed = pages.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("key"), "html")
     chosen = keyed.mapInArrow(_chosen, _CHOSEN)
     asked = chosen.select("key", F.explode("judged").alias("gone")).distinct()
     removed = (
-        asked.join(low, "gone").groupBy("key").agg(F.collect_set("gone").alias("removed"))
+        asked.join(low, "gone")
+        .groupBy("key")
+        .agg(
+            F.collect_set(F.when(F.col("whole"), F.col("gone"))).alias("removed"),
+            F.collect_set(F.when(~F.col("whole"), F.col("gone"))).alias("lowered"),
+        )
     )
-    text = _texts(F.col("body"), F.col("removed")).alias("text")
+    text = _texts(F.col("body"), F.col("removed"), F.col("lowered")).alias("text")
     return (
         chosen.join(removed, "key", "left")
         .select("page_id", "url", text)

@@ -61,6 +61,43 @@ def test_tree_removes_what_all_pages_share(spark):
     assert shared and own
 
 
+WRAPPERS = [
+    ("<body class='has-sidebar'>{}</body>", True),
+    ("<body><div id='page' class='site header-fixed'>{}</div></body>", True),
+    ("<body><div class='content-with-sidebar'>{}</div></body>", True),
+    ("<body><main class='has-menu'>{}</main></body>", True),
+    ("<article class='post comments-open'>{}</article>", False),
+    ("<div class='with-sidebar'><article>{}</article></div>", False),
+    ("<div class='with-sidebar'><main class='share'>{}</main><div class='widget'>W</div></div>", False),
+]
+
+
+def test_names_of_wrappers_keep_their_text(spark):
+    rows, want = [], {}
+    for k, (wrapper, menu) in enumerate(WRAPPERS):
+        for n in range(20):
+            own = f"<h2 id='social-history'>Head {n}</h2><section id='related-work'><p>Own {n * 37}.</p></section><p>Not <b id='ad-{n}'>so {n}</b>.</p>"
+            top = "<div class='menu'>Home <a href='/b'>Items</a></div>" if menu else ""
+            rows.append((100 * k + n, f"https://h{k}.example/{n}", wrapper.format(top + own)))
+            want[100 * k + n] = f"Head {n}\nOwn {n * 37}.\nNot so {n}."
+    rows.append((9000, "https://one.example/", "<div class='top-banner'><article class='ad'>A</article></div><div class='sidebar'>s</div>"))
+    want[9000] = "A"
+    got = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
+def test_names_only_lower_importance(spark):
+    """Five adverts dealt over 200 pages are kept without a telling name, and removed with one."""
+    rows = [
+        (n, f"https://{name}.example/{n}", f"<div class='{name}'>Buy {n % 5}</div><div class=x><p>Own {n}</p></div>")
+        for name in ("advert", "other")
+        for n in range(200)
+    ]
+    got = {r.url: r.text for r in extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got["https://advert.example/7"] == "Own 7"
+    assert got["https://other.example/7"] == "Buy 2\nOwn 7"
+
+
 ODD_PAGES = [
     (1, "https://h.example/", None, ""),
     (2, None, "", ""),
