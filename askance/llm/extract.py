@@ -19,6 +19,9 @@ importance, of which a class or id that sounds like a menu, notice, advert or th
 
 Counting is grouped by (element, content) and (element, style) with sums before the shuffle, so a host
 with a third of all pages spreads over its elements and contents and no task gathers a host or a tree.
+Contents are added up the tree in rounds of one grouped sum: after round k an element holds what lies less
+than 2^k levels below it, and hands that to its ancestor 2^k levels above. A row names only the ancestors at
+those distances, and the rounds are the logarithm of the greatest depth, so that no depth is left out.
 """
 
 from __future__ import annotations
@@ -39,8 +42,6 @@ GAMMA = 0.9
 LEAST_IMPORTANCE = 0.2
 #: What a class or id of ``NOISE_WORDS`` leaves of an element's importance.
 NAMED_WEIGHT = 0.5
-#: Elements nested deeper count as parts of their ancestor at this depth.
-MOST_DEPTH = 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -131,9 +132,9 @@ class Page:
         held: list[tuple[int, str]] = []
 
         def flush() -> None:
-            parts: list[tuple[int, str]] = []
-            for node, some in groupby(held, itemgetter(0)):
-                parts.append((node, "".join(text for _, text in some)))
+            if not held:
+                return
+            parts = [(n, "".join([text for _, text in some])) for n, some in groupby(held, itemgetter(0))]
             held.clear()
             if len(parts) == 1:
                 parts = [(parts[0][0], " ".join(parts[0][1].split()))]
@@ -201,8 +202,8 @@ class Page:
         close(1)
         flush()
 
-    def keys(self, host: str) -> tuple[list[int], list[int], list[int]]:
-        """Per node its element key, style key and depth."""
+    def keys(self, host: str) -> tuple[list[int], list[int]]:
+        """Per node its element key and style key."""
         import xxhash
 
         def key(text: str) -> int:
@@ -212,14 +213,9 @@ class Page:
         children: list[list[int]] = [[] for _ in self.parent]
         for n in range(1, len(self.parent)):
             children[self.parent[n]].append(n)
-        element, style, depth = [0] * len(self.parent), [0] * len(self.parent), [0] * len(self.parent)
+        element, style = [0] * len(self.parent), [0] * len(self.parent)
         element[0] = key(f"host {host}")
         for n in range(len(self.parent)):
-            if depth[n] >= MOST_DEPTH:
-                for c in children[n]:
-                    element[c], depth[c] = element[n], depth[n]
-                style[n] = style[n] or key(f"{element[n]} deep")
-                continue
             look: list[str] = []
             place = []
             for c in children[n]:
@@ -228,11 +224,22 @@ class Page:
                 place.append(len(look) - 1)
             style[n] = key(f"{element[n]} {' '.join(look)}")
             for c, p in zip(children[n], place):
-                element[c], depth[c] = key(f"{style[n]} {p}"), depth[n] + 1
-        return element, style, depth
-
-    def chain(self, node: int, element: list[int]) -> list[int]:
-        return list(dict.fromkeys(element[n] for n in self._line(node)))
+                element[c] = key(f"{style[n]} {p}")
+        return element, style
+
+    def jumps(self, element: list[int]) -> list[list[int]]:
+        """Per node the element keys of its ancestors 1, 2, 4, ... levels above, below the root."""
+        below: list[list[int] | None] = [None] * len(self.parent)  # of the children of a node: alike for all
+        named: list[list[int]] = [[] for _ in self.parent]
+        below[0] = []
+        for n in range(1, len(self.parent)):
+            p = self.parent[n]
+            if below[p] is None:
+                line = [p]
+                while len(up := below[self.parent[line[-1]]]) >= len(line):
+                    line.append(up[len(line) - 1])
+                below[p], named[p] = line, [element[a] for a in line]
+        return [named[max(p, 0)] for p in self.parent]
 
     def texts(self):
         """(node, text) of all blocks, those of several parts by their parts."""
@@ -301,10 +308,10 @@ _STYLE, _CONTENT, _PAGE = 0, 1, 2
 
 
 def _tree_rows(batches):
-    """(element, kind, value, chain) rows of each page, each once per page."""
+    """(element, kind, value, jumps) rows of each page, each once per page."""
     import xxhash
 
-    kinds = pa.schema([("element", pa.int64()), ("kind", pa.int8()), ("value", pa.int64()), ("chain", pa.list_(pa.int64()))])
+    kinds = pa.schema([("element", pa.int64()), ("kind", pa.int8()), ("value", pa.int64()), ("jumps", pa.list_(pa.int64()))])
 
     def digest(text: str) -> int:
         value = xxhash.xxh64_intdigest(text)
@@ -312,29 +319,29 @@ def _tree_rows(batches):
 
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
-            out: dict[tuple[int, int, int], list[int]] = {}
+            out: dict[tuple[int, int, int], list[int] | None]
             made = []
             part = batch.slice(lo, 512)
             for url, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 page = Page(source or "")
-                element, style, _ = page.keys(host_of(url))
+                element, style = page.keys(host_of(url))
+                jumps = page.jumps(element)
                 out = {}
                 for n in range(1, len(element)):
-                    line = page.chain(n, element)
-                    out[element[n], _PAGE, 0] = line
-                    out[element[n], _STYLE, style[n]] = line
+                    out[element[n], _PAGE, 0] = jumps[n]
+                    out[element[n], _STYLE, style[n]] = None
                 for n, text in [*page.texts(), *page.links]:
                     if n:
-                        out[element[n], _CONTENT, digest(text)] = page.chain(n, element)
-                made += [(e, k, v, c if k == _PAGE else None) for (e, k, v), c in out.items()]
+                        out[element[n], _CONTENT, digest(text)] = None
+                made += [(e, k, v, up) for (e, k, v), up in out.items()]
             cols = list(zip(*made)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds)], schema=kinds)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(element, pages, styles, presentation, content, importance) of every element of every host."""
-    rows = pages.select("url", "html").mapInArrow(_tree_rows, "element bigint, kind tinyint, value bigint, chain array<bigint>")
-    seen = rows.groupBy("element", "kind", "value").agg(F.count("*").alias("c"), F.first("chain").alias("chain"))
+    rows = pages.select("url", "html").mapInArrow(_tree_rows, "element bigint, kind tinyint, value bigint, jumps array<bigint>")
+    seen = rows.groupBy("element", "kind", "value").agg(F.count("*").alias("c"), F.first("jumps").alias("jumps"))
 
     def of(kind: int, value):
         return F.when(F.col("kind") == kind, value)
@@ -343,32 +350,46 @@ def style_tree(pages: DataFrame) -> DataFrame:
     own = cut_lineage(
         seen.groupBy("element").agg(
             F.max(of(_PAGE, F.col("c"))).alias("pages"),
-            F.first(of(_PAGE, F.col("chain")), ignorenulls=True).alias("chain"),
+            F.first(of(_PAGE, F.col("jumps")), ignorenulls=True).alias("jumps"),
             F.count(of(_STYLE, F.lit(1))).alias("styles"),
             F.sum(of(_STYLE, c)).alias("looks"),
             F.sum(of(_STYLE, c * F.log(c))).alias("look_logs"),
             F.count(of(_CONTENT, F.lit(1))).alias("contents"),
-            F.sum(of(_CONTENT, F.log(c))).alias("content_logs"),
+            F.coalesce(F.sum(of(_CONTENT, F.log(c))), F.lit(0.0)).alias("content_logs"),
         )
     )
-    branch = (
-        own.filter("contents > 0")
-        .select(F.explode("chain").alias("element"), "contents", "content_logs")
-        .groupBy("element")
-        .agg(F.sum("contents").alias("contents"), F.sum("content_logs").alias("content_logs"))
-    )
+    about = F.struct("pages", "styles", "looks", "look_logs", "jumps").alias("about")
+    branch = own.select("element", "contents", "content_logs", about)
+    for k in range(own.agg(F.max(F.size("jumps"))).first()[0] or 0):
+        above = F.when(F.col("contents") > 0, F.get("about.jumps", F.lit(k)))
+        both = F.explode(
+            F.array(
+                F.struct("element", "contents", "content_logs", "about"),
+                F.struct(above.alias("element"), "contents", "content_logs", F.lit(None).cast(branch.schema["about"].dataType).alias("about")),
+            )
+        ).alias("row")
+        branch = (
+            branch.select(both)
+            .select("row.*")
+            .filter(F.col("element").isNotNull())
+            .groupBy("element")
+            .agg(
+                F.sum("contents").alias("contents"),
+                F.sum("content_logs").alias("content_logs"),
+                F.first("about", ignorenulls=True).alias("about"),
+            )
+        )
     m = F.log(F.col("pages").cast("double"))
     once = F.col("pages") < 2
     presentation = F.when(once, 1.0).otherwise(
         F.least(F.lit(1.0), (F.log("looks") - F.col("look_logs") / F.col("looks")) / m)
     )
-    content = F.when(once, 1.0).when(F.col("contents").isNull(), 0.0).otherwise(
+    content = F.when(once, 1.0).when(F.col("contents") == 0, 0.0).otherwise(
         F.greatest(F.lit(0.0), 1 - F.col("content_logs") / F.col("contents") / m)
     )
     share = F.pow(F.lit(GAMMA), F.col("styles").cast("double"))
     return (
-        own.select("element", "pages", "styles", "looks", "look_logs")
-        .join(branch, "element", "left")
+        branch.select("element", "contents", "content_logs", "about.*")
         .select("element", "pages", "styles", presentation.alias("presentation"), content.alias("content"))
         .withColumn("importance", (1 - share) * F.col("presentation") + share * F.col("content"))
     )

@@ -98,6 +98,38 @@ def test_names_only_lower_importance(spark):
     assert got["https://other.example/7"] == "Buy 2\nOwn 7"
 
 
+def test_no_depth_is_left_out(spark):
+    """Menus and text far down are elements of their own, and contents add up over all levels."""
+    rows = [
+        (100 * deep + n, f"https://d{deep}.example/{n}", "<div>" * deep + site(n, f"<p>Own {n * 37}.")[6:-7] + "</div>" * deep)
+        for deep in (15, 17, 40)
+        for n in range(30)
+    ]
+    rows += [(9000 + n, "https://z.example/", "".join(f"<div class=c{i}>T{i * n}" for i in range(70))) for n in range(3)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in extract.main_text(frame).collect()}
+    assert all(got[100 * deep + n] == f"Own {n * 37}." for deep in (15, 17, 40) for n in range(30))
+    seen, over, pages = {}, {}, {}
+    for _, url, source in rows:
+        page = extract.Page(source)
+        element, _ = page.keys(extract.host_of(url))
+        for n in range(1, len(element)):
+            over[element[n]] = {element[a] for a in page._line(n) if a}
+        for e in set(element[1:]):
+            pages[e] = pages.get(e, 0) + 1
+        for at in {(element[n], text) for n, text in [*page.texts(), *page.links] if n}:
+            seen[at] = seen.get(at, 0) + 1
+    logs = {}
+    for (e, _), count in seen.items():
+        for a in over[e]:
+            logs.setdefault(a, []).append(math.log(count))
+    tree = {r.element: r for r in extract.style_tree(frame).collect()}
+    assert set(tree) == set(over)
+    for e, r in tree.items():
+        want = 1.0 if pages[e] < 2 else max(0.0, 1 - sum(logs[e]) / len(logs[e]) / math.log(pages[e])) if e in logs else 0.0
+        assert r.pages == pages[e] and math.isclose(r.content, want, abs_tol=1e-9)
+
+
 ODD_PAGES = [
     (1, "https://h.example/", None, ""),
     (2, None, "", ""),
