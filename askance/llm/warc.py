@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, fresh_folder, open_shared, write_shared
@@ -43,26 +43,25 @@ def digest_of(payload: bytes) -> str:
 
 
 def decisions(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """Revisits of ``pages`` (page_id, html): (page_id, refers_to), a row per page that revisits another.
+    """Revisits of ``pages`` (page_id, html): (page_id, payload_digest, refers_to), a row per page and payload
+    that revisits another page.
 
     Of pages with equal payloads of at least ``least`` bytes, that with the largest page_id is the
-    response. Only digests are shuffled, and equal ones meet before the shuffle.
+    response. Only digests (``_payload_digest``) are shuffled, and equal ones meet before the shuffle.
     """
-
-    @F.pandas_udf("payload_bytes bigint, payload_digest string")
-    def digested(pages: pd.Series) -> pd.DataFrame:
-        bodies = [(p or "").encode("utf-8") for p in pages]
-        return pd.DataFrame({"payload_bytes": [len(b) for b in bodies], "payload_digest": [digest_of(b) for b in bodies]})
-
     known = cut_lineage(
-        pages.filter(F.col("page_id").isNotNull())
-        .select("page_id", digested("html").alias("d"))
-        .select("page_id", "d.*")
-        .filter(F.col("payload_bytes") >= least)
+        pages.filter(F.col("page_id").isNotNull() & (F.octet_length(F.coalesce("html", F.lit(""))) >= least))
+        .select("page_id", _payload_digest().alias("payload_digest"))
     )
     owners = known.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low"))
     shared = cut_lineage(owners.filter("low < refers_to").select("payload_digest", "refers_to"))
-    return known.join(shared, "payload_digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    found = known.join(shared, "payload_digest").filter("page_id <> refers_to")
+    return found.select("page_id", "payload_digest", "refers_to").distinct()
+
+
+def _payload_digest() -> Column:
+    """SHA-1 of the column ``html`` as payload, in hex."""
+    return F.sha1(F.coalesce("html", F.lit("")))
 
 
 # ---- writing -------------------------------------------------------------------------------
@@ -144,12 +143,13 @@ def write_packages(pages: DataFrame, folder: str, least: int = LEAST_BYTES, pack
     """Write a record per row of ``pages`` (page_id, url, html) into packages; a row per package.
 
     Null html is the empty payload, a null url leaves its header out. Rows that repeat a page_id are
-    records of their own, of the same kind. Rows without a page_id are responses. Packages have names by
+    records of their own, each decided by its own payload. Rows without a page_id are responses. Packages have names by
     partition and appear only when whole, so a task that is run again replaces what it wrote.
     """
     spark = pages.sparkSession
     revisits = decisions(pages, least)
-    rows = pages.select("page_id", "url", "html").join(revisits, "page_id", "left")
+    rows = pages.select("page_id", "url", "html", _payload_digest().alias("payload_digest"))
+    rows = rows.join(revisits, ["page_id", "payload_digest"], "left")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

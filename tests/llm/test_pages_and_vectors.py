@@ -184,6 +184,17 @@ def test_archive_round_trip(spark, pages):
     assert warc.archived(own.limit(0)).count() == 0
 
 
+def test_each_payload_of_a_page_is_decided(spark):
+    rows = [(1, "u", "A"), (1, "u", "B"), (1, "u", "B"), (2, "u", "A"), (3, "u", "C"), (3, "u", "D"), (4, "u", "C"), (5, "u", "D"), (5, "u", "E")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    packages = warc.write_packages(pages, fresh_folder(spark, "warc"))
+    names = {warc.digest_of(b.encode()): b for b in "ABCDE"}
+    got = [(r.page_id, names[r.payload_digest], r.refers_to, r.html) for r in warc.read_packages(spark, packages, payloads=True).collect()]
+    to = {(1, "A"): 2, (3, "C"): 4, (3, "D"): 5}
+    want = [(i, b, to.get((i, b)), None if (i, b) in to else b) for i, _, b in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def zipped(wide, comment=b""):
     out = io.BytesIO()
     limit, zipfile.ZIP64_LIMIT, count = zipfile.ZIP64_LIMIT, 10 if wide else zipfile.ZIP64_LIMIT, zipfile.ZIP_FILECOUNT_LIMIT
