@@ -208,16 +208,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Rows that repeat that doc_id are one document and leave one row, that of the smallest text hash. Rows
-    without a doc_id cannot be named by a decision: they are not compared and all stay. Columns are those
-    of ``docs``, in their order, whatever their names.
+    Rows are judged by doc_id and text: rows that share a doc_id with unlike texts are documents of their
+    own, and of a group's rows with its smallest doc_id that of the least hash stays, once. Rows without a
+    doc_id link like others, but only those of a group without one stand for each other: besides the named
+    document, one of them stays. Columns are those of ``docs``, in their order, whatever their names.
     """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    kept = near_duplicates(named).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = (
-        named.join(kept, "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("row"))
-        .select("row.*")
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("text", F.lit(""))), 256)
+    hashed = docs.select("doc_id", key.alias("key"), fingerprint(F.col("text")).alias("fingerprint"))
+    best = F.min(F.struct("doc_id", "key")).alias("best")
+    distinct = cut_lineage(hashed.groupBy("fingerprint", F.col("doc_id").isNull().alias("unnamed")).agg(best))
+    roots = components(links(distinct.select("fingerprint").distinct()))
+    kept = (
+        distinct.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left")
+        .groupBy(F.coalesce("root", "fingerprint").alias("root"), "unnamed")
+        .agg(F.min("best").alias("best"))
+        .select("best.key")
     )
-    return rows.unionByName(docs.filter(F.col("doc_id").isNull()))
+    comparable = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select(
+        key.alias("key"), F.xxhash64(*comparable).alias("order"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    one = rows.join(kept, "key", "left_semi").groupBy("key").agg(F.min_by("row", "order").alias("row"))
+    return one.select("row.*")

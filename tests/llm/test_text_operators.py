@@ -101,6 +101,18 @@ def test_keep_first(odd, empty):
     assert simhash.keep_first(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_first_judges_each_row(spark):
+    one, two, three, four = ("one fine day in may", "two birds on a wire", "three blind mice ran", "four score and seven")
+    table = [
+        (None, three), (None, three), (None, four), (None, four + " years ago"),  # copies without an id
+        (1, one), (7, one), (7, two), (8, two),  # 7: a copy of 1, and a text of its own that 8 copies
+        (9, two), (9, one), (10, "five"), (10, "six"), (10, "six"),
+    ]
+    kept = simhash.keep_first(spark.createDataFrame(table, "doc_id bigint, text string"))
+    want = [(None, three), (None, four), (None, four + " years ago"), (1, one), (7, two), (10, "five"), (10, "six")]
+    assert sorted(rows(kept), key=repr) == sorted(want, key=repr)
+
+
 # ---- decontamination -----------------------------------------------------------------------
 
 
