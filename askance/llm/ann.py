@@ -145,6 +145,7 @@ def nearest(
     """
     spark = vectors.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
+    array = vectors.schema["embedding"].dataType.simpleString()  # components as given, not narrowed on the way
     rows = cut_lineage(usable(vectors))
     dims = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if dims is None:
@@ -164,7 +165,7 @@ def nearest(
 
     listed = cut_lineage(
         rows.select("vec_id", "embedding", queries.alias("asks")).mapInPandas(
-            assign, "vec_id bigint, embedding array<float>, asks boolean, list int"
+            assign, f"vec_id bigint, embedding {array}, asks boolean, list int"
         )
     )
     sizes = np.zeros(lists, np.int64)  # a number per list
@@ -201,7 +202,7 @@ def nearest(
     asked = (
         listed.filter("asks")
         .select("vec_id", "embedding", shard.alias("shard"))
-        .mapInPandas(probe, "query_id bigint, embedding array<float>, list int, block int, shard int")
+        .mapInPandas(probe, f"query_id bigint, embedding {array}, list int, block int, shard int")
     )
     per_list = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)
     held = listed.select(

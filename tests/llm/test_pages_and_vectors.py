@@ -274,6 +274,18 @@ def test_odd_vectors(spark):
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_double_vectors_are_not_narrowed(spark):
+    """Scores of array<double> are those of the doubles, and neighbours that only doubles tell apart keep their order."""
+    rows = [(n, [1.0 + n * 1e-12, 0.1, 1 / 3, 2.0]) for n in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = plain_nearest(np.arange(60), np.array([v for _, v in rows]))
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert {q: [v for v, _ in best] for q, best in got.items()} == {q: [v for v, _ in best] for q, best in want.items()}
+    assert all(abs(a - b) < 1e-14 for q in want for (_, a), (_, b) in zip(got[q], want[q]))
+
+
 # ---- the pipeline --------------------------------------------------------------------------
 
 
