@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import cut_lineage, held
 
 #: The bound of the fit: rows of each label, and characters of a row (longer ones teach nothing).
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 4_000
 LONGEST_TEACHER = 100_000
 BUCKETS = 1 << 20
 #: A feature is used when its share of toxic documents differs by so many standard errors, in so many rows.
@@ -119,6 +119,56 @@ def _bags(sample: DataFrame) -> DataFrame:
     return sample.select("toxic", "text").mapInArrow(bag, "toxic int, sentences array<array<int>>")
 
 
+def telling(bags: DataFrame) -> np.ndarray:
+    """The buckets whose share of documents differs most between the labels, ascending.
+
+    Tasks count their own documents; a row per task and bucket moves, and at most ``MOST_FEATURES`` reach the driver.
+    """
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by = np.zeros((2, BUCKETS), dtype=np.int32)
+        for part in parts:
+            for toxic, listed in zip(part.column(0).to_pylist(), part.column(1)):
+                held_by[toxic, np.unique(listed.values.flatten().to_numpy())] += 1
+        some = np.flatnonzero(held_by.any(axis=0))
+        for at in range(0, len(some), 100_000):
+            b = some[at : at + 100_000]
+            columns = [pa.array(b, pa.int32()), pa.array(held_by[0, b], pa.int64()), pa.array(held_by[1, b], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "clean", "toxic"])
+
+    sizes = {r["toxic"]: float(r["count"]) for r in bags.groupBy("toxic").count().collect()}  # two rows
+    if len(sizes) < 2:
+        return np.zeros(0, dtype=np.int64)
+    counts = bags.mapInArrow(count, "bucket int, clean bigint, toxic bigint").groupBy("bucket").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
+    )
+    share = (F.col("clean") + F.col("toxic")) / (sizes[0] + sizes[1])
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / sizes[0] + 1 / sizes[1]))
+    z = F.abs(F.col("toxic") / sizes[1] - F.col("clean") / sizes[0]) / spread
+    found = counts.filter(F.col("clean") + F.col("toxic") >= LEAST_ROWS).select("bucket", z.alias("z")).filter(F.col("z") >= LEAST_Z)
+    return np.sort([r["bucket"] for r in found.orderBy(F.desc("z"), "bucket").limit(MOST_FEATURES).collect()]).astype(np.int64)
+
+
+def _packed(bags: DataFrame, kept: np.ndarray) -> DataFrame:
+    """(toxic, n_sentences, places): each sentence's places among the ``kept`` buckets, sentences without one left out."""
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[kept] = np.arange(len(kept))
+        for part in parts:
+            counts, rows = [], []
+            for listed in part.column(1):
+                sentences = [place[s] for s in listed.as_py()]
+                counts.append(len(sentences))
+                rows.append([s[s >= 0] for s in sentences if (s >= 0).any()])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(counts, pa.int64()), pa.array(rows, pa.list_(pa.list_(pa.int32())))],
+                ["toxic", "n_sentences", "places"],
+            )
+
+    return bags.mapInArrow(pack, "toxic int, n_sentences bigint, places array<array<int>>")
+
+
 def sampled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, int]]:
     """(toxic, text) of at most ``rows`` rows per label, those of least hash, and the number of labelled rows of each.
 
@@ -139,64 +189,48 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     Without rows of both labels nothing can be learned: the bias alone remains, all scores are near 0.
     """
     sample, counts = sampled(docs, labels, rows)
-    bags = _bags(sample).toArrow()
-    toxic = bags.column("toxic").to_numpy()
-    if len(set(toxic.tolist())) < 2:
+    bags = cut_lineage(_bags(sample))
+    kept = telling(bags)
+    if not len(kept):
         return Model(-12.0, {})
-    listed = bags.column("sentences").combine_chunks()
-    listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
-    return _fitted(toxic, listed, counts)
+    return _fitted(_packed(bags, kept).toArrow(), kept, counts)
 
 
-def _fitted(toxic: np.ndarray, listed: pa.ListArray, counts: dict[int, int]) -> Model:
-    """Weights by gradient descent on the bags' likelihood."""
-    sentences_of = np.diff(listed.offsets.to_numpy())
+def _fitted(packed: pa.Table, kept: np.ndarray, counts: dict[int, int]) -> Model:
+    """Weights by gradient descent on the likelihood of the bags (toxic, n_sentences, places)."""
+    toxic, n_sentences = packed.column("toxic").to_numpy(), packed.column("n_sentences").to_numpy()
+    listed = pa.concat_arrays(packed.column("places").chunks)
     inner = listed.flatten()
-    buckets = inner.flatten().to_numpy()
-    bag_of_sentence = np.repeat(np.arange(len(toxic)), sentences_of)
-    sentence_of = np.repeat(np.arange(len(inner)), np.diff(inner.offsets.to_numpy()))
-    kept = _telling(toxic, bag_of_sentence[sentence_of], buckets)
-    place = np.full(BUCKETS, -1, dtype=np.int32)
-    place[kept] = np.arange(len(kept))
-    at = place[buckets]
-    rows, cols = sentence_of[at >= 0], at[at >= 0]
+    cols, held_of = inner.flatten().to_numpy(), np.diff(inner.offsets.to_numpy())
+    told_of = np.diff(listed.offsets.to_numpy())  # sentences with a feature, per bag
+    bag_of = np.repeat(np.arange(len(toxic)), told_of)
+    starts = np.cumsum(held_of) - held_of
+    plain = (n_sentences - told_of).astype(np.float64)  # the others have the bias alone
 
     y = toxic.astype(np.float64)
     share = np.array([counts[0] / (toxic == 0).sum(), counts[1] / (toxic == 1).sum()])[toxic]
     weight = share / share.sum()
     w = np.zeros(len(kept) + 1)
-    w[-1] = np.log(max(1e-9, (weight * y).sum()) / max(1.0, sentences_of.mean()))
+    w[-1] = np.log(max(1e-9, (weight * y).sum()) / max(1.0, n_sentences.mean()))
     first, second, rate = np.zeros_like(w), np.zeros_like(w), 0.1
     for step in range(1, STEPS + 1):
-        z = np.bincount(rows, weights=w[cols], minlength=len(inner)) + w[-1]
+        z = np.add.reduceat(w[cols], starts) + w[-1]
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
-        clean = np.bincount(bag_of_sentence, weights=np.logaddexp(0.0, z), minlength=len(y))
+        base = 1.0 / (1.0 + np.exp(-w[-1]))
+        clean = np.bincount(bag_of, weights=np.logaddexp(0.0, z), minlength=len(y)) + plain * np.logaddexp(0.0, w[-1])
         # d loss / d clean: 1 for label 0; -1 / (e^clean - 1) for label 1
         pull = weight * np.where(y == 1, -1.0 / np.expm1(np.maximum(clean, 1e-9)), 1.0)
-        by_sentence = pull[bag_of_sentence] * p
-        slope = np.append(np.bincount(cols, weights=by_sentence[rows], minlength=len(kept)), by_sentence.sum())
-        slope[:-1] += RIDGE / max(1, len(kept)) * w[:-1]
+        by_sentence = pull[bag_of] * p
+        slope = np.append(
+            np.bincount(cols, weights=np.repeat(by_sentence, held_of), minlength=len(kept)), by_sentence.sum() + (pull * plain).sum() * base
+        )
+        slope[:-1] += RIDGE / len(kept) * w[:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return Model(float(w[-1]), {int(b): float(v) for b, v in zip(kept, w[:-1])})
 
 
-def _telling(toxic: np.ndarray, bag_of: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """The buckets whose share of documents differs most between the labels, ascending."""
-    pairs = np.unique(bag_of.astype(np.int64) * BUCKETS + buckets)
-    bag, bucket = pairs // BUCKETS, pairs % BUCKETS
-    ones = np.bincount(bucket[toxic[bag] == 1], minlength=BUCKETS).astype(np.float64)
-    noughts = np.bincount(bucket[toxic[bag] == 0], minlength=BUCKETS).astype(np.float64)
-    n1, n0 = float((toxic == 1).sum()), float((toxic == 0).sum())
-    both = (ones + noughts) / (n1 + n0)
-    spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
-    z = np.abs(ones / n1 - noughts / n0) / spread
-    z[(ones + noughts) < LEAST_ROWS] = 0
-    found = np.flatnonzero(z >= LEAST_Z)
-    return np.sort(found[np.argsort(-z[found], kind="stable")[:MOST_FEATURES]])
-
-
 _SCORED = "struct<score:double,n_sentences:bigint,offending:array<struct<start:int,end:int,score:double>>>"
 
 
