@@ -15,7 +15,11 @@ def awareness(hallucinated: Column) -> Column:
 
 def brevity(text: Column) -> Column:
     """1 within 50 characters of the ideal length on average, 0 from 100 on, linear between."""
-    gap = F.avg(F.abs(F.length(text) - fixed.IDEAL_QUESTION_CHARS).cast("double"))
+    return brevity_of(F.avg(F.abs(F.length(text) - fixed.IDEAL_QUESTION_CHARS).cast("double")))
+
+
+def brevity_of(gap: Column) -> Column:
+    """The same from the mean gap to the ideal length."""
     ideal = float(fixed.IDEAL_QUESTION_CHARS)
     return F.when(gap >= ideal, F.lit(0.0)).when(gap <= ideal / 2, F.lit(1.0)).otherwise(1.5 - gap / ideal)
 

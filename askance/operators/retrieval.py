@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..session import cut_lineage
 from .order import first_per_group
+from .summary import ranked_summary
 
 LINKS = 10
 MILLIONTHS = 1_000_000
@@ -103,19 +105,22 @@ def lead_summary(text: Column, longest: int = fixed.SUMMARY_MAX_WORDS) -> Column
     return F.array_join(F.slice(tx.words(text), 1, longest), " ")
 
 
-def curate(questions: DataFrame, pages: DataFrame, search: Search) -> DataFrame:
+def curate(
+    questions: DataFrame, pages: DataFrame, search: Search, summarize: Callable[[Column], Column] = ranked_summary
+) -> DataFrame:
     """One row per (question, linked page) with answer, summary, text and score.
 
-    Sentences and their words are made once per page, before the join; rows without an answer stay here with a
-    NULL ``answer_text`` and are taken apart by ``succeeded`` / ``failed``.
+    Sentences, their words and the summary are made once per linked page, before the join; rows without an answer stay
+    here with a NULL ``answer_text`` and are taken apart by ``succeeded`` / ``failed``.
     """
-    links = search(questions).select("q_id", "page_id", "rank")
-    read = pages.select(
+    links = cut_lineage(search(questions).select("q_id", "page_id", "rank"))
+    linked = pages.join(links.select("page_id").distinct(), "page_id", "left_semi")
+    read = linked.select(
         "page_id",
         F.col("url").alias("source_url"),
         "full_text",
         tx.sentences(F.col("full_text")).alias("_sentences"),
-        lead_summary(F.col("full_text")).alias("summary_text"),
+        summarize(F.col("full_text")).alias("summary_text"),
     ).withColumn("_tokens", F.transform("_sentences", tx.lexical_tokens))
     rows = links.join(questions.select("q_id", "prompt"), "q_id").join(read, "page_id")
     best = best_sentence(F.col("prompt"), F.col("_sentences"), F.col("_tokens"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
 from ..operators import generate as g
-from ..operators import report, routing, scoring
+from ..operators import report, routing, scoring, sketches
+from ..session import cut_lineage, shared_folder
 from ..sources import store
 from ..sources import tables as t
+from ..streaming import running
 from . import runs, views
 from .registry import NAN, PAIRS, QUESTIONS, SCORES, lit, query, r6, s_fill, s_sentences
 
@@ -313,3 +318,57 @@ def hourly_kla(spark, sf):
 
     rows = trends.scores_so_far(trends.hourly_sums(runs.trending_run(_polled(spark, sf))))
     return rounded(rows, ["awareness", "mean_gap", "awareness_so_far", "mean_gap_so_far"])
+
+
+# ---- scores and counts that go on from poll to poll ------------------------------------------
+
+_SUMS = "s AS (SELECT conv_id::VARCHAR AS run_id, lpad(turn::VARCHAR, 12, '0') AS poll, count(*) AS n, count_if(hallucinated) AS h, sum(abs(length(prompt) - 100)) AS g FROM sc GROUP BY 1, 2)"
+
+
+@query(
+    "streamed_scores",
+    f"WITH {SCORES}, {_SUMS}, w AS (SELECT run_id, poll, n, h, g, (sum(n) OVER o)::BIGINT AS n_so_far, sum(h) OVER o AS hs, sum(g) OVER o AS gs "
+    "FROM s WINDOW o AS (PARTITION BY run_id ORDER BY poll)), m AS (SELECT *, gs::DOUBLE / n_so_far AS gap FROM w) "
+    "SELECT run_id, poll, n, round(h::DOUBLE / n, 6) AS awareness, round(g::DOUBLE / n, 6) AS mean_gap, n_so_far, "
+    "round(hs::DOUBLE / n_so_far, 6) AS awareness_so_far, round(gap, 6) AS mean_gap_so_far, "
+    "round(CASE WHEN gap >= 100 THEN 0.0 WHEN gap <= 50 THEN 1.0 ELSE 1.5 - gap / 100 END, 6)::DOUBLE AS brevity_so_far FROM m",
+)
+def streamed_scores(spark, sf):
+    """A conversation is a run and its turns are polls; their sums arrive in batches, out of order, and once more after a restart."""
+    folder = f"{shared_folder(spark).rstrip('/')}/polls-{uuid4().hex}"
+    scored = views.scored(spark, sf)
+    sums = running.poll_sums(scored, F.col("conv_id"), F.lpad(F.col("turn").cast("string"), 12, "0"))
+    kept = cut_lineage(sums)
+    half = F.pmod(F.xxhash64("run_id", "poll"), F.lit(2))
+    for part in (0, 1):
+        kept.filter(half == part).write.mode("append").parquet(f"{folder}/in")
+        stream = running.start(running.read_sums(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/marks", once=True)
+        stream.awaitTermination()
+    return rounded(running.latest(spark, f"{folder}/out"), ["awareness", "mean_gap", "awareness_so_far", "mean_gap_so_far", "brevity_so_far"])
+
+
+_POLLED = f"{QUESTIONS}, p AS (SELECT turn::VARCHAR AS run_id, lpad((conv_id % 24)::VARCHAR, 2, '0') AS poll, prompt FROM q)"
+
+
+@query(
+    "distinct_so_far",
+    f"WITH {_POLLED}, f AS (SELECT run_id, prompt, min(poll) AS poll FROM p GROUP BY 1, 2), "
+    "n AS (SELECT run_id, poll, count(*) AS n FROM p GROUP BY 1, 2), d AS (SELECT run_id, poll, count(*) AS d FROM f GROUP BY 1, 2) "
+    "SELECT run_id, poll, (sum(n) OVER o)::BIGINT AS n_questions, (sum(coalesce(d, 0)) OVER o)::BIGINT AS n_exact, true AS within_error "
+    "FROM n LEFT JOIN d USING (run_id, poll) WINDOW o AS (PARTITION BY run_id ORDER BY poll)",
+)
+def distinct_so_far(spark, sf):
+    """Distinct questions up to each poll from stored sketches, held against the exact count: within the stated error or not."""
+    asked = t.questions(spark, sf).select(
+        F.col("turn").cast("string").alias("run_id"), F.lpad((F.col("conv_id") % 24).cast("string"), 2, "0").alias("poll"), "prompt"
+    )
+    path = f"{shared_folder(spark).rstrip('/')}/sketches-{uuid4().hex}"
+    sketches.store(sketches.sketch_polls(asked, F.col("run_id"), F.col("poll")), path)
+    estimated = sketches.so_far(sketches.stored(spark, path))
+    new = asked.groupBy("run_id", "prompt").agg(F.min("poll").alias("poll")).groupBy("run_id", "poll").agg(F.count("*").alias("new"))
+    up_to = Window.partitionBy("run_id").orderBy("poll").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exact = F.coalesce(F.sum("new").over(up_to), F.lit(0))
+    held = estimated.join(new, ["run_id", "poll"], "left").withColumn("n_exact", exact)
+    # A sketch of few questions may be off by rounding.
+    within = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.greatest(F.lit(1.0), sketches.relative_error() * F.col("n_exact"))
+    return held.select("run_id", "poll", "n_questions", "n_exact", within.alias("within_error"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import judge, pairs, retrieval, tokens
+from ..operators import judge, pairs, retrieval, summary, tokens
 from ..session import cut_lineage
 from ..sources import tables as t
 from . import training, views
@@ -154,10 +154,11 @@ def _asked(spark, sf):
     return t.table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("prompt"))
 
 
+_PAGE_TEXTS = f"pg AS (SELECT * FROM (SELECT page_id, url, {s_page_text('html')} AS full_text FROM pages) WHERE full_text <> '')"
+
 # The check sums every shared word of every pair; the query fetches candidates by the rarer words.
 _LINKS = (
-    f"pg AS (SELECT * FROM (SELECT page_id, url, {s_page_text('html')} AS full_text FROM pages) WHERE full_text <> ''), "
-    f"pw AS (SELECT page_id, unnest(list_distinct({s_tokens('full_text')})) AS w FROM pg), "
+    f"{_PAGE_TEXTS}, pw AS (SELECT page_id, unnest(list_distinct({s_tokens('full_text')})) AS w FROM pg), "
     "fr AS (SELECT w, round(ln(((SELECT count(*) FROM pg) + 1)::DOUBLE / count(*)) * 1000000)::BIGINT AS weight FROM pw GROUP BY 1), "
     f"qw AS (SELECT item_id AS q_id, unnest(list_distinct({s_tokens('text')})) AS w FROM benchmark), "
     "hit AS (SELECT q_id, page_id, sum(weight)::BIGINT AS total FROM qw JOIN pw USING (w) JOIN fr USING (w) GROUP BY 1, 2), "
@@ -170,16 +171,53 @@ def retrieve_pages(spark, sf):
     return retrieval.lexical_search(_pages(spark, sf))(_asked(spark, sf)).withColumn("score", r6("score"))
 
 
+def _s_ranks() -> str:
+    """The rounds of sentence ranks, one table after another."""
+    share = "CASE WHEN links > 0 THEN r // links ELSE 0 END"
+    parts = []
+    for i in range(summary.ROUNDS):
+        parts.append(f"h{i} AS MATERIALIZED (SELECT *, {share} AS sh FROM r{i})")
+        parts.append(
+            f"g{i} AS MATERIALIZED (SELECT page_id, pos, sum(t) AS t FROM sx JOIN (SELECT page_id, w, sum(sh) AS t FROM sx JOIN h{i} "
+            "USING (page_id, pos) GROUP BY 1, 2) USING (page_id, w) GROUP BY 1, 2)"
+        )
+        flow = f"{summary.UNIT * (100 - summary.FLOW_PERCENT) // 100} + ({summary.FLOW_PERCENT} * (coalesce(t, 0) - own * sh)) // 100"
+        parts.append(
+            f"r{i + 1} AS MATERIALIZED (SELECT page_id, pos, own, links, ({flow})::BIGINT AS r FROM h{i} LEFT JOIN g{i} USING (page_id, pos))"
+        )
+    return ", ".join(parts)
+
+
+# Page, sentence and word as rows; links are counted by the holders of each word.
+_SUMMARIES = (
+    f"ss AS MATERIALIZED (SELECT page_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM (SELECT page_id, {s_sentences('full_text')} AS s FROM pg)), "
+    f"sx AS MATERIALIZED (SELECT page_id, pos, unnest(list_distinct({s_tokens('sentence')})) AS w FROM ss), "
+    "hw AS (SELECT page_id, w, count(*) AS c FROM sx GROUP BY 1, 2), "
+    "dg AS (SELECT page_id, pos, count(*) AS own, sum(c - 1)::BIGINT AS links FROM sx JOIN hw USING (page_id, w) GROUP BY 1, 2), "
+    f"r0 AS MATERIALIZED (SELECT page_id, pos, coalesce(own, 0) AS own, coalesce(links, 0) AS links, {summary.UNIT}::BIGINT AS r FROM ss LEFT JOIN dg USING (page_id, pos)), "
+    f"{_s_ranks()}, "
+    f"so AS (SELECT page_id, pos, sentence, {s_words('sentence')} AS ws, count(*) OVER (PARTITION BY page_id) AS n, "
+    f"row_number() OVER (PARTITION BY page_id ORDER BY r DESC, pos) AS k FROM ss JOIN r{summary.ROUNDS} USING (page_id, pos)), "
+    "sk AS (SELECT *, sum(len(ws)) OVER (PARTITION BY page_id ORDER BY k) AS words FROM so), "
+    f"sm AS (SELECT page_id, coalesce(string_agg(sentence, ' ' ORDER BY pos) FILTER (k <= (n + {summary.ONE_IN - 1}) // {summary.ONE_IN} AND words <= {fixed.SUMMARY_MAX_WORDS}), "
+    f"any_value(array_to_string(ws[:{fixed.SUMMARY_MAX_WORDS}], ' ')) FILTER (k = 1)) AS summary_text FROM sk GROUP BY 1)"
+)
+
+@query("page_summaries", f"WITH {_PAGE_TEXTS}, {_SUMMARIES} SELECT page_id, summary_text FROM sm")
+def page_summaries(spark, sf):
+    """Every page's summary: its best sentences by shared words, in page order."""
+    return t.pages(spark, sf).select("page_id", summary.ranked_summary(F.col("full_text")).alias("summary_text"))
+
+
 _CURATED = (
-    f"{_LINKS}, se AS (SELECT page_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM "
+    f"{_LINKS}, {_SUMMARIES}, se AS (SELECT page_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM "
     f"(SELECT page_id, {s_sentences('full_text')} AS s FROM pg)), "
     f"sw AS (SELECT page_id, sentence, pos, list_distinct({s_tokens('sentence')}) AS w FROM se), "
     f"qs AS (SELECT item_id AS q_id, text AS prompt, list_distinct({s_tokens('text')}) AS w FROM benchmark), "
     "bs AS (SELECT q_id, page_id, prompt, sentence, len(list_intersect(qs.w, sw.w)) AS n, len(qs.w) AS m FROM ln JOIN qs USING (q_id) "
     "JOIN sw USING (page_id) QUALIFY row_number() OVER (PARTITION BY q_id, page_id ORDER BY n DESC, pos) = 1), "
     "cu AS (SELECT q_id, page_id, prompt, sentence AS answer_text, n::DOUBLE / m AS answer_score, "
-    f"array_to_string({s_words('full_text')}[:256], ' ') AS summary_text, full_text, url AS source_url "
-    "FROM bs JOIN pg USING (page_id) WHERE n > 0)"
+    "summary_text, full_text, url AS source_url FROM bs JOIN pg USING (page_id) JOIN sm USING (page_id) WHERE n > 0)"
 )
 
 

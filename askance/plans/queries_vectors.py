@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import vectors as v
-from ..operators import neighbours, report, routing
+from ..operators import cells, neighbours, report, routing
 from ..session import cut_lineage
 from ..sources import tables as t
 from . import runs
@@ -81,6 +81,15 @@ def knn_join(spark, sf):
     return neighbours.nearest(points, vocab).withColumn("distance", F.round("distance", 9))
 
 
+@query("knn_cells", f"WITH {_KNN} SELECT q_id, term_id, round(distance, 9) AS distance, rank FROM k WHERE q_id % 50 = 0")
+def knn_cells(spark, sf):
+    """The stated query set, every fiftieth vector, against all vectors through cells around pivots."""
+    points = _points(spark, sf)
+    vocab = points.select(F.col("q_id").alias("term_id"), F.col("vector").alias("embedding"))
+    found = cells.nearest(points.filter(F.col("q_id") % 50 == 0), vocab)
+    return found.rows.withColumn("distance", F.round("distance", 9))
+
+
 _TOPICS = (
     f"{_KNN}, voc AS (SELECT vec_id AS term_id, coalesce(replace(p_name, ' ', '_') || ' ### ' || lower(p_type), "
     "'term_' || vec_id || ' ### label ' || label) AS term FROM embeddings LEFT JOIN part ON p_partkey = vec_id), "
