@@ -17,7 +17,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,16 +151,17 @@ def write_packages(pages: DataFrame, folder: str, least: int = LEAST_BYTES, pack
     rows = pages.select("page_id", "url", "html", _payload_digest().alias("payload_digest"))
     rows = rows.join(revisits, ["page_id", "payload_digest"], "left")
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    made_of = pa.schema([("path", pa.string()), ("size", pa.int64()), ("records", pa.int64())])
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
 
         def records():
-            for frame in frames:
-                for page_id, url, html, refers in frame.itertuples(index=False):
-                    page_id = None if pd.isna(page_id) else int(page_id)
-                    refers = None if pd.isna(refers) else int(refers)
+            for batch in parts:
+                # Row by row out of Arrow, so that ids stay whole numbers beside nulls.
+                for page_id, url, html, refers in zip(*(c.to_pylist() for c in batch.columns)):
                     yield page_id, _gzip(record(page_id, url, (html or "").encode("utf-8"), refers))
 
         waiting, number = records(), 0
@@ -181,10 +182,10 @@ def write_packages(pages: DataFrame, folder: str, least: int = LEAST_BYTES, pack
 
             path = f"{folder}/part-{part:06d}-{number:04d}.wacz"
             size = write_shared(path, package(some(), index))
-            yield pd.DataFrame([(path, size, len(index))], columns=["path", "size", "records"])
+            yield pa.RecordBatch.from_pylist([{"path": path, "size": size, "records": len(index)}], schema=made_of)
             first, number = rest["next"], number + 1
 
-    made = rows.select("page_id", "url", "html", "refers_to").mapInPandas(write, "path string, size bigint, records bigint")
+    made = rows.select("page_id", "url", "html", "refers_to").mapInArrow(write, "path string, size bigint, records bigint")
     found = made.collect()  # a row per package
     return spark.createDataFrame(sorted(found), "path string, size bigint, records bigint")
 
@@ -285,9 +286,12 @@ def read_packages(spark: SparkSession, packages: DataFrame, payloads: bool = Fal
     """
     rows = packages.select("path", "size").collect()  # a row per package
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, size in frame.itertuples(index=False):
+    names = [c.split()[0] for c in _RECORD.split(", ")] + ["html"] * payloads
+    kinds = [pa.int64() if c.endswith("bigint") else pa.string() for c in _RECORD.split(", ")] + [pa.string()] * payloads
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size in zip(*(c.to_pylist() for c in batch.columns)):
                 with open_shared(path) as f:
                     found = members(f, size)
                     base, at = found[ARCHIVE][0], found[INDEX]
@@ -314,13 +318,12 @@ def read_packages(spark: SparkSession, packages: DataFrame, payloads: bool = Fal
                                 (e["page_id"], fields.get("warc-target-uri"), length, digest, fields["warc-type"], refers)
                                 + ((html,) if payloads else ())
                             )
-                        names = [c.split()[0] for c in _RECORD.split(", ")] + ["html"] * payloads
-                        made = pd.DataFrame(out, columns=names)
-                        yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
+                        columns = [pa.array(values, kind) for values, kind in zip(zip(*out), kinds)]
+                        yield pa.RecordBatch.from_arrays(columns, names)
 
     parts = spark.createDataFrame(rows, "path string, size bigint")
     dealt = parts.repartition(max(1, len(rows)), "path") if rows else parts
-    return dealt.mapInPandas(read, _RECORD + ", html string" * payloads)
+    return dealt.mapInArrow(read, _RECORD + ", html string" * payloads)
 
 
 def archived(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:

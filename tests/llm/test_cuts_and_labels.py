@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from askance.llm import centroids, fim, toxicity
+from askance.llm import centroids, fim, pieces, toxicity, warc
 
 VECTORS = "vec_id bigint, embedding array<double>, label int, x int, dots string, cluster string"
 
@@ -247,3 +247,29 @@ def test_long_texts_of_mixed_widths():
     made = fim.fit(ends)
     assert 3 < len(made.ranks) < 40 and made.offset(np.arange(len(ends))).tolist() == ends.tolist()
     assert ODD_TEXTS
+
+
+# ---- ids and batches of the older operators -------------------------------------------------
+
+
+def test_archived_ids_stay_whole_beside_nulls(spark):
+    """Page ids that no double holds, with and without a null id among them."""
+    big, kind = 2**53, "page_id bigint, url string, html string"
+    rows = [(big + 1, "u", "same"), (big + 3, "u", "same"), (big + 5, "u", "other")]
+    for more in ([], [(None, "u", "third"), (None, None, None)]):
+        got = warc.archived(spark.createDataFrame(rows + more, kind).coalesce(1)).collect()
+        assert {(r.page_id, r.record_type, r.refers_to) for r in got if r.page_id} == {
+            (big + 1, "revisit", big + 3), (big + 3, "response", None), (big + 5, "response", None),
+        }
+        assert len(got) == len(rows + more) and sum(r.page_id is None for r in got) == len(more)
+
+
+def test_pieces_do_not_depend_on_neighbours(spark, pieces_path):
+    texts = ["First line\n\n  then two blanks.", "\x1f\x1e\x1d\x1c", "a\x1fb  c\n\nd.", " x", "plain words, plain end."]
+    kind = "doc_id bigint, text string"
+    rows = list(enumerate(texts))
+    whole = {r.doc_id: r for r in pieces.sampled_digests(spark.createDataFrame(rows, kind).coalesce(1), pieces_path).collect()}
+    for row in rows:
+        assert pieces.sampled_digests(spark.createDataFrame([row], kind), pieces_path).first() == whole[row[0]]
+    spread = pieces.sampled_digests(spark.createDataFrame(rows[::-1], kind).repartition(5), pieces_path).collect()
+    assert {r.doc_id: r for r in spread} == whole
