@@ -39,7 +39,9 @@ GROUP_CHARS = 600_000
 #: Units up to this length are learned together; 48 weights of at least 1/32,000 are still far from zero.
 MATRIX_CHARS = 48
 _KEY_BASE = np.uint64(0x100000001B3)
-_SEPARATORS = ("\x1f", "\x1e", "\x1d", "\x1c")
+_MARK = "\x1f"
+#: The same units as the marked cut, but for empty ones, for texts that hold the mark themselves.
+_UNIT = re.compile(" +[^ \n]*?(?:(?<=[A-Za-zÀ-ÿ])(?=[.,])|(?=[ \n]|$))|\n|[^ \n]+?(?:(?<=[A-Za-zÀ-ÿ])(?=[.,])|(?=[ \n]|$))")
 
 
 class Lattice:
@@ -179,16 +181,19 @@ class Lattice:
 
     def _cut(self, texts: list[str]):
         """(offsets per text, unit numbers): texts cut into units, a list array by Arrow's own functions."""
-        mark = next((s for s in _SEPARATORS if not any(s in t for t in texts)), None)
-        if mark is None:  # every mark occurs somewhere: cut in Python
-            pattern = re.compile(" +[^ \n]*?(?:(?<=[A-Za-zÀ-ÿ])(?=[.,])|(?=[ \n]|$))|\n|[^ \n]+?(?:(?<=[A-Za-zÀ-ÿ])(?=[.,])|(?=[ \n]|$))")
-            lists = pa.array([pattern.findall(t) for t in texts], pa.large_list(pa.string()))
-        else:
-            made = pa.array(texts, pa.large_string())
-            made = pc.replace_substring_regex(made, "( +)", mark + "\\1")
-            made = pc.replace_substring(made, "\n", f"{mark}\n{mark}")
-            made = pc.replace_substring_regex(made, "([A-Za-zÀ-ÿ])([.,])", f"\\1{mark}\\2")
-            lists = pc.split_pattern(made, mark)
+        # A text that holds the mark is cut in Python, always and alone: its units never depend on its neighbours.
+        odd = [i for i, t in enumerate(texts) if _MARK in t]
+        mark = _MARK
+        made = pa.array(texts, pa.large_string())
+        made = pc.replace_substring_regex(made, "( +)", mark + "\\1")
+        made = pc.replace_substring(made, "\n", f"{mark}\n{mark}")
+        made = pc.replace_substring_regex(made, "([A-Za-zÀ-ÿ])([.,])", f"\\1{mark}\\2")
+        lists = pc.split_pattern(made, mark)
+        if odd:
+            units = lists.to_pylist()
+            for i in odd:
+                units[i] = _UNIT.findall(texts[i])
+            lists = pa.array(units, pa.large_list(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.share) > self.kept:
