@@ -30,6 +30,17 @@ def l1_normalize(vector: Column) -> Column:
     return let(norm, lambda n: F.transform(as_double(vector), lambda x: x / n))
 
 
+def mean_vector(vectors: Column, dims: int) -> Column:
+    """Mean of an array of vectors in one row; NULL when there is none."""
+    return let(
+        vectors,
+        lambda rows: F.when(
+            F.size(rows) > 0,
+            F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda j: _sum(F.transform(rows, lambda r: F.get(r, j))) / F.size(rows)),
+        ),
+    )
+
+
 def cosine(a: Column, b: Column) -> Column:
     """NULL when either vector is zero."""
     return F.try_divide(dot(a, b), l2_norm(a) * l2_norm(b))

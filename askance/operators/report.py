@@ -15,15 +15,41 @@ def awareness(hallucinated: Column) -> Column:
 
 def brevity(text: Column) -> Column:
     """1 within 50 characters of the ideal length on average, 0 from 100 on, linear between."""
-    return brevity_of(F.avg(F.abs(F.length(text) - fixed.IDEAL_QUESTION_CHARS).cast("double")))
+    gap = F.avg(F.abs(F.length(text) - fixed.IDEAL_QUESTION_CHARS).cast("double"))
+    ideal = float(fixed.IDEAL_QUESTION_CHARS)
+    return F.when(gap >= ideal, F.lit(0.0)).when(gap <= ideal / 2, F.lit(1.0)).otherwise(1.5 - gap / ideal)
 
 
 def brevity_of(gap: Column) -> Column:
-    """The same from the mean gap to the ideal length."""
+    """Brevity from the mean gap to the ideal length."""
     ideal = float(fixed.IDEAL_QUESTION_CHARS)
     return F.when(gap >= ideal, F.lit(0.0)).when(gap <= ideal / 2, F.lit(1.0)).otherwise(1.5 - gap / ideal)
 
 
+def run_sums(scored: DataFrame, *keys: str) -> DataFrame:
+    """(keys, run_id, n_questions, n_hallucinated, gap_sum): per run, whole numbers that add up over any set of runs."""
+    gap = F.abs(F.length("prompt") - fixed.IDEAL_QUESTION_CHARS).cast("bigint")
+    return scored.groupBy(*keys, "run_id").agg(
+        F.count("*").alias("n_questions"), F.count_if("hallucinated").alias("n_hallucinated"), F.sum(gap).alias("gap_sum")
+    )
+
+
+def rollup_report(sums: DataFrame, *keys: str) -> DataFrame:
+    """Awareness and brevity per combination of ``keys``, with subtotals from the right and the grand total.
+
+    ``sums``: ``run_sums`` or their store, so the questions are not read again. ``level`` says how many of the keys a
+    row has: that tells a subtotal from a group whose key is NULL.
+    """
+    n = F.sum("n_questions").cast("double")
+    grouped = sums.rollup(*keys).agg(
+        (F.lit(len(keys)) - F.bit_count(F.grouping_id())).cast("int").alias("level"),
+        F.count("*").alias("n_runs"), F.sum("n_questions").alias("n_questions"), F.sum("n_hallucinated").alias("n_hallucinated"),
+        F.try_divide(F.sum("n_hallucinated").cast("double"), n).alias("knowledge_limit_awareness_score"),
+        F.try_divide(F.sum("gap_sum").cast("double"), n).alias("gap"),
+    )
+    return grouped.withColumn("brevity_coefficient", brevity_of(F.col("gap"))).drop("gap")
+
+
 def combined(brevity_: Column, curiosity: Column, awareness_: Column) -> Column:
     return brevity_ * ((curiosity + awareness_) / 2)
 

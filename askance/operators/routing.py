@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import vectors as v
 from .order import seeded_rank
 
 
@@ -38,6 +39,16 @@ def mean_pool(vectors: DataFrame, group: list[str], vector: str) -> DataFrame:
     )
 
 
+def text_features(rows: DataFrame, text: str, embed: Callable[[Column], Column], dims: int) -> DataFrame:
+    """``rows`` with ``n_parts`` and ``features``, the mean vector of the text's sentences, for texts that have one.
+
+    A text's vectors stay in its own row, so pooling moves nothing.
+    """
+    parts = rows.withColumn("_parts", tx.sentences(F.col(text))).filter(F.size("_parts") > 0)
+    pooled = v.mean_vector(F.transform("_parts", embed), dims)
+    return parts.withColumn("n_parts", F.size("_parts").cast("bigint")).withColumn("features", pooled).drop("_parts")
+
+
 def fit_router(rows: DataFrame, vector: str, label: str = "label") -> LogisticRegressionModel:
     """Class from pooled vector; sums are reduced across tasks, rows stay where they are."""
     ready = rows.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))

@@ -76,12 +76,17 @@ def ranked_summary(text: Column, longest: int = fixed.SUMMARY_MAX_WORDS) -> Colu
     best sentence is longer than the limit, its first ``longest`` words."""
 
     @F.arrow_udf("string")
-    def summed(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for sentences, tokens in parts:
+    def summed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in parts:
             out = []
-            for some, listed in zip(sentences.to_pylist(), tokens):
-                out.append(_summary(some or [], listed.values, longest) if some else None)
+            for sentences, tokens in zip(pages.field(0).to_pylist(), pages.field(1)):
+                out.append(_summary(sentences, tokens.values, longest) if sentences else None)
             yield pa.array(out, pa.string())
 
-    sentences = tx.sentences(text)
-    return summed(sentences, F.transform(sentences, lambda s: F.array_distinct(tx.lexical_tokens(s))))
+    # Bound once: the text may be a long chain of expressions.
+    return summed(
+        tx.let(
+            tx.sentences(text),
+            lambda s: F.struct(s.alias("sentences"), F.transform(s, lambda x: F.array_distinct(tx.lexical_tokens(x))).alias("tokens")),
+        )
+    )
