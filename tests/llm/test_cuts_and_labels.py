@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from askance.llm import centroids, fim, pieces, toxicity, warc
+from askance.llm import ann, centroids, fim, pieces, toxicity, warc
 
 VECTORS = "vec_id bigint, embedding array<double>, label int, x int, dots string, cluster string"
 
@@ -273,3 +273,26 @@ def test_pieces_do_not_depend_on_neighbours(spark, pieces_path):
         assert pieces.sampled_digests(spark.createDataFrame([row], kind), pieces_path).first() == whole[row[0]]
     spread = pieces.sampled_digests(spark.createDataFrame(rows[::-1], kind).repartition(5), pieces_path).collect()
     assert {r.doc_id: r for r in spread} == whole
+
+
+def test_tests_follow_the_law_of_the_rotated_share():
+    """The quantile against shares of random directions, and that a raised bound abandons more at little loss."""
+    rng = np.random.default_rng(2)
+    for part, whole in ((16, 64), (48, 64), (1, 3), (64, 64)):
+        squares = rng.normal(size=(200_000, whole)) ** 2
+        share = squares[:, :part].sum(axis=1) / squares.sum(axis=1)
+        assert (share > ann.share_quantile(part, whole, 0.05)).mean() == pytest.approx(0.05 if part < whole else 0.0, abs=0.004)
+    x = rng.normal(size=(4_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, q, rotation = np.arange(4_000), x[:50], ann._rotation(64)
+    scores = q @ x.T
+    scores[np.arange(50), np.arange(50)] = -np.inf
+    best = np.sort(scores, axis=1)[:, -20]
+    passed = []
+    for bound in (np.full(50, -np.inf), np.sort(scores[:, ::8], axis=1)[:, -20], best):
+        (who, found, _), pairs, through = ann._scan(ids, x, ids[:50], q, bound, rotation, 20, ann.REJECTED, 16)
+        assert pairs == 50 * 4_000
+        passed.append(through / pairs)
+        hits = sum(scores[a, b] >= best[a] for a, b in zip(who, found))
+        assert hits / (50 * 20) > 0.93
+    assert passed[0] > passed[1] > passed[2] and passed[1] < 0.5 and passed[2] < 0.3
