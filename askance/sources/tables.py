@@ -125,9 +125,6 @@ def topic_events(events: DataFrame) -> DataFrame:
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Fetched pages as text; pages with no text yield no row."""
-    text = tx.page_text(F.col("html"))
-    return (
-        spread(table(spark, folder, "pages"), "page_id")
-        .select("page_id", "url", text.alias("full_text"))
-        .filter(F.col("full_text") != fixed.MISSING_TEXT)
-    )
+    # Made once per page: a filter over the same expression would be a second reading of the markup.
+    text = F.filter(F.array(tx.page_text(F.col("html"))), lambda x: x != fixed.MISSING_TEXT)
+    return spread(table(spark, folder, "pages"), "page_id").select("page_id", "url", F.explode(text).alias("full_text"))
