@@ -14,8 +14,12 @@ Importance is weighted by role. Elements that HTML declares as menus, headers, f
 forms or scripts by tag, role or hiding weigh 0, as do branches beside the article on pages that mark one;
 flow content without a class of its own inside a marked article weighs 1 whatever its entropy, since a
 passage that other pages quote is still the article's. All other branches are kept or removed by composite
-importance, of which a class or id that sounds like a menu, notice, advert or the like leaves the share
-``NAMED_WEIGHT``. Names say nothing against html, body, main, article and what holds a marked article.
+importance, of which a class or id that sounds like a menu, notice, advert or the like leaves a share: none
+where a whole name says so (``comments``, ``cookie-notice``, ``ad-3``), else, where a part of it does
+(``with-sidebar``, ``related-work``), ``NAMED_WEIGHT``. Whole names say so of block elements only, not of
+headings, of what holds the page's first h1, or of what holds most of its text; reader comments may hold most
+of it, but not all. Names say nothing against html, body, main, article and what holds a marked article; an
+article inside reader comments is a comment and marks nothing.
 
 Counting is grouped by (element, content) and (element, style) with sums before the shuffle, so a host
 with a third of all pages spreads over its elements and contents and no task gathers a host or a tree.
@@ -40,7 +44,7 @@ from .common import cut_lineage
 
 GAMMA = 0.9
 LEAST_IMPORTANCE = 0.2
-#: What a class or id of ``NOISE_WORDS`` leaves of an element's importance.
+#: What a class or id with a part in ``NOISE_WORDS`` leaves of an element's importance.
 NAMED_WEIGHT = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,6 +67,11 @@ NOISE_WORDS = frozenset(
     "comment comments commentlist respond disqus share sharing social related recommended toolbar copyright "
     "disclaimer skip".split()
 )
+#: Of those, what names the remarks of readers.
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus".split())
+#: Parts that say where or what shape an element is: they do not keep a name from being noise as a whole.
+PLACE_WORDS = frozenset("area bar block bottom box container left list right section top".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Never judged by their names.
 WHOLE = frozenset("html body main article".split())
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th figure hgroup hr".split())
@@ -87,6 +96,18 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
+#: What a name as a whole says of an element.
+_NOISE_NAME, _COMMENT_NAME = 1, 2
+
+
+def _whole_name(names: str) -> int:
+    """``_COMMENT_NAME`` or ``_NOISE_NAME`` if one of the names has noise words, places and numbers only, else 0."""
+    says = 0
+    for name in names.split():
+        parts = {p for p in _NAME.findall(name) if not p.isdigit()} - PLACE_WORDS
+        if parts and parts <= NOISE_WORDS:
+            says = max(says, _NOISE_NAME if parts.isdisjoint(COMMENT_WORDS) else _COMMENT_NAME)
+    return says
 
 
 class Page:
@@ -98,13 +119,16 @@ class Page:
         self.parent, self.sign, self.plain = [-1], ["#"], [False]
         self.noise, self.article, self.main = [False], [False], [False]
         self.named, self.top = [False], [False]
+        self.whole = [0]  # what the whole name says
+        self.titles: list[int] = []  # h1 elements
         #: A block is (node, text) parts: more than one where inline elements are named as noise.
         self.blocks: list[list[tuple[int, str]]] = []
         self.links: list[tuple[int, str]] = []
         self._read(source)
 
     def _open(self, tag: str, attributes: dict[str, str], above: int) -> int:
-        names = _NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
+        called = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+        names = _NAME.findall(called)
         role = attributes.get("role", "").strip().lower()
         own = bool(names or role)
         hidden = "hidden" in attributes or _HIDDEN.search(attributes.get("style", "")) is not None
@@ -120,6 +144,10 @@ class Page:
         whole = tag in WHOLE or role in WHOLE
         self.named.append(not whole and not self.noise[-1] and not NOISE_WORDS.isdisjoint(names))
         self.top.append(tag in ("html", "body"))
+        told = self.named[-1] and tag in BLOCK and tag not in HEADINGS and tag != "header"
+        self.whole.append(_whole_name(called) if told else 0)
+        if tag == "h1":
+            self.titles.append(len(self.parent) - 1)
         return len(self.parent) - 1
 
     def _line(self, node: int):
@@ -189,7 +217,7 @@ class Page:
                 if tag not in BLOCK and not self.noise[node] and not self.named[node]:
                     self.parent.pop(), self.sign.pop(), self.plain.pop()
                     self.noise.pop(), self.article.pop(), self.main.pop()
-                    self.named.pop(), self.top.pop()
+                    self.named.pop(), self.top.pop(), self.whole.pop()
                     node = above
             if tag in VOID:
                 continue
@@ -249,13 +277,35 @@ class Page:
                 if text:
                     yield node, text
 
+    def by_whole_name(self) -> list[int]:
+        """Per node what its whole name says, 0 where that does not decide."""
+        if not any(self.whole):
+            return self.whole
+        chars = [0] * len(self.parent)
+        for node, text in self.texts():
+            chars[node] += len(text)
+        for n in range(len(chars) - 1, 0, -1):
+            chars[self.parent[n]] += chars[n]
+        title = next((n for n in self.titles if chars[n] and not self.noise[n]), 0)
+        spared = set(self._line(title)) if title else {0}
+
+        def most(n: int) -> bool:
+            return chars[n] == chars[0] if self.whole[n] == _COMMENT_NAME else 2 * chars[n] > chars[0]
+
+        return [0 if not w or n in spared or most(n) else w for n, w in enumerate(self.whole)]
+
     def choice(self) -> tuple[list[tuple[int, int, bool]], list[list[tuple[int, str]]]]:
         """(judged, blocks): the nodes that importance has yet to judge, and the blocks that role weights leave.
 
         ``judged`` has the place in it of the next judged node above (-1: none), the node, and whether its
         name lowers its weight; blocks name their place in ``judged`` instead of a node.
         """
-        marked = self.article if any(self.article) else self.main
+        says = self.by_whole_name()
+        remarks = [w == _COMMENT_NAME for w in says]
+        for n in range(1, len(remarks)):
+            remarks[n] = remarks[n] or remarks[self.parent[n]]
+        article = [a and not r for a, r in zip(self.article, remarks)]
+        marked = article if any(article) else self.main
         some = any(marked)
         names = [0] * len(self.parent)
         for n in range(1, len(self.parent)):
@@ -270,6 +320,10 @@ class Page:
                     if wraps[up]:
                         break
                     wraps[up] = True
+        # A whole name decides about its element, unless that would leave nothing.
+        gone = list(self.noise)
+        for n in range(1, len(self.parent)):
+            gone[n] = gone[n] or gone[self.parent[n]] or says[n] > 0 and not wraps[n]
         inside, place, by_name = [False] * len(self.parent), [-1] * len(self.parent), [-1] * len(self.parent)
         judged: list[tuple[int, int, bool]] = []
         for n in range(1, len(self.parent)):
@@ -281,7 +335,7 @@ class Page:
             else:
                 asked = not self.top[n]
             place[n], by_name[n] = place[above], by_name[above]
-            if asked and not self.noise[n]:
+            if asked and not gone[n]:
                 judged.append((place[above], n, named))
                 place[n] = len(judged) - 1
                 if named:
@@ -290,12 +344,12 @@ class Page:
                     by_name[n] = len(judged) - 1
             if marked[n]:
                 place[n] = by_name[n]  # above a marked article only names count
-        blocks = []
-        for parts in self.blocks:
-            left = [(place[n], text) for n, text in parts if not self.noise[n] and (inside[n] or not some)]
-            if left:
-                blocks.append(left)
-        return judged, blocks
+
+        def outside(gone: list[bool]) -> list[list[tuple[int, str]]]:
+            lines = ([(place[n], text) for n, text in parts if not gone[n] and (inside[n] or not some)] for parts in self.blocks)
+            return [left for left in lines if any(text and not text.isspace() for _, text in left)]
+
+        return judged, outside(gone) or outside(self.noise)
 
 
 def host_of(url: str | None) -> str:

@@ -98,6 +98,42 @@ def test_names_only_lower_importance(spark):
     assert got["https://other.example/7"] == "Buy 2\nOwn 7"
 
 
+#: Noise named as a whole, with text of its own on each page.
+NAMED = [
+    "<div class='advert'>{}</div>", "<div class='ad-3'><p>{}</p></div>", "<section id='comments'><p>{}</p></section>",
+    "<div class='comments-area'><article><p>{}</p></article></div>", "<div class='sidebar'><ul><li>{}</li></ul></div>",
+    "<div class='cookie-notice'>{}</div>", "<ul class='Related share'><li>{}</li></ul>",
+]
+
+
+def test_whole_names_remove_what_has_text_of_its_own(spark):
+    """In an article, beside one, on pages without one, and on a host of one page; names in part keep theirs."""
+    body, rows = "<h1>Title {}</h1><p>Body of {}.</p><div class='related-work'>Work {}.</div>", []
+    for k, noise in enumerate(NAMED):
+        for n in range(4):
+            own, other = body.format(n, n, n), noise.format(f"noise {n} of {k}")
+            rows += [
+                (1000 * k + 10 * n, f"https://a{k}.example/{n}", f"<body><article>{own}{other}</article></body>"),
+                (1000 * k + 10 * n + 1, f"https://b{k}.example/{n}", f"<body><main>{own}</main>{other}</body>"),
+                (1000 * k + 10 * n + 2, f"https://c{k}.example/{n}", f"<body><div id='page'>{other}{own}</div></body>"),
+                (1000 * k + 10 * n + 3, f"https://d{k}-{n}.example/", f"<div class='nav'>N {n}</div>{own}{other}<div class='footer'>F</div>"),
+            ]
+    got = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "Title {0}\nBody of {0}.\nWork {0}.".format(i % 1000 // 10) for i, _, _ in rows}
+
+
+def test_whole_names_spare_titles_and_most_of_the_text(spark):
+    rows = [
+        (1, "https://a.example/", "<div class='header'><h1>T</h1></div><div class='widget'><p>Most of the text</p></div>"),
+        (2, "https://b.example/", "<div class='content'><h1>T</h1><p>x</p></div><div class='comments'><p>Many long remarks</p></div>"),
+        (3, "https://c.example/", "<div class='comments'><p>Only remarks</p></div>"),
+        (4, "https://d.example/", "<div class='ad'>a b</div><div class='promo'>c d</div>"),
+        (5, "https://e.example/", "<article><h2 class='social'>S</h2><p>See <b class='share'>b</b></p></article>"),
+    ]
+    got = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "T\nMost of the text", 2: "T\nx", 3: "Only remarks", 4: "a b\nc d", 5: "S\nSee b"}
+
+
 def test_no_depth_is_left_out(spark):
     """Menus and text far down are elements of their own, and contents add up over all levels."""
     rows = [
