@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import batches, fixed
 from ..functions import text as tx
 
 # A judge maps (prompt, gold, answer) Columns to its raw verdict text.
@@ -45,6 +45,26 @@ def instructed_answerer(call: Callable[[Column], Column]) -> Callable[[Column],
     return lambda prompt: call(messages(fixed.ANSWERER_INSTRUCTION, prompt))
 
 
+# ---- models over batches: ``load`` gives, once per worker, a function of lists (system texts, user texts) to a
+#      list of answers
+
+
+def batch_judge(load: Callable[[], Callable[[list[str], list[str]], list[str]]], name: str | None = None) -> Judge:
+    """A judge of correctness; a NULL in any of its texts gives a NULL verdict."""
+    model = batches.column(load, "string", name)
+    return lambda prompt, gold, answer: model(F.lit(fixed.ACCURACY_INSTRUCTION), accuracy_message(prompt, gold, answer))
+
+
+def batch_relevance(load: Callable[[], Callable[[list[str], list[str]], list[str]]], name: str | None = None) -> Callable[[Column, Column], Column]:
+    model = batches.column(load, "string", name)
+    return lambda prompt, context: model(F.lit(fixed.RELEVANCE_INSTRUCTION), relevance_message(prompt, context))
+
+
+def batch_answerer(load: Callable[[], Callable[[list[str], list[str]], list[str]]], name: str | None = None) -> Callable[[Column], Column]:
+    model = batches.column(load, "string", name)
+    return lambda prompt: model(F.lit(fixed.ANSWERER_INSTRUCTION), prompt)
+
+
 def overlap_f1(a: Column, b: Column) -> Column:
     """F1 of the distinct lower-case tokens of two texts; 0 when either has none."""
 

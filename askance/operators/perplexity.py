@@ -1,13 +1,18 @@
-"""Perplexity of texts under a word-pair model counted from a corpus."""
+"""Perplexity of texts under word-pair models counted from a corpus.
+
+``fit`` counts and scores in one plan, with add-k smoothing. ``fit_costs`` makes a table of finished costs that
+is written once and read by any number of runs over texts outside the corpus.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 
 SMOOTHING = 0.1
 
@@ -60,7 +65,11 @@ def perplexities(texts: DataFrame, key: str, model: PairModel, text: str = "text
         known = own.join(model.pairs.select("w1", "w2", "c"), ["w1", "w2"], "left")
         costed = known.join(model.firsts, "w1", "left")
     nll = costed.groupBy(key).agg(F.sum(model.nll(F.col("c"), F.col("c1"))).alias("nll"))
-    return lengths.join(nll, key).select(
+    return _shown(lengths.join(nll, key), key)
+
+
+def _shown(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(
         key, "chars", "words", "nll",
         F.exp(F.col("nll") / (F.col("words") - 1)).alias("token_ppl"),
         F.exp(F.col("nll") / F.col("chars")).alias("char_ppl"),
@@ -68,6 +77,76 @@ def perplexities(texts: DataFrame, key: str, model: PairModel, text: str = "text
     )
 
 
+# ---- a stored model: interpolated with the single words' shares -------------------------------
+
+#: Kinds of cost rows: a pair seen; the step back from a first word; a word alone; a word never seen.
+PAIR, BACK, WORD, UNSEEN = "pair", "back", "word", "unseen"
+COSTS = "w1 string, w2 string, cost double, kind string"
+
+
+def fit_costs(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(w1, w2, cost, kind): what each pair, each step back, each word alone and an unseen word cost.
+
+    Interpolated as Witten and Bell do, with c1 the times that w1 is followed and t its different followers:
+    p(w2 | w1) = (c + t p(w2)) / (c1 + t), p(w2) = (n + k) / (N + k (V + 1)). A pair not seen costs the step back
+    from w1 (-ln(t / (c1 + t)), nothing if w1 was never followed) plus w2 alone. The corpus is counted
+    once; all else is joins of counts, which no frequent word makes longer than the vocabulary. An empty corpus gives
+    the unseen word alone, at no cost. NULL and empty texts have no words.
+    """
+    counts = cut_lineage(_pairs(corpus, text).groupBy("w1", "w2").agg(F.count("*").alias("c")))
+    followed = counts.filter(F.col("w2").isNotNull())
+    firsts = followed.groupBy("w1").agg(F.sum("c").alias("c1"), F.count("*").alias("t"))
+    k = F.lit(SMOOTHING)
+    words = counts.groupBy(F.col("w1").alias("w2")).agg(F.sum("c").alias("n"))
+    total = words.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"), F.count("*").alias("all_v")
+    ).select((F.col("all_n") + k * (F.col("all_v") + 1)).alias("whole"))
+    shares = words.select("w2", ((F.col("n") + k) / total.scalar()).alias("p"))
+    pairs = followed.join(firsts, "w1").join(shares, "w2")
+    none = F.lit(None).cast("string")
+    return (
+        pairs.select("w1", "w2", (-F.ln((F.col("c") + F.col("t") * F.col("p")) / (F.col("c1") + F.col("t")))).alias("cost"), F.lit(PAIR).alias("kind"))
+        .unionByName(firsts.select("w1", none.alias("w2"), (-F.ln(F.col("t") / (F.col("c1") + F.col("t")))).alias("cost"), F.lit(BACK).alias("kind")))
+        .unionByName(shares.select(none.alias("w1"), "w2", (-F.ln("p")).alias("cost"), F.lit(WORD).alias("kind")))
+        .unionByName(total.select(none.alias("w1"), none.alias("w2"), (-F.ln(k / F.col("whole"))).alias("cost"), F.lit(UNSEEN).alias("kind")))
+    )
+
+
+def write_costs(costs: DataFrame, path: str) -> None:
+    """A folder per kind, so that a reader of one kind leaves the others unread."""
+    costs.write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def read_costs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COSTS).parquet(path)
+
+
+def stored_perplexities(texts: DataFrame, key: str, costs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``perplexities`` for texts of two words or more, by a table of ``fit_costs``.
+
+    Equal pairs of a text are one row with a count before they meet the model. Pairs it knows are done with one
+    join; the rest goes on to the step back and the single word. Left joins, so adaptive execution may
+    split a first word that begins many pairs. ``key`` is unique.
+    """
+    lengths = texts.select(
+        key,
+        F.length(tx.strip(F.col(text))).cast("bigint").alias("chars"),
+        F.size(tx.words(F.col(text))).cast("bigint").alias("words"),
+    ).filter(F.col("words") >= 2)
+    own = _pairs(texts, text, key).filter(F.col("w2").isNotNull()).groupBy(key, "w1", "w2").agg(F.count("*").alias("n"))
+
+    def of(kind: str, *columns: str, name: str) -> DataFrame:
+        return costs.filter(F.col("kind") == kind).select(*columns, F.col("cost").alias(name))
+
+    met = cut_lineage(own.join(of(PAIR, "w1", "w2", name="seen"), ["w1", "w2"], "left"))
+    unseen = of(UNSEEN, name="unseen").select(F.first("unseen")).scalar()
+    rest = met.filter(F.col("seen").isNull()).join(of(BACK, "w1", name="back"), "w1", "left").join(of(WORD, "w2", name="alone"), "w2", "left")
+    cost = F.coalesce("back", F.lit(0.0)) + F.coalesce("alone", unseen)
+    costed = met.filter(F.col("seen").isNotNull()).select(key, (F.col("n") * F.col("seen")).alias("_x"))
+    nll = costed.unionByName(rest.select(key, (F.col("n") * cost).alias("_x"))).groupBy(key).agg(F.sum("_x").alias("nll"))
+    return _shown(lengths.join(nll, key), key)
+
+
 def means(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(
         F.count("*").alias("n_texts"),

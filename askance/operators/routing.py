@@ -55,6 +55,27 @@ def fit_router(rows: DataFrame, vector: str, label: str = "label") -> LogisticRe
     return LogisticRegression(maxIter=30, regParam=1e-3, family="multinomial").fit(ready)
 
 
+def held_out(key: Column, seed: int, one_in: int = 5) -> Column:
+    """True for about one key in ``one_in``: the same keys on any partitioning and in any run."""
+    return F.conv(F.substring(seeded_rank(key, seed), 1, 8), 16, 10).cast("bigint") % one_in == 0
+
+
+def save_router(model: LogisticRegressionModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_router(path: str) -> LogisticRegressionModel:
+    return LogisticRegressionModel.load(path)
+
+
+def accuracy_rows(rows: DataFrame, vector: str, model: LogisticRegressionModel, seed: int, key: str, label: str = "label") -> DataFrame:
+    """(run_id, n, accuracy): the share of right classes among the rows fitted on (``fitted``) and the others (``held_out``)."""
+    ready = rows.select(key, label, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    part = F.when(held_out(F.col(key), seed), "held_out").otherwise("fitted").alias("run_id")
+    right = (F.col("prediction") == F.col(label)).cast("double")
+    return model.transform(ready).groupBy(part).agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"))
+
+
 def route(rows: DataFrame, key: str, vector: str, model: LogisticRegressionModel, variants: list[str]) -> DataFrame:
     """(key, route, variant, is_known_route): the likeliest class and the model variant it stands for.
 

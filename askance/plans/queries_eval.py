@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..operators import generate as g
 from ..operators import overlap, perplexity
+from ..session import shared_folder
 from ..sources import tables as t
 from . import suites
 from .queries_scoring import rounded
-from .registry import PAIRS, lit, query, r6, s_sentences, s_strip, s_words
+from .queries_text import S_CUT
+from .queries_training import s_judge
+from .registry import PAIRS, lit, query, r6, s_fill, s_sentences, s_strip, s_words
 
 _PPL_COLUMNS = ["nll", "token_ppl", "char_ppl", "word_ppl"]
 _PPL = (
@@ -170,3 +176,99 @@ def sst2_accuracy(spark, sf):
     text = F.when(F.col("toxic") == 0, "I find it POSITIVE.").otherwise("Positive? No: NEGATIVE.")
     rows = t.table(spark, sf, "labels").select(text.alias("prediction"), F.col("quality").alias("label"))
     return suites.sentiment_suite(rows).withColumn("value", r6("value"))
+
+
+# ---- suites end to end ------------------------------------------------------------------------
+
+_K = f"{perplexity.SMOOTHING}::DOUBLE"
+_STORED = (
+    f"cw AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT conv_id, turn, {s_words('text')} AS ws FROM conversations)), "
+    "cp AS (SELECT lag(w) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS w1, w AS w2 FROM cw QUALIFY w1 IS NOT NULL), "
+    "c2 AS (SELECT w1, w2, count(*) AS c FROM cp GROUP BY 1, 2), fs AS (SELECT w1, sum(c) AS c1, count(*) AS t FROM c2 GROUP BY 1), "
+    f"n1 AS (SELECT w AS w2, count(*) AS n FROM cw GROUP BY 1), tot AS (SELECT sum(n) + {_K} * (count(*) + 1) AS whole FROM n1), "
+    "sd AS (SELECT doc_id, text FROM documents ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id LIMIT 1000), "
+    f"tx AS (SELECT doc_id, {S_CUT} AS text FROM (SELECT doc_id, {s_strip('text')} AS b FROM sd) WHERE length(b) > 1), "
+    f"ws AS (SELECT doc_id, {s_strip('text')} AS text, {s_words('text')} AS w FROM tx), "
+    "wd AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM ws), "
+    "pr AS (SELECT doc_id, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS w1, w AS w2 FROM wd QUALIFY w1 IS NOT NULL), "
+    f"pp AS (SELECT doc_id, c, c1, t, (coalesce(n, 0) + {_K}) / whole AS p FROM pr LEFT JOIN c2 USING (w1, w2) LEFT JOIN fs USING (w1) LEFT JOIN n1 USING (w2), tot), "
+    "nl AS (SELECT doc_id, sum(CASE WHEN c IS NOT NULL THEN -ln((c + t * p) / (c1 + t)) ELSE coalesce(-ln(t / (c1 + t)::DOUBLE), 0) - ln(p) END) AS nll FROM pp GROUP BY 1), "
+    "pt AS (SELECT doc_id, length(text)::DOUBLE AS chars, len(w)::DOUBLE AS words, nll, exp(nll / (len(w) - 1)) AS token_ppl, "
+    "exp(nll / length(text)) AS char_ppl, exp(nll / len(w)) AS word_ppl FROM ws JOIN nl USING (doc_id) WHERE len(w) >= 2)"
+)
+
+
+@query(
+    "perplexity_suite",
+    f"WITH {_STORED}, m AS ("
+    + " UNION ALL ".join(f"SELECT 'mean_{c}' AS metric, NULL::BIGINT AS idx, avg({c}) AS x FROM pt" for c in ("chars", "words", *_PPL_COLUMNS))
+    + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{c}', doc_id, {c} FROM pt" for c in _PPL_COLUMNS[1:])
+    + ") SELECT 'perplexity' AS run_id, 'perplexity' AS suite, metric, idx, round(x, 4)::DOUBLE AS value, NULL::VARCHAR AS text FROM m",
+)
+def perplexity_suite(spark, sf):
+    """The suite's thousand texts of at most 256 words, by a model of all conversation turns that is stored and read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/costs-{uuid4().hex}"
+    perplexity.write_costs(perplexity.fit_costs(t.table(spark, sf, "conversations").select("text")), path)
+    texts = t.table(spark, sf, "documents").select("doc_id", "text")
+    return suites.perplexity_suite(texts, perplexity.read_costs(spark, path)).withColumn("value", F.round("value", 4))
+
+
+def first_sentence(prompt, preset):
+    """A reader without a model: the first sentence of the context."""
+    context = F.substring_index(prompt, "##CONTEXT: ", -1)
+    return F.array_repeat(F.coalesce(F.get(tx.sentences(context), 0), F.lit("")), preset.num_return_sequences)
+
+
+def _by_length(prompt, preset):
+    said = F.when(F.length(prompt) % 2 == 0, "This one is POSITIVE.").otherwise("NEGATIVE, not Positive.")
+    return F.array_repeat(said, preset.num_return_sequences)
+
+
+@query(
+    "reading_suite",
+    f"WITH {PAIRS}, s AS (SELECT q_id, conv_id, prompt, {s_sentences('passage')} AS se FROM qa), "
+    "r AS (SELECT q_id, prompt, coalesce(se[1], '') AS pred, CASE WHEN conv_id % 2 = 0 THEN se ELSE se[2:] END AS golds FROM s), "
+    "x AS (SELECT q_id, pred, unnest(golds) AS gold, generate_subscripts(golds, 1) AS gi FROM r), "
+    f"tk AS (SELECT q_id AS run_id, gi AS idx, {s_answer_tokens('pred')} AS p, {s_answer_tokens('gold')} AS g FROM x), "
+    f"{_s_counts(1)}, f AS (SELECT run_id, idx, 2.0 * sum(least(a, b)) / sum(a + b) AS f1 FROM ct GROUP BY 1, 2), "
+    "pe AS (SELECT tk.run_id AS q_id, max((p = g)::INT) AS em, max(coalesce(f1, 0)) AS f1 FROM tk LEFT JOIN f ON f.run_id = tk.run_id AND f.idx = tk.idx GROUP BY 1), "
+    "av AS (SELECT 100 * avg(coalesce(em, 0)) AS em, 100 * avg(coalesce(f1, 0)) AS f1 FROM r LEFT JOIN pe USING (q_id)), "
+    f"jd AS (SELECT q_id, {s_judge('ga', 'pred')} AS verdict FROM (SELECT q_id, pred, array_to_string(golds, ', ') AS ga FROM r)), "
+    "m AS (SELECT 'squad_exact_match' AS metric, NULL::BIGINT AS idx, em AS x, NULL::VARCHAR AS text FROM av UNION ALL SELECT 'squad_f1', NULL, f1, NULL FROM av "
+    "UNION ALL SELECT 'squad_oracle_acc', q_id, CASE verdict WHEN 'YES' THEN 1.0 WHEN 'PARTLY' THEN 0.5 ELSE 0.0 END, NULL FROM jd "
+    "UNION ALL SELECT 'squad_oracle_acc_text', q_id, NULL, verdict FROM jd) "
+    "SELECT 'reading' AS run_id, 'squad' AS suite, metric, idx, round(x, 4)::DOUBLE AS value, text FROM m",
+)
+def reading_suite(spark, sf):
+    """Questions with their passages as context, read by the first-sentence reader; half of the rows do not accept it."""
+    golds = tx.sentences(F.col("passage"))
+    accepted = F.when(F.col("conv_id") % 2 == 0, golds).otherwise(F.slice(golds, F.lit(2), F.size(golds)))
+    rows = t.qa_pairs(spark, sf).select(
+        F.col("q_id").alias("idx"), F.col("prompt").alias("question"), F.col("passage").alias("context"), accepted.alias("answers")
+    )
+    return suites.reading_run(rows, g.Model(first_sentence)).withColumn("value", F.round("value", 4))
+
+
+@query(
+    "sentiment_suite",
+    "SELECT 'sentiment' AS run_id, 'sst2' AS suite, 'glue_sst2_accuracy' AS metric, NULL::BIGINT AS idx, "
+    f"round(avg(((length({s_fill(fixed.SENTIMENT_PROMPT, sentence='text')}) % 2 = 0)::INT = quality)::INT), 6) AS value, NULL::VARCHAR AS text "
+    "FROM documents JOIN labels USING (doc_id)",
+)
+def sentiment_suite(spark, sf):
+    """Labelled documents asked for their sentiment; the answer hangs on the prompt's length."""
+    labels = t.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = t.table(spark, sf, "documents").select("doc_id", F.col("text").alias("sentence")).join(labels, "doc_id")
+    return suites.sentiment_run(rows, g.Model(_by_length)).withColumn("value", r6("value"))
+
+
+@query("instruction_suite")
+def instruction_suite(spark, sf):
+    """The thousand sampled instructions, every second with an input, answered by the echo; BLEU, ROUGE, judged accuracy."""
+    first = F.coalesce(F.get(tx.sentences(F.col("passage")), 0), F.lit(""))
+    rows = t.qa_pairs(spark, sf).select(
+        F.lit("instructions").alias("run_id"), F.col("q_id").alias("idx"), F.col("prompt").alias("instruction"),
+        F.when(F.col("conv_id") % 2 == 0, first).otherwise("").alias("input"), F.col("passage").alias("reference"),
+    )
+    return suites.instruction_run(rows, g.BASELINE).withColumn("value", r6("value"))

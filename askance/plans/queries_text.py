@@ -163,13 +163,13 @@ def run_key(spark, sf):
     return t.table(spark, sf, "pages").select("page_id", store.run_key(F.col("url"), "oracle").alias("run_key"))
 
 
-_CUT = f"array_to_string(string_split(b, ' ')[:{fixed.EVAL_WORDS}], ' ')"
+S_CUT = f"array_to_string(string_split(b, ' ')[:{fixed.EVAL_WORDS}], ' ')"
 
 
 @query(
     "truncate_words",
-    f"WITH s AS (SELECT doc_id, {s_strip('text')} AS b FROM documents) SELECT doc_id, {_CUT} AS text, "
-    f"CASE WHEN len(string_split(b, ' ')) > {fixed.EVAL_WORDS} THEN {_CUT} ELSE substr(b, 1, length(b) - 1) END AS compat_text "
+    f"WITH s AS (SELECT doc_id, {s_strip('text')} AS b FROM documents) SELECT doc_id, {S_CUT} AS text, "
+    f"CASE WHEN len(string_split(b, ' ')) > {fixed.EVAL_WORDS} THEN {S_CUT} ELSE substr(b, 1, length(b) - 1) END AS compat_text "
     "FROM s WHERE length(b) > 1",
 )
 def truncate_words(spark, sf):

@@ -42,7 +42,7 @@ def train_join(spark, sf):
     return pairs.left_join_skewed(docs, pairs.predictions(t.qa_pairs(spark, sf)), "prompt").select("prompt", "answer_text", "passage")
 
 
-def _s_judge(gold: str, answer: str) -> str:
+def s_judge(gold: str, answer: str) -> str:
     a, b = f"list_distinct({s_tokens(gold)})", f"list_distinct({s_tokens(answer)})"
     return (
         f"(SELECT CASE WHEN f >= 0.8 THEN 'YES' WHEN f >= 0.3 THEN 'PARTLY' ELSE 'NO' END FROM "
@@ -56,7 +56,7 @@ _AGREE = "CASE similarity_text WHEN 'YES' THEN 1.0 WHEN 'PARTLY' THEN 0.5 ELSE 0
 
 @query(
     "train_from_answers",
-    f"WITH {_TRAIN}, jd AS (SELECT *, {_s_judge('answer_text', _PASSAGE)} AS similarity_text FROM tr) "
+    f"WITH {_TRAIN}, jd AS (SELECT *, {s_judge('answer_text', _PASSAGE)} AS similarity_text FROM tr) "
     f"SELECT prompt, answer_text, passage, similarity_text, {_AGREE} AS similarity FROM jd",
 )
 def train_from_answers(spark, sf):
@@ -70,7 +70,7 @@ _DOUBTFUL = (
     f"an AS (SELECT {s_strip('prompt')} AS prompt, {s_strip('answer')} AS answer_text FROM "
     "(SELECT DISTINCT prompt, prompt || '...' AS answer FROM dq)), "
     "tr AS (SELECT an.prompt, answer_text, passage FROM an LEFT JOIN dp USING (prompt)), "
-    f"jd AS (SELECT *, {_s_judge('answer_text', _PASSAGE)} AS similarity_text FROM tr), "
+    f"jd AS (SELECT *, {s_judge('answer_text', _PASSAGE)} AS similarity_text FROM tr), "
     f"fr AS (SELECT prompt, answer_text, passage, similarity_text, {_AGREE} AS similarity FROM jd)"
 )
 
@@ -237,7 +237,7 @@ def curate_pages(spark, sf):
     f"WITH {_CURATED}, b AS (SELECT {s_strip('text')} AS prompt, {s_strip('text')} || '...' AS passage FROM benchmark), "
     f"cl AS (SELECT {s_strip('prompt')} AS prompt, {s_strip('answer_text')} AS answer_text, {s_strip('full_text')} AS full_text, "
     "answer_score, source_url FROM cu), "
-    f"jd AS (SELECT cl.*, passage, {_s_judge('answer_text', 'passage')} AS similarity_text, "
+    f"jd AS (SELECT cl.*, passage, {s_judge('answer_text', 'passage')} AS similarity_text, "
     f"len(list_intersect(list_distinct({s_tokens('cl.prompt')}), {s_tokens('full_text')})) / len(list_distinct({s_tokens('cl.prompt')}))::DOUBLE AS sh "
     "FROM cl LEFT JOIN b USING (prompt)) "
     "SELECT prompt, answer_text, round(answer_score, 6) AS answer_score, source_url, passage, "
@@ -251,3 +251,19 @@ def train_from_pages(spark, sf):
     return frame.withColumn("answer_score", r6("answer_score")).select(
         "prompt", "answer_text", "answer_score", "source_url", "passage", "LLM_judge_relevance", "similarity_text", "similarity"
     )
+
+
+@query(
+    "judged_by_batches",
+    f"WITH {PAIRS}, m AS (SELECT q_id, length({s_fill(fixed.ACCURACY_MESSAGE, prompt='prompt', gold='passage', answer='prompt')}) % 3 AS k FROM qa) "
+    "SELECT q_id, ['Yes.', 'Partly', 'No'][k + 1] AS verdict_text, (2 - k) / 2.0::DOUBLE AS score FROM m",
+)
+def judged_by_batches(spark, sf):
+    """Verdicts of a judge that is loaded once per Python worker and sees batches of messages."""
+
+    def load():
+        return lambda system, user: [["Yes.", "Partly", "No"][len(u) % 3] for u in user]
+
+    decide = judge.batch_judge(load, "verdict by length")
+    rows = t.qa_pairs(spark, sf).select("q_id", decide(F.col("prompt"), F.col("passage"), F.col("prompt")).alias("verdict_text"))
+    return rows.withColumn("score", tx.verdict_score(F.col("verdict_text")))

@@ -252,3 +252,14 @@ def rollup_report(spark, sf):
     )
     sums = cut_lineage(report.run_sums(scored, "model", "method"))
     return rounded(report.rollup_report(sums, "model", "method"), MEASURES)
+
+
+@query("router_accuracy")
+def router_accuracy(spark, sf):
+    """Accuracy of a router on the rows it was fitted on and on the fifth held out, after storing and reading it."""
+    rows = t.table(spark, sf, "embeddings").select("vec_id", "embedding", F.when(F.col("label") < 5, 0).otherwise(1).alias("label"))
+    model = routing.fit_router(rows.filter(~routing.held_out(F.col("vec_id"), fixed.EVAL_SEED)), "embedding")
+    path = f"{shared_folder(spark).rstrip('/')}/router-{uuid4().hex}"
+    routing.save_router(model, path)
+    measured = routing.accuracy_rows(rows, "embedding", routing.load_router(path), fixed.EVAL_SEED, "vec_id")
+    return store.metric_rows(measured, "router", "router_", ["n", "accuracy"]).withColumn("value", r6("value"))

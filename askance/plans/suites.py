@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import text as tx
 from ..operators import generate as g
 from ..operators import judge as j
 from ..operators import order, overlap, perplexity, prompts, scoring
+from ..session import cut_lineage
 from ..sources import store
 from . import runs
 
@@ -50,9 +53,17 @@ def perplexity_texts(
     return rows if word_limit is None else rows.withColumn("text", tx.cut_words(F.col("text"), word_limit))
 
 
-def perplexity_suite(texts: DataFrame, model: perplexity.PairModel, key: str = "doc_id", **kw) -> DataFrame:
-    """The suite's means as metric rows."""
-    rows = perplexity.perplexities(perplexity_texts(texts, key, **kw), key, model)
+def perplexity_suite(texts: DataFrame, model: perplexity.PairModel | DataFrame, key: str = "doc_id", **kw) -> DataFrame:
+    """The suite's means as metric rows; by a stored table of costs also each text's values, by its key."""
+    if isinstance(model, DataFrame):
+        rows = cut_lineage(perplexity.stored_perplexities(cut_lineage(perplexity_texts(texts, key, **kw)), key, model))
+        own = rows.withColumn("run_id", F.lit("perplexity"))
+        logged = [store.indexed_metric(own, "perplexity", c, key, c, None) for c in ("token_ppl", "char_ppl", "word_ppl")]
+        return reduce(DataFrame.unionByName, logged, _perplexity_means(rows))
+    return _perplexity_means(perplexity.perplexities(perplexity_texts(texts, key, **kw), key, model))
+
+
+def _perplexity_means(rows: DataFrame) -> DataFrame:
     wide = perplexity.means(rows).withColumn("run_id", F.lit("perplexity"))
     return store.metric_rows(wide, "perplexity", "", [c for c in wide.columns if c.startswith("mean_")])
 
@@ -105,3 +116,42 @@ def sentiment_suite(rows: DataFrame, prefix: str = "glue_sst2_") -> DataFrame:
         overlap.accuracy(overlap.positive_label(F.col("prediction")), F.col("label")).alias("accuracy")
     ).withColumn("run_id", F.lit("sentiment"))
     return store.metric_rows(wide, "sst2", prefix, ["accuracy"])
+
+
+# ---- suites end to end: prompt, generate, measure, judge ---------------------------------------
+
+
+def instruction_run(
+    rows: DataFrame, model: g.Model, judge: j.Judge = j.lexical_judge, sample: int | None = fixed.EVAL_SAMPLE
+) -> DataFrame:
+    """The instruction suite from its set (``instruction_rows``) to metric rows: BLEU, ROUGE, judged accuracy.
+
+    Answers are stored before they are measured, so that each is generated once.
+    """
+    answered = instruction_rows(rows, model, sample).select("run_id", "idx", "prompt", "prediction", "reference")
+    return qa_suite(cut_lineage(answered), "benchmark", "benchmark_", judge)
+
+
+def reading_run(rows: DataFrame, model: g.Model, key: str = "idx", judge: j.Judge = j.lexical_judge) -> DataFrame:
+    """The reading suite: ``rows`` (key, question, context, answers) are asked, answered, measured and judged.
+
+    The judge sees the bare question and all right answers, joined by a comma. Exact match and F1 are means in
+    percent; verdicts and their scores are logged per row.
+    """
+    shown = rows.withColumn("prompt", prompts.reading(F.col("question"), F.col("context")))
+    answered = cut_lineage(answer(shown, "prompt", model, g.LONG_EVALUATION).select(key, "question", "answers", "prediction"))
+    gold = F.array_join("answers", ", ")
+    judged = answered.select(
+        F.lit("reading").alias("run_id"), key, judge(F.col("question"), gold, F.col("prediction")).alias("verdict_text")
+    ).withColumn("oracle_acc", tx.verdict_score(F.col("verdict_text")))
+    return (
+        reading_suite(answered, key)
+        .unionByName(store.indexed_metric(judged, "squad", "squad_oracle_acc", key, "oracle_acc", None))
+        .unionByName(store.indexed_metric(judged, "squad", "squad_oracle_acc_text", key, None, "verdict_text"))
+    )
+
+
+def sentiment_run(rows: DataFrame, model: g.Model) -> DataFrame:
+    """The sentiment suite: ``rows`` (sentence, label) are asked and answered; accuracy as a metric row."""
+    shown = rows.withColumn("prompt", prompts.sentiment(F.col("sentence")))
+    return sentiment_suite(answer(shown, "prompt", model, g.LONG_EVALUATION).select("prediction", "label"))
