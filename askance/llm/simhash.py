@@ -1,17 +1,22 @@
-"""SimHash near-duplicates through an inverted index on fingerprint bytes.
+"""SimHash near-duplicates through an inverted index on fingerprint bytes, with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``MAX_BITS`` = 2 bits differ in at most two of their
-eight bytes, so of the tallied (position, byte) matches every linked pair is guaranteed at least six.
-Tallying single-byte postings pair by pair would write N^2/256 rows per position. The count filter is
-therefore put into the postings: one posting list for each choice of six positions and their bytes.
-A pair shares a list exactly when its tally reaches six, and no pair below six is ever made. All
-members of a list agree on 48 bits, so a list holds at most 2^16 fingerprints; inside it the links are
-verified by looking up the 136 values at distance one and two, and only a spanning forest is emitted,
-never all pairs.
+eight bytes, so every linked pair is guaranteed ``NEEDED`` = 6 matches of (position, byte). Two
+differing bytes touch at most two of the four pairs of neighbouring positions, so a linked pair also
+agrees on two of these pairs: the index holds a posting list per choice of two (six choices) and
+their four bytes. Inside a list the bytes that two members share are tallied, pairs reaching six are
+kept and then verified bit by bit; all this happens in arrays, and only a spanning forest of the
+verified links leaves the task, never a row per pair.
+
+A list of more than ``LISTED`` fingerprints is dealt out anew by two more of its positions (six
+choices again). Its sublists agree on six bytes, so their pairs reach the count by their key; they hold
+at most 2^16 members, and links are verified by looking up the values at distance one and two.
+Nothing is cut: a pair of a long list with six shared bytes meets in at least one sublist.
 """
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -24,8 +29,15 @@ BYTES = 8
 MAX_BITS = 2
 SHINGLE = 3
 SEED = 42
-#: The two positions left out by each posting list: every choice of six of eight positions.
-LEFT_OUT = tuple(combinations(range(BYTES), MAX_BITS))
+#: Positions at which a linked pair surely shares its byte.
+NEEDED = BYTES - MAX_BITS
+#: The four positions of each posting list, and the six of each of its sublists.
+POSTED = tuple(a + b for a, b in combinations([(p, p + 1) for p in range(0, BYTES, 2)], 2))
+SUBLISTS = tuple(
+    tuple(tuple(sorted(kept + more)) for more in combinations(sorted(set(range(BYTES)) - set(kept)), 2)) for kept in POSTED
+)
+#: Longer lists are dealt out by two more positions, so the pairs tallied in one list stay few.
+LISTED = 2_048
 
 
 def fingerprint_of(text: str | None) -> int:
@@ -65,20 +77,47 @@ def fingerprint(text: Column) -> Column:
     return hashed(text)
 
 
-def _posting_keys(fp: Column) -> Column:
-    """The 28 posting lists of a fingerprint: the 48 kept bits, and in the top bits which list it is."""
-    keys = []
-    for n, (i, j) in enumerate(LEFT_OUT):
-        low = fp.bitwiseAND(F.lit((1 << (8 * i)) - 1))
-        mid = F.shiftrightunsigned(fp, 8 * (i + 1)).bitwiseAND(F.lit((1 << (8 * (j - i - 1))) - 1))
-        high = F.shiftrightunsigned(fp, 8 * (j + 1)) if j < BYTES - 1 else F.lit(0).cast("bigint")
-        packed = low.bitwiseOR(F.shiftleft(mid, 8 * i)).bitwiseOR(F.shiftleft(high, 8 * (j - 1)))
-        keys.append(packed.bitwiseOR(F.lit(n << 48)))
-    return F.array(*keys)
+def _posting(fp: Column, kept: tuple[int, ...], number: int) -> Column:
+    """The bytes at the kept positions, and above them which list it is."""
+    key = F.lit(number << (8 * len(kept))).cast("bigint")
+    for n, p in enumerate(kept):
+        byte = F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255).cast("bigint"))
+        key = key.bitwiseOR(F.shiftleft(byte, 8 * n))
+    return key
+
+
+def _tallied(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links within each list; rows are sorted by list.
+
+    Step by step each member meets the one so many places on in its list, for all lists at once.
+    """
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    end = np.repeat(np.append(first[1:], len(keys)), np.diff(np.append(first, len(keys))))
+    values, up, edges = fps.view(np.uint64), list(range(len(fps))), []
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    at, step = np.arange(len(fps)), 1
+    while len(at := at[at + step < end[at]]):
+        differ = values[at] ^ values[at + step]
+        shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+        reached = shared >= NEEDED
+        linked = np.bitwise_count(differ[reached]) <= MAX_BITS
+        for i in at[reached][linked].tolist():
+            a, b = find(i), find(i + step)
+            if a != b:
+                up[b] = a
+                edges.append((int(fps[i]), int(fps[i + step])))
+        step += 1
+    return edges
 
 
 def _forest(members: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what lies within two bits of each other among members of one list."""
+    """Links that connect what lies within two bits of each other among members of one sublist."""
     if len(members) == 2:
         a, b = int(members[0]), int(members[1])
         return [(a, b)] if bin((a ^ b) & (2**64 - 1)).count("1") <= MAX_BITS else []
@@ -113,37 +152,95 @@ def _forest(members: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(batches):
-    """Sorted (list, fingerprint) rows in, links out; a list may span batches, at most 2^16 rows of it."""
+def _lists(batches):
+    """Whole lists of sorted (list, fingerprint) batches, many short ones together; a list may span batches."""
+    held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        keys = np.concatenate((held_k, batch.column(0).to_numpy(zero_copy_only=False)))
+        fps = np.concatenate((held_f, batch.column(1).to_numpy(zero_copy_only=False)))
+        cut = int(np.searchsorted(keys, keys[-1], side="left")) if len(keys) else 0
+        if cut:
+            yield keys[:cut], fps[:cut]
+        held_k, held_f = keys[cut:], fps[cut:]
+    if len(held_k):
+        yield held_k, held_f
+
+
+def _rows(a, b, more=None):
     import pyarrow as pa
 
-    def made(keys, fps):
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        edges = []
-        for at in np.flatnonzero(np.diff(new) > 1):
-            edges += _forest(fps[new[at] : new[at + 1]])
-        pairs = np.array(edges, dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+    columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64())]
+    names = ["a", "b"]
+    if more is not None:
+        columns.append(pa.array(more, pa.int64()))
+        names.append("more")
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
-    held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
+
+def _edges(found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pairs.min(1), pairs.max(1)
+
+
+def _links(batches, listed: int):
+    """Links (a, b, null) of short lists; members (fingerprint, null, list) of lists longer than ``listed``.
+
+    A long list passes through batch by batch: no more than ``listed`` of its members are ever held.
+    """
+    held_k, held_f, passing = np.empty(0, np.int64), np.empty(0, np.int64), None
     for batch in batches:
         keys = np.concatenate((held_k, batch.column(0).to_numpy(zero_copy_only=False)))
         fps = np.concatenate((held_f, batch.column(1).to_numpy(zero_copy_only=False)))
         if not len(keys):
             continue
-        cut = int(np.searchsorted(keys, keys[-1], side="left"))
-        if cut:
-            yield made(keys[:cut], fps[:cut])
-        held_k, held_f = keys[cut:], fps[cut:]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.append(first, len(keys)))
+        long = np.repeat((size > listed) | (keys[first] == passing), size)
+        last = int(first[-1])
+        if long.any():
+            yield _rows(fps[long], np.ma.masked_all(int(long.sum()), np.int64), keys[long])
+        done = ~long
+        done[last:] = False
+        if done.any():
+            a, b = _edges(_tallied(keys[done], fps[done]))
+            yield _rows(a, b, np.ma.masked_all(len(a), np.int64))
+        passing = keys[-1] if long[-1] else None
+        held_k, held_f = (keys[:0], fps[:0]) if long[-1] else (keys[last:], fps[last:])
     if len(held_k):
-        yield made(held_k, held_f)
+        a, b = _edges(_tallied(held_k, held_f))
+        yield _rows(a, b, np.ma.masked_all(len(a), np.int64))
+
+
+def _sublinks(batches):
+    """Links (a, b) inside sublists, at most 2^16 members each."""
+    for keys, fps in _lists(batches):
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        found = []
+        for lo, hi in zip(first[:-1], first[1:]):
+            members = np.unique(fps[lo:hi])  # a sublist may be reached from several lists
+            if len(members) > 1:
+                found += _forest(members)
+        yield _rows(*_edges(found))
 
 
-def links(fingerprints: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest of the links between distinct values of ``fingerprint``."""
-    keyed = fingerprints.select(F.explode(_posting_keys(F.col("fingerprint"))).alias("key"), "fingerprint")
+def links(fingerprints: DataFrame, listed: int = LISTED) -> DataFrame:
+    """(a, b): a spanning forest of the links between distinct values of ``fingerprint``.
+
+    ``listed``: the longest list tallied as a whole; it changes the work, never the links.
+    """
+    fp = F.col("fingerprint")
+    keys = F.array(*[_posting(fp, kept, n) for n, kept in enumerate(POSTED)])
+    keyed = fingerprints.select(F.explode(keys).alias("key"), "fingerprint")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fingerprint")
-    return dealt.mapInArrow(_links, "a bigint, b bigint").distinct()
+    met = cut_lineage(dealt.mapInArrow(partial(_links, listed=listed), "a bigint, b bigint, more bigint"))
+    numbers = {kept: n for n, kept in enumerate(dict.fromkeys(k for many in SUBLISTS for k in many))}
+    deeper = F.element_at(
+        F.array(*[F.array(*[_posting(F.col("a"), kept, numbers[kept]) for kept in many]) for many in SUBLISTS]),
+        (F.shiftright("more", 8 * len(POSTED[0])) + 1).cast("int"),
+    )
+    rest = met.filter("b is null").select(F.explode(deeper).alias("key"), F.col("a").alias("fingerprint"))
+    again = rest.repartition("key").sortWithinPartitions("key", "fingerprint").mapInArrow(_sublinks, "a bigint, b bigint")
+    return met.filter("b is not null").select("a", "b").unionByName(again).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

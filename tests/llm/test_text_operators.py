@@ -84,6 +84,32 @@ def test_links_connect_what_two_bits_part(spark, seed):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("listed", [1, 3, 40])
+def test_long_posting_lists_lose_no_link(spark, listed):
+    rng = random.Random(listed)
+    values = {0x1122334455667788 ^ rng.getrandbits(12) for _ in range(300)}
+    values |= {0x1122334455667788 ^ (rng.getrandbits(9) << 40) for _ in range(200)}
+    values |= {rng.getrandbits(64) for _ in range(50)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in sorted(values)]
+    frame = spark.createDataFrame([(v,) for v in signed], "fingerprint bigint")
+    found = rows(simhash.links(frame, listed=listed))
+    assert len(found) < 28 * len(signed)  # forests, not pairs
+    roots = dict(rows(simhash.components(simhash.links(frame, listed=listed))))
+    want = {f: c for f, _, c in plain_components([(s, s % (1 << 64)) for s in signed])}
+    assert {s: roots.get(s, s) for s in signed} == want
+
+
+def test_shared_bytes_are_counted_before_links_are_verified():
+    import numpy as np
+
+    base = 0x0102030405060708
+    six, five, far = base ^ 0x0100010000000000, base ^ 0x0101010000000000, base ^ 0x0300010000000000
+    keys, fps = np.zeros(4, np.int64), np.array([base, six, five, far], dtype=np.int64)
+    links = {frozenset(e) for e in simhash._tallied(keys, fps)}
+    every = {frozenset((a, b)) for a in (base, six, five, far) for b in (base, six, five, far) if 0 < (a ^ b).bit_count() <= 2}
+    assert frozenset((base, far)) not in every and links <= every and len(links) == 3
+
+
 def test_components_of_a_long_chain(spark):
     ids = list(range(300))
     random.Random(5).shuffle(ids)
