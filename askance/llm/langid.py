@@ -1,9 +1,11 @@
 """Language ID by compression: the language whose dictionary packs a text into the fewest bytes.
 
 Each language has a raw-content zstandard dictionary: the words of a bounded sample of its labelled rows,
-the commonest last, where they are cheapest to point at. The distinct words of a whole text are encoded
-with every dictionary; the smallest result names the language. The margin is the
-share by which the runner-up is larger; narrow margins are rejected.
+the commonest last, where they are cheapest to point at. Every text is encoded whole and in one way: folded
+to lower case with digits and ASCII marks as blanks, in pieces of ``PIECE_BYTES``, each with every language's
+dictionary; a language's size is the sum over the pieces, so the dictionary serves the end of a long text as
+well as its start and margins compare across lengths. The smallest size names the language. The margin is
+the share by which the runner-up is larger; narrow margins are rejected.
 """
 
 from __future__ import annotations
@@ -28,12 +30,11 @@ DICTIONARY_BYTES = 128 * 1024
 #: Rejected below this margin (share of the best size by which the second best is larger).
 MIN_MARGIN = 0.004
 UNDECIDED = "und"
-#: Texts of up to so many bytes are encoded at the thorough level; longer ones differ by many bytes anyway.
-SHORT_BYTES = 600
-_LEVELS = (19, 3)
-#: A short text follows so many bytes of the dictionary's own end. They cost a few bytes in any language and
-#: keep the encoder from storing the text raw, which would make all sizes equal.
-LEAD_BYTES = 1_000
+LEVEL = 6
+PIECE_BYTES = 4_000
+#: Each piece follows so many bytes of the dictionary's own end. They cost a few bytes in any language and
+#: keep the encoder from storing a short piece raw, which would make all sizes equal.
+LEAD_BYTES = 2_000
 #: Bytes of difference that make a verdict e times as likely.
 _BYTES_PER_E = 2.0
 
@@ -77,42 +78,35 @@ def _words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8").translate(_KEPT).split()
 
 
-def _content(text: str) -> bytes:
-    """The distinct words of the whole text, in order. Repeats say nothing new, but would pack to nothing."""
-    return b" ".join(dict.fromkeys(_words(text))) or text.encode("utf-8")
+def _pieces(text: str) -> list[bytes]:
+    """The whole folded text, in order, cut into pieces."""
+    data = b" ".join(_words(text))
+    return [data[at : at + PIECE_BYTES] for at in range(0, len(data), PIECE_BYTES)]
 
 
 _KEPT = bytes(b if b >= 128 or 97 <= b <= 122 or b == 39 else 32 for b in range(256))
 
 
 class Compressors:
-    """A compressor per language and level."""
+    """A compressor per language."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard
 
         self.names = sorted(dictionaries)
         self.packers = []
-        for level in _LEVELS:
-            row = []
-            for name in self.names:
-                raw = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                raw.precompute_compress(level=level)
-                packer = zstandard.ZstdCompressor(
-                    level=level, dict_data=raw, write_content_size=False, write_dict_id=False
-                )
-                row.append((packer, dictionaries[name][-LEAD_BYTES:] + b" "))
-            self.packers.append(row)
+        for name in self.names:
+            raw = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=LEVEL)
+            packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
+            self.packers.append((packer, dictionaries[name][-LEAD_BYTES:] + b" "))
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """(language or und, score from 0 to 1, margin)."""
         if not self.names or not text or not any(map(str.isalpha, text)):
             return UNDECIDED, 0.0, 0.0
-        data = _content(text)
-        if len(data) <= SHORT_BYTES:
-            sizes = [len(p.compress(lead + data)) for p, lead in self.packers[0]]
-        else:
-            sizes = [len(p.compress(data)) for p, _ in self.packers[1]]
+        pieces = _pieces(text)
+        sizes = [sum(len(p.compress(lead + piece)) for piece in pieces) for p, lead in self.packers]
         if len(sizes) == 1:
             return self.names[0], 1.0, 1.0
         best, second = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))[:2]

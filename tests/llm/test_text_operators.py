@@ -1,6 +1,7 @@
 """Operators on documents against brute force and the libraries themselves."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -320,6 +321,41 @@ def test_language_accuracy(spark):
     assert sum(r.rejected for r in got.values()) <= 0.02 * len(got)
 
 
+def test_language_is_plain_compression(spark, documents):
+    import zstandard
+
+    words = "der schnelle braune Fuchs springt über 3 faule Hunde; the quick fox — le renard brun, el zorro rápido. "
+    texts = ["a", "Ü" * 4_001, words, words * 900, "1 2 3 x", "été\n" * 2_000 + "END", "und " * 1_000]
+    docs = documents.select("doc_id", "text", "lang").unionByName(
+        spark.createDataFrame([(10**9 + n, t, None) for n, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    )
+    made = langid.learn(docs.filter(langid.fold() != 1))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    lengths = set()
+    for r in langid.identify(docs).collect():
+        if r.lang_pred == "und":
+            continue
+        folded = "".join(c if c in "abcdefghijklmnopqrstuvwxyz'" or ord(c) > 127 else " " for c in text[r.doc_id].lower())
+        data = b" ".join(folded.encode().split())
+        lengths.add(len(data) > 4_000)
+        sizes = {}
+        for lang, words in made.items():
+            sizes[lang] = 0
+            for at in range(0, len(data), 4_000):
+                packer = zstandard.ZstdCompressor(
+                    level=6, write_content_size=False, write_dict_id=False,
+                    dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                )
+                sizes[lang] += len(packer.compress(words[-2_000:] + b" " + data[at : at + 4_000]))
+        ranked = sorted(sizes, key=lambda x: (sizes[x], x))
+        margin = sizes[ranked[1]] / sizes[ranked[0]] - 1
+        assert r.lang_pred == ranked[0], (r.doc_id, sizes)
+        assert abs(r.margin - margin) < 1e-12 and r.rejected == (margin < langid.MIN_MARGIN)
+        score = 1 / sum(math.exp((sizes[ranked[0]] - s) / 2) for s in sizes.values())
+        assert abs(r.score - score) < 1e-9
+    assert lengths == {True, False}
+
+
 def test_language_odd_rows(odd, documents, empty):
     assert {r.lang_pred for r in langid.identify(odd).collect()} == {"und"}
     assert langid.identify(empty).count() == 0 and langid.keep_identified(empty).count() == 0
