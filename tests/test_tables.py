@@ -183,6 +183,24 @@ def test_neighbours_in_blocks(spark):
     assert lists(neighbours.nearest(points.limit(0), vocab)) == {}
 
 
+def test_neighbours_of_larger_blocks():
+    # A row's copies do not grow with the table up to eight full blocks: a tenfold table moves ten times as much.
+    assert neighbours._sides(10_000, neighbours.BLOCK) == neighbours._sides(100_000, neighbours.BLOCK) == 8
+    assert neighbours._sides(0, 16) == 1 and neighbours._sides(600_000, neighbours.BLOCK) == 19
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 6))
+    x[1000:3000] = x[5]
+    x[3000:3500] = x[6] + 1e-9 * rng.normal(size=(500, 6))  # closer than single precision can tell
+    x[10], x[11, 2], x[12, 3] = 1e-30, np.nan, np.inf
+    ids = rng.permutation(6000)
+    asked = [5, 6, 10, 3400, 4000]
+    got, dist = neighbours.block_best(x[asked], ids, x, 10)
+    for i, found, far in zip(asked, got, dist):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = np.lexsort((ids, d))[:10]
+        assert found.tolist() == ids[want].tolist() and far.tolist() == d[want].tolist()
+
+
 def test_topic_pick(spark):
     near = spark.createDataFrame([(1, i, 0.1 * i, i + 1) for i in range(10)], "q_id bigint, term_id bigint, distance double, rank int")
     vocab = spark.createDataFrame([(i, f"big_cat{i} ### def") for i in range(10)], "term_id bigint, term string")
