@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.vectors import hash_embedding
 from ..session import cut_lineage
+from .neighbours import block_best
 from .order import first_per_group
 from .report import question_counts
 
@@ -92,6 +93,47 @@ def _tree(reach: np.ndarray) -> list[tuple[float, int, int]]:
     return edges
 
 
+def _pair_tree(vectors: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """``_tree`` of the points' mutual reachability, without the matrix of exact distances.
+
+    Single precision, with twice its possible error to spare, says which distances can matter to a step: those not
+    longer than the point's best edge so far. Only they are worked out, as ``_distances`` does.
+    """
+    n, every = len(vectors), np.arange(len(vectors))
+    scale = float(np.abs(vectors).max(initial=0.0)) or 1.0
+    small = (vectors / scale).astype(np.float32)
+    square = np.einsum("ij,ij->i", small, small)
+    spare = np.float32((vectors.shape[1] + 16) * 8 * np.finfo(np.float32).eps * (float(square.max(initial=0.0)) + 1e-30))
+    rough = small @ small.T
+    rough *= -2
+    rough += square
+    rough += square[:, None]
+
+    def exact(i: int, others: np.ndarray) -> np.ndarray:
+        dist = np.sqrt(((vectors[others] - vectors[i]) ** 2).sum(axis=1))
+        return np.maximum(dist, np.maximum(core[i], core[others]))
+
+    def name(other: np.ndarray, points: np.ndarray) -> np.ndarray:
+        return np.minimum(other, points) * n + np.maximum(other, points)
+
+    best, link = exact(0, every), np.zeros(n, dtype=int)
+    limit = ((best / scale) ** 2).astype(np.float32) * np.float32(1 + 1e-6) + spare
+    best[0], limit[0] = np.inf, -np.inf
+    edges = []
+    for _ in range(n - 1):
+        tied = np.flatnonzero(best == best.min())
+        nxt = int(tied[name(link[tied], tied).argmin()])
+        edges.append((float(best[nxt]), int(link[nxt]), nxt))
+        best[nxt], limit[nxt] = np.inf, -np.inf
+        near = np.flatnonzero(rough[nxt] <= limit)
+        row, old, ends = exact(nxt, near), best[near], link[near]
+        closer = (row < old) | ((row == old) & (name(np.full(len(near), nxt), near) < name(ends, near)))
+        near, row = near[closer], row[closer]
+        best[near], link[near] = row, nxt
+        limit[near] = ((row / scale) ** 2).astype(np.float32) * np.float32(1 + 1e-6) + spare
+    return edges
+
+
 def _label(edges, copies: np.ndarray, core: np.ndarray, size: int) -> list[int]:
     """Group number per point, -1 for outliers, by merging along edges from light to heavy."""
     n = len(copies)
@@ -186,30 +228,32 @@ def core_distances(points: DataFrame, block: int = BLOCK, k: int = NEIGHBOURS) -
         for left, right in [(first, second)] if same else [(first, second), (second, first)]:
             if left.empty or right.empty:
                 continue
-            dist = _distances(_vectors(left), _vectors(right))
+            left, right = (side.sort_values("pid", kind="stable") for side in (left, right))
+            # A point of its own block is among its nearest, or behind more than k equals of a lower name.
+            best, dist = block_best(_vectors(left), np.arange(len(right)), _vectors(right), k + same)
+            keep = np.ones(best.shape, dtype=bool)
             if same:
-                np.fill_diagonal(dist, np.inf)
-            keep = min(k, dist.shape[1])
-            best = np.argsort(dist, axis=1, kind="stable")[:, :keep]
+                keep = best != np.arange(len(left))[:, None]
+                keep[keep.all(axis=1), k:] = False
+            at, place = np.repeat(np.arange(len(left)), keep.sum(axis=1)), best[keep]
             out.append(
                 pd.DataFrame(
                     {
-                        "run_id": np.repeat(left["run_id"].to_numpy(), keep),
-                        "pid": np.repeat(left["pid"].to_numpy(), keep),
-                        "near": right["pid"].to_numpy()[best].ravel(),
-                        "times": right["copies"].to_numpy()[best].ravel(),
-                        "d": np.take_along_axis(dist, best, axis=1).ravel(),
+                        "run_id": left["run_id"].to_numpy()[at],
+                        "pid": left["pid"].to_numpy()[at],
+                        "near": right["pid"].to_numpy()[place],
+                        "times": right["copies"].to_numpy()[place],
+                        "d": dist[keep],
                     }
                 )
             )
-        found = pd.concat(out) if out else pd.DataFrame(columns=["run_id", "pid", "near", "times", "d"])
-        return found[found["d"] < np.inf]
+        return pd.concat(out) if out else pd.DataFrame(columns=["run_id", "pid", "near", "times", "d"])
 
     pairs = _block_pairs(points, block)
     found = pairs.groupBy("run_id", "a", "b").applyInPandas(near, "run_id string, pid string, near string, times bigint, d double")
     kept = first_per_group(found, ["run_id", "pid"], [F.col("d"), F.col("near")], k)
     listed = kept.groupBy("run_id", "pid").agg(F.sort_array(F.collect_list(F.struct("rank", "d", "times"))).alias("n"))
-    own = points.select("run_id", "pid", "copies").join(listed, ["run_id", "pid"])
+    own = _meet(points.select("run_id", "pid", "copies"), listed, ["run_id", "pid"])
     walk = F.aggregate(
         "n",
         F.struct((F.col("copies") - 1).alias("got"), F.lit(0.0).alias("d")),
@@ -226,8 +270,7 @@ def _candidate_edges(points: DataFrame, block: int) -> DataFrame:
     def trees(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("pid").sort_values("pid", kind="stable").reset_index(drop=True)
         vectors, core, pids = _vectors(pdf), pdf["core"].to_numpy(), pdf["pid"].tolist()
-        reach = np.maximum(_distances(vectors, vectors), np.maximum(core[:, None], core[None, :]))
-        rows = [(w, *sorted((pids[i], pids[j]))) for w, i, j in _tree(reach)]
+        rows = [(w, *sorted((pids[i], pids[j]))) for w, i, j in _pair_tree(vectors, core)]
         out = pd.DataFrame(rows, columns=["w", "u", "v"])
         out.insert(0, "run_id", pdf["run_id"].iloc[0])
         return out
@@ -237,6 +280,12 @@ def _candidate_edges(points: DataFrame, block: int) -> DataFrame:
     ).distinct()
 
 
+def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join two tables that hold a row per point or edge. They stay among the executors: left to its estimates, Spark
+    takes many of these for small and sends each whole through the driver, round after round."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _edge() -> Column:
     """Edges in one fixed total order."""
     return F.struct("w", "u", "v")
@@ -246,7 +295,7 @@ def _ends(edges: DataFrame, home: DataFrame) -> DataFrame:
     """Edges that leave their component, with the component of either end: (run_id, w, u, v, cu, cv)."""
     at_u = home.select("run_id", F.col("pid").alias("u"), F.col("comp").alias("cu"))
     at_v = home.select("run_id", F.col("pid").alias("v"), F.col("comp").alias("cv"))
-    return edges.join(at_u, ["run_id", "u"]).join(at_v, ["run_id", "v"]).filter(F.col("cu") != F.col("cv"))
+    return _meet(_meet(edges, at_u, ["run_id", "u"]), at_v, ["run_id", "v"]).filter(F.col("cu") != F.col("cv"))
 
 
 def _lightest(ends: DataFrame) -> DataFrame:
@@ -262,7 +311,7 @@ def _follow(pointers: DataFrame) -> DataFrame:
     """(run_id, comp, to) with ``to`` replaced by the end of its chain; ends point to themselves."""
     while True:
         nxt = pointers.select("run_id", F.col("comp").alias("to"), F.col("to").alias("far"))
-        moved = pointers.join(nxt, ["run_id", "to"]).select(
+        moved = _meet(pointers, nxt, ["run_id", "to"]).select(
             "run_id", "comp", F.col("far").alias("to"), (F.col("to") != F.col("far")).alias("moved")
         )
         moved = cut_lineage(moved)
@@ -284,13 +333,13 @@ def spanning_tree(points: DataFrame, candidates: DataFrame) -> DataFrame:
         tree.append(lightest.select("run_id", "e.w", "e.u", "e.v"))
         # Two components that chose the same edge would point at each other: the lower name is the end.
         back = lightest.select("run_id", F.col("comp").alias("to"), F.col("to").alias("back"))
-        pointers = lightest.join(back, ["run_id", "to"]).select(
+        pointers = _meet(lightest, back, ["run_id", "to"]).select(
             "run_id", "comp",
             F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("to"),
         )
         ends_at = _follow(pointers)
         home = cut_lineage(
-            home.join(ends_at, ["run_id", "comp"], "left").select("run_id", "pid", F.coalesce("to", "comp").alias("comp"))
+            _meet(home, ends_at, ["run_id", "comp"], "left").select("run_id", "pid", F.coalesce("to", "comp").alias("comp"))
         )
         edges = ends.select("run_id", "w", "u", "v")
 
@@ -307,16 +356,16 @@ def _grow(points: DataFrame, tree: DataFrame, size: int) -> tuple[DataFrame, Dat
     )
     while True:
         small = comps.filter(F.col("n") < size).select("run_id", "comp")
-        wish = _lightest(_ends(tree, home)).join(small, ["run_id", "comp"])
+        wish = _meet(_lightest(_ends(tree, home)), small, ["run_id", "comp"])
         other = wish.select("run_id", F.col("comp").alias("to"), F.col("e").alias("e2"))
-        both = wish.join(other, ["run_id", "to"]).filter((F.col("e") == F.col("e2")) & (F.col("comp") < F.col("to")))
+        both = _meet(wish, other, ["run_id", "to"]).filter((F.col("e") == F.col("e2")) & (F.col("comp") < F.col("to")))
         merges = cut_lineage(both.select("run_id", F.col("to").alias("comp"), F.col("comp").alias("into"), F.col("e.w").alias("w")))
         if merges.isEmpty():
             return home, comps
         home = cut_lineage(
-            home.join(merges, ["run_id", "comp"], "left").select("run_id", "pid", F.coalesce("into", "comp").alias("comp"))
+            _meet(home, merges, ["run_id", "comp"], "left").select("run_id", "pid", F.coalesce("into", "comp").alias("comp"))
         )
-        moved = comps.join(merges, ["run_id", "comp"], "left")
+        moved = _meet(comps, merges, ["run_id", "comp"], "left")
         grown = moved.groupBy("run_id", F.coalesce("into", "comp").alias("comp")).agg(
             F.sum("n").alias("n"), F.max("born").alias("was"), F.max("w").alias("w")
         )
@@ -330,25 +379,22 @@ def tree_labels(points: DataFrame, tree: DataFrame, size: int = GROUP) -> DataFr
     home, comps = _grow(points, tree, size)
     big = comps.filter(F.col("born").isNotNull()).select("run_id", "comp", "born")
     ends = _ends(tree, home)
-    hang = _lightest(ends).join(big.select("run_id", "comp"), ["run_id", "comp"], "left_anti")
+    hang = _meet(_lightest(ends), big.select("run_id", "comp"), ["run_id", "comp"], "left_anti")
     pointers = hang.select("run_id", "comp", "to").unionByName(big.select("run_id", "comp", F.col("comp").alias("to")))
     region = _follow(pointers).withColumnRenamed("to", "core_comp")
-    region_of = home.join(region, ["run_id", "comp"]).select("run_id", "pid", F.col("core_comp").alias("comp"))
+    region_of = _meet(home, region, ["run_id", "comp"]).select("run_id", "pid", F.col("core_comp").alias("comp"))
     leaves = _lightest(_ends(tree, region_of)).select("run_id", F.col("comp").alias("core_comp"), F.col("e").alias("end"))
     alone = big.groupBy("run_id").agg((F.count("*") == 1).alias("alone"))
     judged = (
-        region.join(hang.select("run_id", "comp", "e"), ["run_id", "comp"], "left")
-        .join(leaves, ["run_id", "core_comp"], "left")
-        .join(big.select("run_id", F.col("comp").alias("core_comp"), "born"), ["run_id", "core_comp"])
+        _meet(_meet(region, hang.select("run_id", "comp", "e"), ["run_id", "comp"], "left"), leaves, ["run_id", "core_comp"], "left")
+        .join(big.select("run_id", F.col("comp").alias("core_comp"), "born").hint("merge"), ["run_id", "core_comp"])
         .join(alone, "run_id")
     )
     core_itself = F.col("e").isNull()
     inside = core_itself | F.when(F.col("alone"), F.col("e.w") == F.col("born")).otherwise(F.col("e") < F.col("end"))
     cluster = judged.select("run_id", "comp", F.when(inside, F.col("core_comp")).alias("cluster"))
     return (
-        points.select("run_id", "pid", "copies")
-        .join(home, ["run_id", "pid"])
-        .join(cluster, ["run_id", "comp"], "left")
+        _meet(_meet(points.select("run_id", "pid", "copies"), home, ["run_id", "pid"]), cluster, ["run_id", "comp"], "left")
         .select("run_id", "pid", "copies", "cluster")
     )
 
@@ -374,7 +420,7 @@ def labels(points: DataFrame, block: int = BLOCK) -> DataFrame:
         return points.groupBy("run_id").applyInPandas(label_block, _LABELS)
     small = points.join(over, "run_id", "left_anti").groupBy("run_id").applyInPandas(label_block, _LABELS)
     large = cut_lineage(points.join(over, "run_id", "left_semi"))
-    cored = cut_lineage(large.join(core_distances(large, block), ["run_id", "pid"]))
+    cored = cut_lineage(_meet(large, core_distances(large, block), ["run_id", "pid"]))
     tree = cut_lineage(spanning_tree(cored, cut_lineage(_candidate_edges(cored, block))))
     return small.unionByName(tree_labels(cored, tree))
 

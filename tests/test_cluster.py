@@ -143,3 +143,22 @@ def test_report_counts_clusters_by_the_book(spark, sf):
             want = len(set(label) - {-1}) + label.count(-1)
         assert abs(got[run]["curiosity_score"] - want / len(rows)) < 1e-9
     assert clustered
+
+
+def test_block_tree_is_the_dense_tree():
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e150, 1e-150):
+        for n in (1, 2, 300):
+            v = np.round(rng.normal(size=(n, 3)), 1) * scale  # many ties and equal points
+            dist = cluster._distances(v, v)
+            core = np.sort(dist, axis=1)[:, min(5, n - 1)]
+            reach = np.maximum(dist, np.maximum(core[:, None], core[None, :]))
+            assert cluster._pair_tree(v, core) == cluster._tree(reach)
+
+
+def test_rounds_stay_among_the_executors(spark):
+    tree = spark.createDataFrame([("r", 1.0, "a", "b"), ("r", 2.0, "b", "c")], "run_id string, w double, u string, v string")
+    home = spark.createDataFrame([("r", x, x) for x in "abc"], "run_id string, pid string, comp string")
+    ends = cluster._ends(tree, home)
+    assert ends.count() == 2
+    assert "Broadcast" not in ends._jdf.queryExecution().toString()
