@@ -70,3 +70,20 @@ def test_curated_rows_carry_the_page_summary(spark):
     assert [(r.page_id, r.summary_text) for r in rows] == [(1, plain_summary("Red fox runs. Red fox sleeps. Blue sky. Red fox eats."))]
     leading = retrieval.curate(asked, pages, retrieval.lexical_search(pages), retrieval.lead_summary).first()
     assert leading.summary_text.startswith("Red fox runs. Red fox sleeps.")
+
+
+def test_a_batch_is_read_page_by_page():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = [f"w{i} " + "x" * 200 for i in range(20)]
+    words = [[s] for s in page]
+    texts, tokens = pa.array([page] * 2000 + [None, []]), pa.array([words] * 2000 + [None, []])
+    batch = pa.StructArray.from_arrays([texts, tokens], ["sentences", "tokens"])
+    tracemalloc.start()
+    got = summary._summaries(batch, 5).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 2002 and got[0] and got[-2:] == [None, None]
+    assert peak < 4_000_000  # all sentences at once take ten
