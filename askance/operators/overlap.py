@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,18 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 
 
+#: So many rows of an Arrow batch are Python lists at a time: a batch holds up to 10,000 rows, and each token as a
+#: Python string takes ten times its bytes.
+_AT_ONCE = 64
+
+
+def _rows(*columns: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows of a batch as arrays of tokens; NULL is an empty one."""
+    for lo in range(0, len(columns[0]), _AT_ONCE):
+        parts = [c.slice(lo, _AT_ONCE).to_pandas() for c in columns]
+        yield from zip(*[[() if x is None else x for x in part] for part in parts])
+
+
 def clipped_hits(pred: list[str], gold: list[str], n: int) -> int:
     """Common n-grams, each as often as the side that has it less."""
     mine, theirs = (Counter(zip(*(tokens[i:] for i in range(n)))) for tokens in (pred, gold))
@@ -29,11 +42,11 @@ def clipped_hits(pred: list[str], gold: list[str], n: int) -> int:
 def _hits(pred: Column, gold: Column, order: int) -> Column:
     """ARRAY<BIGINT>: the common n-grams for n = 1..order."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for preds, golds in batches:
-            rows = [(list(p), list(g)) for p, g in zip(preds, golds)]
-            yield pd.Series([[clipped_hits(p, g, n) for n in range(1, order + 1)] for p, g in rows])
+            rows = ((list(p), list(g)) for p, g in _rows(preds, golds))
+            yield pa.array([[clipped_hits(p, g, n) for n in range(1, order + 1)] for p, g in rows], pa.list_(pa.int64()))
 
     return count(pred, gold)
 
@@ -129,19 +142,19 @@ def lcs_members(gold: list[str], pred: list[str]) -> set[int]:
     return found
 
 
-@F.pandas_udf(T.LongType())
-def _lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.LongType())
+def _lcs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in batches:
-        yield pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+        yield pa.array([lcs_length(list(x), list(y)) for x, y in _rows(a, b)], pa.int64())
 
 
-@F.pandas_udf(T.LongType())
-def _union_lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.LongType())
+def _union_lcs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Summary-level hits: for each gold line the union of its common subsequences with every
     predicted line, each token used at most as often as either text holds it."""
     for golds, preds in batches:
         out = []
-        for gold_lines, pred_lines in zip(golds, preds):
+        for gold_lines, pred_lines in _rows(golds, preds):
             lines_g, lines_p = [list(x) for x in gold_lines], [list(x) for x in pred_lines]
             left_g: dict[str, int] = {}
             left_p: dict[str, int] = {}
@@ -165,7 +178,7 @@ def _union_lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
                         left_g[t] -= 1
                         left_p[t] -= 1
             out.append(hits)
-        yield pd.Series(out, dtype="int64")
+        yield pa.array(out, pa.int64())
 
 
 def _lines(text: Column) -> Column:
@@ -201,11 +214,11 @@ def squad(rows: DataFrame, key: str, pred: str = "prediction", golds: str = "ans
     return tokens.select(key, exact, _best_f1(F.col("_p"), F.col("_gs")).alias("f1"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _best_f1(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.DoubleType())
+def _best_f1(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for preds, golds in batches:
         out = []
-        for pred, answers in zip(preds, golds):
+        for pred, answers in _rows(preds, golds):
             p = list(pred)
             best = 0.0
             for answer in answers:
@@ -213,7 +226,7 @@ def _best_f1(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
                 hits = clipped_hits(p, g, 1)
                 best = max(best, 2 * hits / (len(p) + len(g)) if hits else 0.0)
             out.append(best)
-        yield pd.Series(out, dtype="float64")
+        yield pa.array(out, pa.float64())
 
 
 def accuracy(predicted: Column, label: Column) -> Column:

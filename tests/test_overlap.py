@@ -146,3 +146,19 @@ def test_instruction_suite(spark):
     names = {r["metric"] for r in metrics.collect()}
     assert {"benchmark_bleu", "benchmark_rougeLsum", "benchmark_oracle_acc", "benchmark_oracle_acc_text"} <= names
     assert metrics.filter("metric = 'benchmark_oracle_acc'").filter(F.col("idx").isNotNull()).count() == 4
+
+
+def test_a_batch_is_read_in_parts(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.array([[f"token{i}" for i in range(50)]] * 5000 + [None])
+    tracemalloc.start()
+    rows = [len(a) + len(b) for a, b in overlap._rows(batch, batch)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [100] * 5000 + [0]
+    assert peak < 4_000_000  # all tokens at once take tens of it
+    odd = spark.createDataFrame([(1, "a b", None), (2, None, "a b"), (3, "a b", "a b")], "idx bigint, prediction string, reference string")
+    assert [r["rougeL"] for r in overlap.rouge_l(odd, ["idx"]).orderBy("idx").collect()] == [0.0, 0.0, 1.0]
