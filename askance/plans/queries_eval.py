@@ -36,7 +36,7 @@ _PPL = (
 def _perplexities(spark, sf):
     documents = t.spread(t.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     texts = suites.perplexity_texts(documents, sample=None, word_limit=None)
-    return perplexity.perplexities(texts, "doc_id", perplexity.fit(texts), in_corpus=True)
+    return perplexity.own_perplexities(texts, "doc_id")
 
 
 @query(

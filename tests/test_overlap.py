@@ -162,3 +162,32 @@ def test_a_batch_is_read_in_parts(spark):
     assert peak < 4_000_000  # all tokens at once take tens of it
     odd = spark.createDataFrame([(1, "a b", None), (2, None, "a b"), (3, "a b", "a b")], "idx bigint, prediction string, reference string")
     assert [r["rougeL"] for r in overlap.rouge_l(odd, ["idx"]).orderBy("idx").collect()] == [0.0, 0.0, 1.0]
+
+
+def test_own_perplexities_in_small_blocks_and_buckets(spark):
+    random.seed(3)
+    texts = [" a  b\x1ca\n", " a", "", None, "\x85", *(" ".join(random.choice("a b c d é".split()) for _ in range(random.randint(0, 9))) for _ in range(40))]
+    # equal keys are texts of their own, and a text without a key counts but is not shown
+    named = [(f"k{min(i, 40)}" if i != 7 else None, t) for i, t in enumerate(texts)]
+    data = spark.createDataFrame(named, "name string, text string").repartition(3)
+    words = [(t or "").split() for t in texts]
+    pair = Counter(p for w in words for p in zip(w, w[1:]))
+    first, vocab, k = Counter(x for w in words for x in w[:-1]), len({x for w in words for x in w}), perplexity.SMOOTHING
+    want = sorted(
+        (name, len(t.strip()), len(w), round(sum(-math.log((pair[p] + k) / (first[p[0]] + k * vocab)) for p in zip(w, w[1:])), 9))
+        for (name, t), w in zip(named, words) if name and len(w) > 1
+    )
+    for limits in ({}, {"block_words": 5, "bucket_pairs": 3}):
+        out = perplexity.own_perplexities(data, "name", **limits)
+        assert sorted((r["name"], r["chars"], r["words"], round(r["nll"], 9)) for r in out.collect()) == want
+    assert perplexity.own_perplexities(data.filter("text = ''"), "name").count() == 0
+
+
+def test_perplexity_rows_move_no_row_per_word(spark, tmp_path):
+    from askance.plans.catalog import QUERIES
+
+    spark.createDataFrame([(i, "a b a b " * 50) for i in range(9)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["perplexity_rows"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert {(r["doc_id"], r["words"]) for r in out.collect()} == {(i, 200) for i in range(9)}
