@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,14 +40,40 @@ def clipped_hits(pred: list[str], gold: list[str], n: int) -> int:
     return sum(min(times, theirs[gram]) for gram, times in mine.items() if gram in theirs)
 
 
+def batch_hits(preds: pa.Array, golds: pa.Array, order: int) -> np.ndarray:
+    """``clipped_hits`` for n = 1..order of each row; n-grams are numbers, one sort of all rows' per n. NULL is an empty row."""
+    both, rows = pa.concat_arrays([preds, golds]), len(preds)
+    sizes = pc.fill_null(pc.list_value_length(both), 0).to_numpy().astype(np.int64)
+    coded = both.flatten().dictionary_encode()
+    owner, left = np.repeat(np.arange(2 * rows), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())
+    in_gold, row, at = owner >= rows, owner % max(rows, 1), np.arange(len(owner))
+    single = grams = row * len(coded.dictionary) + coded.indices.to_numpy()
+    out = np.zeros((rows, order), np.int64)
+    for n in range(1, order + 1):
+        if n > 1:
+            kept = left[at] >= n
+            at = at[kept]
+            grams = grams[kept] * base + single[at + n - 1]
+        if not len(at):
+            break
+        named, grams = np.unique(grams, return_inverse=True)
+        if n == 1:
+            single, base = grams, len(named)
+        mine, theirs = (np.bincount(grams[side], minlength=len(named)) for side in (~in_gold[at], in_gold[at]))
+        home = np.empty(len(named), np.int64)
+        home[grams] = row[at]
+        np.add.at(out[:, n - 1], home, np.minimum(mine, theirs))
+    return out
+
+
 def _hits(pred: Column, gold: Column, order: int) -> Column:
     """ARRAY<BIGINT>: the common n-grams for n = 1..order."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for preds, golds in batches:
-            rows = ((list(p), list(g)) for p, g in _rows(preds, golds))
-            yield pa.array([[clipped_hits(p, g, n) for n in range(1, order + 1)] for p, g in rows], pa.list_(pa.int64()))
+            parts = [batch_hits(preds.slice(lo, _AT_ONCE), golds.slice(lo, _AT_ONCE), order) for lo in range(0, len(preds), _AT_ONCE)]
+            yield pa.array(np.concatenate([np.zeros((0, order), np.int64), *parts]).tolist(), pa.list_(pa.int64()))
 
     return count(pred, gold)
 
@@ -111,31 +138,39 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def lcs_members(gold: list[str], pred: list[str]) -> set[int]:
-    """Positions in ``gold`` of one longest common subsequence with ``pred``.
-
-    Forward bit rows are kept per gold token and walked back from the end, preferring to step
-    back in ``pred``'s prefix only where that loses nothing.
-    """
+def bit_places(tokens: list[str]) -> dict[str, int]:
+    """The places of each token, as set bits."""
     places: dict[str, int] = {}
-    for i, token in enumerate(pred):
+    for i, token in enumerate(tokens):
         places[token] = places.get(token, 0) | (1 << i)
-    full = (1 << len(pred)) - 1
-    rows = [full]
-    for token in gold:
-        hit = rows[-1] & places.get(token, 0)
-        rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & full)
+    return places
+
 
-    def length(i: int, j: int) -> int:
-        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+def lcs_members(gold: list[str], pred: list[str], places: dict[str, int] | None = None) -> set[int]:
+    """Positions in ``gold`` of one longest common subsequence with ``pred``, whose ``bit_places`` may be given.
 
+    Forward bit rows are kept per gold token and walked back from the end, preferring to step
+    back in ``pred``'s prefix only where that loses nothing. Gold tokens that ``pred`` lacks leave the
+    row as it is and the walk steps over them, so they are left out first: most of a long text's.
+    """
+    if gold == pred:
+        return set(range(len(gold)))
+    places = bit_places(pred) if places is None else places
+    full = (1 << len(pred)) - 1
+    shared = [i for i, token in enumerate(gold) if token in places]
+    row, rows = full, [full]
+    for i in shared:
+        hit = row & places[gold[i]]
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
     found: set[int] = set()
-    i, j = len(gold), len(pred)
-    while i and j:
-        if gold[i - 1] == pred[j - 1]:
-            found.add(i - 1)
-            i, j = i - 1, j - 1
-        elif length(i, j - 1) > length(i - 1, j):
+    i, j = len(shared), len(pred)
+    length = j - row.bit_count()  # of the first i shared tokens with the first j of pred; a clear bit is a step up
+    while length:
+        if gold[shared[i - 1]] == pred[j - 1]:
+            found.add(shared[i - 1])
+            i, j, length = i - 1, j - 1, length - 1
+        elif rows[i] >> (j - 1) & 1 and j - (rows[i - 1] & ((1 << j) - 1)).bit_count() < length:
             j -= 1
         else:
             i -= 1
@@ -164,13 +199,13 @@ def _union_lcs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
             for line in lines_p:
                 for t in line:
                     left_p[t] = left_p.get(t, 0) + 1
-            hits = 0
+            hits, places = 0, [bit_places(p) for p in lines_p]
             for g in lines_g:
                 union: set[int] = set()
                 held = set(g)
-                for p in lines_p:
-                    if not held.isdisjoint(p):
-                        union |= lcs_members(g, p)
+                for p, at in zip(lines_p, places):
+                    if not held.isdisjoint(at):
+                        union |= lcs_members(g, p, at)
                 for i in sorted(union):
                     t = g[i]
                     if left_g.get(t, 0) > 0 and left_p.get(t, 0) > 0:
@@ -187,6 +222,11 @@ def _lines(text: Column) -> Column:
 
 def rouge_l(rows: DataFrame, keys: list[str], pred: str = "prediction", gold: str = "reference") -> DataFrame:
     """(keys, rougeL, rougeLsum): whole text as one line, and line by line."""
+    return rouge(rows, keys, pred, gold).drop("rouge1", "rouge2")
+
+
+def rouge(rows: DataFrame, keys: list[str], pred: str = "prediction", gold: str = "reference") -> DataFrame:
+    """(keys, rouge1, rouge2, rougeL, rougeLsum) by one tokenisation of each row."""
     prepared = rows.select(
         *keys,
         tx.rouge_tokens(F.col(pred)).alias("_p"), tx.rouge_tokens(F.col(gold)).alias("_g"),
@@ -195,11 +235,15 @@ def rouge_l(rows: DataFrame, keys: list[str], pred: str = "prediction", gold: st
     total = lambda lines: F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.size(x))
     return prepared.select(
         *keys,
+        _hits(F.col("_p"), F.col("_g"), 2).alias("_m"),
+        *[_grams(F.col(c), 2).alias(f"{c}2") for c in ("_p", "_g")],
         _lcs(F.col("_p"), F.col("_g")).alias("_l"), _union_lcs(F.col("_gl"), F.col("_pl")).alias("_u"),
         F.size("_p").alias("_np"), F.size("_g").alias("_ng"),
         total(F.col("_pl")).alias("_npl"), total(F.col("_gl")).alias("_ngl"),
     ).select(
         *keys,
+        f_measure(F.get("_m", 0), F.col("_np"), F.col("_ng")).alias("rouge1"),
+        f_measure(F.get("_m", 1), F.col("_p2"), F.col("_g2")).alias("rouge2"),
         f_measure(F.col("_l"), F.col("_np"), F.col("_ng")).alias("rougeL"),
         f_measure(F.col("_u"), F.col("_npl"), F.col("_ngl")).alias("rougeLsum"),
     )

@@ -81,7 +81,7 @@ def qa_suite(rows: DataFrame, suite: str, prefix: str, judge: j.Judge = j.lexica
     keys = ["run_id", "idx"]
     bleu = overlap.bleu(rows, run=["run_id"])
     bleu_columns = [c for c in bleu.columns if c != "run_id"]
-    rouge = overlap.rouge_n(rows, keys).join(overlap.rouge_l(rows, keys), keys)
+    rouge = overlap.rouge(rows, keys)
     rouge_means = rouge.groupBy("run_id").agg(*[F.avg(c).alias(c) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum")])
     judged = rows.select(
         *keys, judge(F.col("prompt"), F.col("reference"), F.col("prediction")).alias("verdict_text")

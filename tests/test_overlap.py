@@ -191,3 +191,39 @@ def test_perplexity_rows_move_no_row_per_word(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
     assert {(r["doc_id"], r["words"]) for r in out.collect()} == {(i, 200) for i in range(9)}
+
+
+def test_the_walk_back_meets_only_shared_tokens():
+    class Token(str):
+        met = 0
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            Token.met += 1
+            return str.__eq__(self, other)
+
+    gold = [Token(f"g{i}") for i in range(2000)]
+    gold[500], gold[1500] = Token("x"), Token("y")
+    assert overlap.lcs_members(gold, ["x", "q", "y"]) == {500, 1500}
+    assert Token.met < 100  # one a gold token before
+    random.seed(4)
+    for _ in range(300):
+        g, p = ([random.choice("abc") for _ in range(random.randint(0, 9))] for _ in range(2))
+        members = sorted(overlap.lcs_members(g, p))
+        rest = iter(p)
+        assert len(members) == overlap.lcs_length(g, p) and all(g[i] in rest for i in members)
+
+
+def test_hits_of_a_batch_are_those_of_its_rows(spark):
+    import pyarrow as pa
+
+    random.seed(5)
+    for _ in range(50):
+        p, g = ([random.choice([None, [random.choice("ab") for _ in range(random.randint(0, 7))]]) for _ in range(6)] for _ in range(2))
+        got = overlap.batch_hits(pa.array(p, pa.list_(pa.string())), pa.array(g, pa.list_(pa.string())), 4)
+        assert got.tolist() == [[overlap.clipped_hits(a or [], b or [], n) for n in range(1, 5)] for a, b in zip(p, g)]
+    rows = spark.createDataFrame([(1, "a b", "a b"), (2, None, "a"), (3, "a b c", "c a b")], "idx bigint, prediction string, reference string")
+    wide = {r["idx"]: r.asDict() for r in overlap.rouge(rows, ["idx"]).collect()}
+    for part in (overlap.rouge_n(rows, ["idx"]), overlap.rouge_l(rows, ["idx"])):
+        for r in part.collect():
+            assert r.asDict().items() <= wide[r["idx"]].items()
