@@ -134,7 +134,12 @@ def scorer_named(name: str) -> PairScorer:
 
 
 def _mean_absent(sentence: Column, counted: Column) -> Column:
-    """Mean absent share over ``counted``: STRUCT(text, copies) per distinct sample."""
+    """Mean absent share over ``counted``: STRUCT(text, copies) per distinct sample.
+
+    A sentence that every sample holds as it stands lacks none of its trigrams, which then need not be listed.
+    """
+    low = F.lower(sentence)
+    held = (F.length(low) >= 3) & (F.size(counted) > 0) & F.forall(counted, lambda s: F.contains(s["text"], low))
 
     def over(t: Column) -> Column:
         absent = F.aggregate(
@@ -148,7 +153,7 @@ def _mean_absent(sentence: Column, counted: Column) -> Column:
         samples = F.aggregate(counted, F.lit(0).cast("bigint"), lambda acc, s: acc + s["copies"])
         return F.coalesce(F.try_divide(absent.cast("double"), (F.size(t) * samples).cast("double")), nan())
 
-    return tx.let(tx.trigrams(sentence), over)
+    return F.when(held, F.lit(0.0)).otherwise(tx.let(tx.trigrams(sentence), over))
 
 
 def score_nested(rows: DataFrame) -> DataFrame:

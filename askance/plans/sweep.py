@@ -67,8 +67,14 @@ def scored_runs(configs: DataFrame, topics: DataFrame, models: dict[str, g.Model
     ``configs``: run_id (unique), model, method, temperature. Rows carry all four, so a report by any of them is one
     grouping. External runs keep the bare question as their prompt, the others the asked text. A configuration of an
     unknown method, or of one without topics, has no rows.
+
+    Topics are few bytes and much work, so they are dealt over the session's tasks by key: polled topics, the result
+    of a grouping, would otherwise be one task.
     """
     models = models or {}
+    spark = topics.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    topics = topics.repartition(tasks, "method", "q_id", "topics", "word_idx")
     spread = F.pmod(F.xxhash64("q_id"), F.lit(SALTS)).cast("int")
     salted = configs.select(
         "run_id", "model", "method", F.col("temperature").cast("double").alias("temperature"),

@@ -214,3 +214,28 @@ def test_one_conversation_with_a_third_of_all_rows(spark, tmp_path):
     assert got.keys() == want.keys()
     for run, row in want.items():
         assert got[run] == pytest.approx(row, abs=2e-6), run
+
+
+def test_a_sentence_held_by_every_sample_is_scored_like_the_others(spark):
+    samples = [["Ab cd. Ef", "AB CD. EF gh"], ["Ab cd.", "zzz"], ["no"], [], ["abc", None]]
+    rows = spark.createDataFrame([(i, "aB cd. eF. g", s) for i, s in enumerate(samples)], "q_id bigint, passage string, samples array<string>")
+    got = {r["q_id"]: r["sentence_scores"] for r in scoring.score_nested(rows).collect()}
+
+    def plain(sentence, held):
+        low = sentence.lower()
+        tri = {low[i : i + 3] for i in range(len(low) - 2)}
+        return sum(len([t for t in tri if t not in x.lower()]) for x in held) / (len(tri) * len(held)) if tri and held else float("nan")
+
+    for i, held in enumerate(samples[:4]):
+        assert [str(x) for x in got[i]] == [str(plain(x, held)) for x in ("aB cd.", "eF.", "g")]
+
+
+def test_sweep_topics_of_one_partition_are_dealt_out(spark):
+    from askance.plans import sweep
+
+    configs = spark.createDataFrame([("r", "baseline", "external", 0.5), ("s", "baseline", "external", 1.0)], "run_id string, model string, method string, temperature double")
+    polled = spark.range(400).select(F.col("id").alias("q_id"), F.concat(F.lit("topic "), F.col("id")).alias("topics")).coalesce(1)
+    out = sweep.scored_runs(configs, sweep.method_topics(polled.limit(0).select("q_id"), None, polled))
+    assert out.count() == 800
+    held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 1 and max(held) < 800
