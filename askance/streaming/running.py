@@ -25,7 +25,7 @@ from ..operators.order import first_per_group
 
 SUMS = "run_id string, poll string, n bigint, n_hallucinated bigint, gap_sum bigint"
 SO_FAR = "run_id string, poll string, n bigint, n_hallucinated bigint, gap_sum bigint, n_so_far bigint, hallucinated_so_far bigint, gap_so_far bigint"
-_NUMBERS = "n bigint, n_hallucinated bigint, gap_sum bigint"
+_POLLS = "poll array<string>, n array<bigint>, n_hallucinated array<bigint>, gap_sum array<bigint>"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,10 +39,14 @@ def poll_sums(scored: DataFrame, run: Column, poll: Column) -> DataFrame:
 
 
 class RunningSums(StatefulProcessor):
-    """Per run the sums of each poll; puts out every poll from the first changed one on."""
+    """Per run the sums of each poll; puts out every poll from the first changed one on.
+
+    The polls are one value: a batch reads and writes a run once, where an entry per poll is a call to the
+    state store each.
+    """
 
     def init(self, handle) -> None:
-        self._polls = handle.getMapState("polls", "poll string", _NUMBERS)
+        self._polls = handle.getValueState("polls", _POLLS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         changed = {}
@@ -51,11 +55,15 @@ class RunningSums(StatefulProcessor):
             changed |= {p: (int(n), int(h), int(g)) for p, n, h, g in zip(*columns)}
         if not changed:
             return
-        for poll, sums in changed.items():
-            self._polls.updateValue((poll,), sums)
+        held = self._polls.get()
+        polls = dict(zip(held[0], zip(*held[1:]))) if held else {}
+        polls |= changed
+        named = sorted(polls)
+        self._polls.update((named, *[list(numbers) for numbers in zip(*[polls[p] for p in named])]))
         first = min(changed)
         out, so_far = [], [0, 0, 0]
-        for poll, sums in sorted((p[0], tuple(s)) for p, s in self._polls.iterator()):
+        for poll in named:
+            sums = polls[poll]
             so_far = [a + b for a, b in zip(so_far, sums)]
             if poll >= first:
                 out.append((key[0], poll, *sums, *so_far))

@@ -85,3 +85,31 @@ def test_a_poll_sketched_again_replaces_itself_alone(spark, tmp_path):
     assert {(r.run_id, r.poll): r.n_questions for r in sketches.stored(spark, path).collect()} == before
     empty = spark.createDataFrame([], "r string, p string, prompt string")
     assert sketches.merged(sketches.sketch_polls(empty, F.col("r"), F.col("p")), "run_id").count() == 0
+
+
+def test_a_run_is_read_and_written_once_per_batch():
+    import pandas as pd
+
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return value
+
+    value, states = Value(), running.RunningSums()
+    states.init(Handle())
+    polls = pd.DataFrame({"poll": [f"{i:03d}" for i in range(1, 101)], "n": 2, "n_hallucinated": 1, "gap_sum": 3})
+    first = next(states.handleInputRows(("a",), iter([polls[50:], polls[10:50]]), None))
+    again = next(states.handleInputRows(("a",), iter([polls[:11]]), None))
+    assert value.calls == 4
+    assert len(first) == 90 and first["n_so_far"].max() == 180
+    assert again["poll"].tolist() == polls["poll"].tolist() and again["gap_so_far"].tolist() == [3 * i for i in range(1, 101)]
