@@ -15,13 +15,15 @@ out unseen, and the result is the same:
 Terms with equal vectors are one point that stands for its k smallest ids, so copies do not fill rings. A ring that
 is still large is dealt to several tasks by hash, and so are the queries that meet at a ring: no task holds more than
 about ``BLOCK`` terms and ``SHARD`` queries. Where vectors have no clusters, as random ones in many dimensions, nothing
-can be ruled out and every pair is met, block by block; ``NeighbourJoin.work`` says how many were.
+can be ruled out and every pair is met, block by block; ``NeighbourJoin.work`` says how many were. If then the queries are
+many, each would be sent to each block: blocks that are open to most queries are put together, up to ``JOINED`` terms
+and queries a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,9 @@ from .order import first_per_group
 #: Terms of a block and queries of a shard, about.
 BLOCK = 1_024
 SHARD = 4_096
+#: Rows of a side where blocks are put together, at most; smaller tables make ``SIDES`` parts.
+JOINED = 32_768
+SIDES = 8
 #: Bounds of what travels: pivots, the sample they are learned from, and rings.
 MOST_PIVOTS = 1_024
 SAMPLE = 20_000
@@ -78,7 +83,8 @@ def learn_pivots(vectors: DataFrame, vector: str, count: int, seed: int = fixed.
 
 @dataclass(frozen=True)
 class Layout:
-    """Pivots, and per ring its cell, least and greatest distance to the pivot, rows, blocks and first block."""
+    """Pivots, and per ring its cell, least and greatest distance to the pivot, rows, blocks and first block; per block
+    the part it is met in, a part being one block or several."""
 
     pivots: np.ndarray
     edges: list[np.ndarray]
@@ -89,6 +95,17 @@ class Layout:
     rows: np.ndarray
     blocks: np.ndarray
     first_block: np.ndarray
+    part: np.ndarray
+
+    def sizes(self) -> np.ndarray:
+        """Terms of each part, about."""
+        return np.bincount(self.part, weights=np.repeat(self.rows / self.blocks, self.blocks))
+
+    def joined(self, most: int) -> Layout:
+        """The same rings, neighbouring blocks put together to parts of about ``most`` terms."""
+        each = np.repeat(self.rows / self.blocks, self.blocks)
+        _, part = np.unique(((np.cumsum(each) - each / 2) // most).astype(np.int64), return_inverse=True)
+        return replace(self, part=part)
 
     def least(self, q: np.ndarray) -> np.ndarray:
         """Queries x rings: no term of the ring is nearer than this. Rings without rows are infinitely far."""
@@ -113,12 +130,13 @@ class Layout:
         np.put_along_axis(chosen, order, held < k, axis=1)
         return chosen & np.isfinite(least)
 
-    def blocks_of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, block) for each wanted ring's blocks."""
+    def parts_of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, part) for the parts of each wanted ring's blocks."""
         at, ring = np.nonzero(wanted)
         times = self.blocks[ring]
         inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        return np.repeat(at, times), np.repeat(self.first_block[ring], times) + inside
+        met = np.unique(np.repeat(at, times) * len(self.part) + self.part[np.repeat(self.first_block[ring], times) + inside])
+        return np.divmod(met, len(self.part))
 
 
 def _placed(vocab: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -167,14 +185,18 @@ def lay_out(placed: DataFrame, pivots: np.ndarray, block: int) -> tuple[Layout,
     for r in ringed.groupBy("ring").agg(F.min("gap").alias("low"), F.max("gap").alias("high"), F.count("*").alias("n")).collect():
         low[r["ring"]], high[r["ring"]], rows[r["ring"]] = r["low"], r["high"], r["n"]
     blocks = np.maximum(1, -(-rows // (2 * block)))
-    layout = Layout(pivots, edges, first_ring, np.repeat(np.arange(len(pivots)), sizes), low, high, rows, blocks, np.cumsum(blocks) - blocks)
+    layout = Layout(
+        pivots, edges, first_ring, np.repeat(np.arange(len(pivots)), sizes), low, high, rows, blocks, np.cumsum(blocks) - blocks,
+        np.arange(blocks.sum()),
+    )
     return layout, ringed
 
 
-def _dealt(points: DataFrame, layout: Layout, k: int, later: bool, shards: np.ndarray | None = None) -> DataFrame:
+def _dealt(points: DataFrame, layout: Layout, k: int, later: bool, shards: np.ndarray | None = None, whole: bool = False) -> DataFrame:
     """Where each query goes: (block, n) per task without ``shards``, else (block, shard, q_id, vector).
 
-    First to the probable rings; ``later``, with the column ``bound``, to all others not ruled out.
+    First to the probable rings; ``later``, with the column ``bound``, to all others not ruled out, or with ``whole`` to
+    all that are not ruled out.
     """
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +204,10 @@ def _dealt(points: DataFrame, layout: Layout, k: int, later: bool, shards: np.nd
             for lo in range(0, part.num_rows, 512):
                 some = part.slice(lo, 512)
                 least = layout.least(_matrix(some.column(1)))
-                wanted = layout.probable(least, k)
+                wanted = np.zeros(least.shape, dtype=bool) if whole else layout.probable(least, k)
                 if later:
                     wanted = ~wanted & (least <= some.column(2).to_numpy()[:, None]) & np.isfinite(least)
-                at, block = layout.blocks_of(wanted)
+                at, block = layout.parts_of(wanted)
                 if shards is None:
                     block, n = np.unique(block, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(n, pa.int64())], ["block", "n"])
@@ -207,14 +229,25 @@ def _dealt(points: DataFrame, layout: Layout, k: int, later: bool, shards: np.nd
 _FOUND = "q_id bigint, term_id bigint, distance double"
 
 
-def _scan(points: DataFrame, ringed: DataFrame, layout: Layout, k: int, later: bool) -> tuple[DataFrame, DataFrame]:
-    """(found, visits): up to k terms per query and block, and the queries of each block. Visits are stored."""
-    visits = cut_lineage(_dealt(points, layout, k, later).groupBy("block").agg(F.sum("n").alias("n")))
-    counts = np.zeros(int(layout.blocks.sum()), dtype=np.int64)
-    for r in visits.collect():  # a row per block
-        counts[r["block"]] = r["n"]
-    shards = np.maximum(1, -(-counts // SHARD))
-    queries = _dealt(points, layout, k, later, shards)
+def _scan(points: DataFrame, ringed: DataFrame, layout: Layout, k: int, later: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """(found, met, whole): up to k terms per query and part; queries, and about how many terms, that met there; and
+    whether the queries went to the rings met first once more, since those are part of larger ones now."""
+
+    def visited() -> tuple[DataFrame, np.ndarray]:
+        visits = cut_lineage(_dealt(points, layout, k, later, whole=whole).groupBy("block").agg(F.sum("n").alias("n")))
+        counts = np.zeros(len(layout.sizes()), dtype=np.int64)
+        for r in visits.collect():  # a row per part
+            counts[r["block"]] = r["n"]
+        return visits, counts
+
+    whole, shard = False, SHARD
+    visits, counts = visited()
+    if later and counts.max(initial=0) > SHARD and 2 * counts.sum() > (asked := points.count()) * np.count_nonzero(layout.sizes()):
+        whole, shard = True, max(SHARD, min(JOINED, asked // SIDES))
+        layout = layout.joined(max(BLOCK, min(JOINED, int(layout.rows.sum()) // SIDES)))
+        visits, counts = visited()
+    shards = np.maximum(1, -(-counts // shard))
+    queries = _dealt(points, layout, k, later, shards, whole)
 
     def copies(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's terms once per shard of its queries; a block that no query visits stays behind."""
@@ -222,6 +255,7 @@ def _scan(points: DataFrame, ringed: DataFrame, layout: Layout, k: int, later: b
             ring, ids = part.column(3).to_numpy(), part.column(0)
             first = pa.compute.list_element(ids, 0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
             block = layout.first_block[ring] + (first % layout.blocks[ring].astype(np.uint64)).astype(np.int64)
+            block = layout.part[block]
             times = np.where(counts[block] > 0, shards[block], 0)
             at = np.repeat(np.arange(len(block)), times)
             shard = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
@@ -252,7 +286,9 @@ def _scan(points: DataFrame, ringed: DataFrame, layout: Layout, k: int, later: b
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names)
 
     keys = ["block", "shard"]
-    return queries.groupBy(*keys).cogroup(terms.groupBy(*keys)).applyInArrow(best, _FOUND), visits
+    sizes = ringed.sparkSession.createDataFrame([(b, float(n)) for b, n in enumerate(layout.sizes())], "block int, terms double")
+    met = visits.join(F.broadcast(sizes), "block")
+    return queries.groupBy(*keys).cogroup(terms.groupBy(*keys)).applyInArrow(best, _FOUND), met, whole
 
 
 @dataclass(frozen=True)
@@ -286,7 +322,7 @@ def nearest(points: DataFrame, vocab: DataFrame, k: int = fixed.NEAREST_TERMS, b
     pivots = learn_pivots(distinct, "embedding", min(MOST_PIVOTS, max(1, 2 * n // block)))
     layout, ringed = lay_out(cut_lineage(_placed(distinct, pivots)), pivots, block)
 
-    first, visits = _scan(asked, ringed, layout, k, later=False)
+    first, visits, _ = _scan(asked, ringed, layout, k, later=False)
     first = cut_lineage(first)
     # A query met two rings or so, each handing on k rows at most, and the further ids of equal vectors.
     place = Window.partitionBy("q_id").orderBy("distance", "term_id")
@@ -294,14 +330,10 @@ def nearest(points: DataFrame, vocab: DataFrame, k: int = fixed.NEAREST_TERMS, b
         F.when(F.count("*") == k, F.max("distance")).otherwise(float("inf")).alias("bound")
     )
     bounded = cut_lineage(asked.join(kth, "q_id").select("q_id", "vector", "bound"))
-    rest, more = _scan(bounded, ringed, layout, k, later=True)
-    rows = first_per_group(first.unionByName(rest), ["q_id"], [F.col("distance"), F.col("term_id")], k)
+    rest, more, whole = _scan(bounded, ringed, layout, k, later=True)
+    rows = first_per_group(rest if whole else first.unionByName(rest), ["q_id"], [F.col("distance"), F.col("term_id")], k)
 
-    sizes = ringed.sparkSession.createDataFrame(
-        [(int(b), float(layout.rows[r] / layout.blocks[r])) for r in range(len(layout.rows)) for b in range(layout.first_block[r], layout.first_block[r] + layout.blocks[r])],
-        "block int, terms double",
-    )
-    pairs = visits.unionByName(more).join(F.broadcast(sizes), "block").agg(F.round(F.sum(F.col("n") * F.col("terms"))).cast("bigint").alias("pairs"))
+    pairs = visits.unionByName(more).agg(F.round(F.sum(F.col("n") * F.col("terms"))).cast("bigint").alias("pairs"))
     work = asked.agg(F.count("*").alias("queries")).crossJoin(pairs).select(
         "queries", F.lit(n).cast("bigint").alias("terms"), F.coalesce("pairs", F.lit(0)).alias("pairs"),
         F.try_divide(F.col("pairs").cast("double"), F.col("queries") * F.lit(float(n))).alias("share"),

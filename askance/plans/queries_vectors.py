@@ -216,7 +216,7 @@ _ORACLE_ASKED = s_fill(fixed.PASSAGE_PROMPT, question=s_fill(fixed.OPEN_QUESTION
     "config_sweep",
     f"WITH {QUESTIONS}, w AS (SELECT unnest({fixed.QUESTION_WORDS}) AS word), {_S_CONFIGS}, {_TOPICS}, {_S_POLLED}, "
     f"tp4 AS (SELECT 'open' AS method, {_ASKED_OPEN} AS prompt FROM q UNION ALL SELECT 'induced', {_ASKED_INDUCED} FROM q, w "
-    f"UNION ALL SELECT 'oracle', {_ORACLE_ASKED} || '...' FROM tp WHERE q_id % 50 = 0 UNION ALL SELECT 'external', prompt FROM ext), "
+    f"UNION ALL SELECT 'oracle', {_ORACLE_ASKED} || '...' FROM tp UNION ALL SELECT 'external', prompt FROM ext), "
     f"src AS (SELECT run, prompt, false AS hallucinated FROM tp4 JOIN cf USING (method)), rep AS ({s_report('run', 'src')}), ms AS ({_R6_MEASURES}) "
     "SELECT run_id, model, method, temperature, n_questions, n_hallucinated, n_distinct, knowledge_limit_awareness_score, brevity_coefficient "
     "FROM ms JOIN cf ON run = run_id",
@@ -226,7 +226,7 @@ def config_sweep(spark, sf):
     configs = spark.createDataFrame(CONFIGS, "run_id string, model string, method string, temperature double")
     points = _points(spark, sf)
     vocab = _vocab(spark, sf)
-    near = cells.nearest(points.filter(F.col("q_id") % 50 == 0), vocab).rows
+    near = cells.nearest(points, vocab).rows
     topics = sweep.method_topics(
         t.questions(spark, sf).select("q_id"), neighbours.pick_topics(near, vocab, fixed.EVAL_SEED), _polled(spark, sf)
     )

@@ -76,6 +76,24 @@ def test_queries_of_one_block_are_sharded(spark, monkeypatch):
     assert got == plain(points, terms, 5)
 
 
+def test_many_queries_of_open_blocks_meet_them_together(spark, monkeypatch):
+    """Without clusters every query goes to nearly every block: once per part, and no term is found twice."""
+    dealt = []
+
+    def seen(points, layout, k, later, shards=None, whole=False, deal=cells._dealt):
+        dealt.append((whole, len(layout.sizes())))
+        return deal(points, layout, k, later, shards, whole)
+
+    for name, value in {"SHARD": 64, "BLOCK": 64, "SIDES": 3, "_dealt": seen}.items():
+        monkeypatch.setattr(cells, name, value)
+    terms = [(i, np.random.default_rng(i).normal(size=32).tolist()) for i in range(300)]
+    terms += [(300 + i, terms[i][1]) for i in range(20)]
+    got, found = joined(spark, terms, terms, 10, 16)
+    assert got == plain(terms, terms, 10)
+    assert dealt[-1][0] and dealt[-1][1] <= 6 < dealt[0][1]
+    assert 0 < found.work.first().share <= 1.5
+
+
 def test_same_rows_as_the_block_join(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vector"))
     terms = rows.select(F.col("q_id").alias("term_id"), F.col("vector").alias("embedding"))

@@ -135,3 +135,28 @@ def test_rollup_levels_tell_subtotals_from_null_groups(spark):
     assert (total.n_runs, total.n_questions, total.n_hallucinated, total.knowledge_limit_awareness_score) == (3, 4, 2, 0.5)
     assert total.brevity_coefficient == pytest.approx(1.5 - 65 / 100) and got[1, "m2", None].brevity_coefficient == 0.0
     assert report.rollup_report(report.run_sums(scored.limit(0), "model", "method"), "model", "method").count() <= 1
+
+
+def test_config_sweep_asks_about_every_vector(spark, tmp_path):
+    import datetime
+
+    import duckdb
+    from oracle_compare import compare
+
+    from askance.plans.catalog import CHECKS, QUERIES
+    from askance.schema import TABLES
+
+    rows = {
+        "embeddings": [(i, [float(i), float(i % 3), 1.0], i % 2) for i in range(1, 14)],
+        "part": [(2, "cold widget", "Brand#1", "ECONOMY", 1, 1.0)],
+        "conversations": [(1, 0, "user", "why?"), (1, 1, "assistant", "because.")],
+        "events": [(1, datetime.datetime(2024, 1, 1), 1, "error", 1.0, '{"k": 87}')],
+    }
+    con = duckdb.connect()
+    for name, made in rows.items():
+        spark.createDataFrame(made, TABLES[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    problem, _, n = compare(spark, con, str(tmp_path), QUERIES["config_sweep"], CHECKS["config_sweep"])
+    assert problem is None and n == 16
+    asked = {r.run_id: r.n_questions for r in QUERIES["config_sweep"](spark, str(tmp_path)).collect()}
+    assert asked["baseline|oracle|0.5"] == 13
