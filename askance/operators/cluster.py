@@ -9,16 +9,19 @@ group only, its densest points are the cluster and all others outliers.
 Three facts keep this a table job.
 
 * Equal questions are one point with a count, so copies never meet each other.
-* The minimum spanning tree of a graph lies inside the union of the trees of any subgraphs that
-  cover its edges. Points are cut into blocks by hash, each pair of blocks gives its own small
-  tree, and only tree edges leave a task: about n per block instead of one per pair of points.
+* An edge is no part of the minimum spanning tree if lighter ones already join its ends. A first
+  tree, of the edges to the nearest points and of small blocks' own trees, says for any two points
+  how light that is. Points stand in the order in which this tree merges them, so the heaviest edge
+  between two of them is the heaviest step from one place to the other. All pairs of points are met,
+  block by block, and only edges lighter than that leave a task: a few per point, not one per pair.
 * On the tree the groups are found locally. Groups under five points merge along an edge that is
   the lightest for both; any other small group hangs on its lightest edge, whose weights fall
   along the way until it ends at a big group. A big group ends at the lightest edge that leaves
   the region hanging on it, and a point belongs to it if its own edge is lighter than that.
 
 A run of at most ``BLOCK`` distinct questions needs one block and is labelled in one task. Larger
-runs take the block pairs and the joins below; nothing of theirs is gathered in one place.
+runs take the block pairs and the joins below; besides a number per point and the first tree's
+edges, nothing of theirs is gathered in one place.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -38,7 +41,12 @@ from .order import first_per_group
 from .report import question_counts
 
 BLOCK = 2_048
+#: Blocks of a run in the work on all pairs, while none is over so many times ``BLOCK``.
+SIDES = 8
+WIDE = 8
 NEIGHBOURS = 5
+#: Rows, pairs and edges that such a task holds at a time.
+_ROWS, _EXACT, _HELD = 256, 65_536, 1_000_000
 GROUP = fixed.MIN_CLUSTER_SIZE
 
 _LABELS = "run_id string, pid string, copies bigint, cluster string"
@@ -210,16 +218,29 @@ def label_block(pdf: pd.DataFrame) -> pd.DataFrame:
 # ---- runs over one block ------------------------------------------------------------------
 
 
+def _sides(rows: Column, block: int) -> Column:
+    """Blocks of a run of so many points: the pairs of blocks give tasks enough, and a point's copies stay few."""
+    return F.least(F.ceil(rows / block), F.greatest(F.lit(SIDES), F.ceil(rows / (WIDE * block)))).cast("int")
+
+
 def _block_pairs(points: DataFrame, block: int) -> DataFrame:
     """Each point once per pair of blocks its own block is part of: (.., own, a, b)."""
-    sizes = points.groupBy("run_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = points.groupBy("run_id").agg(_sides(F.count("*"), block).alias("blocks"))
     placed = points.join(sizes, "run_id").withColumn("own", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int"))
     spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return spread.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("blocks", "other")
 
 
-def core_distances(points: DataFrame, block: int = BLOCK, k: int = NEIGHBOURS) -> DataFrame:
-    """(run_id, pid, core): each pair of blocks gives a point its nearest few, the nearest of all count."""
+def _dealt(pairs: DataFrame):
+    """Block pairs as groups, over so many tasks that few meet in one: small as they are in bytes, they are most of the work."""
+    spark = pairs.sparkSession
+    tasks = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.repartition(tasks, "run_id", "a", "b").groupBy("run_id", "a", "b")
+
+
+def _near(points: DataFrame, block: int = BLOCK, k: int = NEIGHBOURS) -> DataFrame:
+    """(run_id, pid, near, times, d, rank): each point's nearest few others; each pair of blocks gives some, the nearest of all stay."""
+    kind = points.schema["pid"].dataType.simpleString()
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -249,10 +270,13 @@ def core_distances(points: DataFrame, block: int = BLOCK, k: int = NEIGHBOURS) -
             )
         return pd.concat(out) if out else pd.DataFrame(columns=["run_id", "pid", "near", "times", "d"])
 
-    pairs = _block_pairs(points, block)
-    found = pairs.groupBy("run_id", "a", "b").applyInPandas(near, "run_id string, pid string, near string, times bigint, d double")
-    kept = first_per_group(found, ["run_id", "pid"], [F.col("d"), F.col("near")], k)
-    listed = kept.groupBy("run_id", "pid").agg(F.sort_array(F.collect_list(F.struct("rank", "d", "times"))).alias("n"))
+    found = _dealt(_block_pairs(points, block)).applyInPandas(near, f"run_id string, pid {kind}, near {kind}, times bigint, d double")
+    return first_per_group(found, ["run_id", "pid"], [F.col("d"), F.col("near")], k)
+
+
+def core_distances(points: DataFrame, near: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """(run_id, pid, core) from the nearest others of each point, copies counted."""
+    listed = near.groupBy("run_id", "pid").agg(F.sort_array(F.collect_list(F.struct("rank", "d", "times"))).alias("n"))
     own = _meet(points.select("run_id", "pid", "copies"), listed, ["run_id", "pid"])
     walk = F.aggregate(
         "n",
@@ -264,20 +288,167 @@ def core_distances(points: DataFrame, block: int = BLOCK, k: int = NEIGHBOURS) -
     return own.select("run_id", "pid", walk["d"].alias("core"))
 
 
-def _candidate_edges(points: DataFrame, block: int) -> DataFrame:
-    """(run_id, w, u, v): the spanning-tree edges of every pair of blocks."""
+def _first_edges(points: DataFrame, near: DataFrame, block: int) -> DataFrame:
+    """(run_id, w, u, v): edges to the nearest points, and the trees of small blocks, which join what lies far apart."""
 
     def trees(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("pid").sort_values("pid", kind="stable").reset_index(drop=True)
-        vectors, core, pids = _vectors(pdf), pdf["core"].to_numpy(), pdf["pid"].tolist()
-        rows = [(w, *sorted((pids[i], pids[j]))) for w, i, j in _pair_tree(vectors, core)]
-        out = pd.DataFrame(rows, columns=["w", "u", "v"])
-        out.insert(0, "run_id", pdf["run_id"].iloc[0])
-        return out
+        pdf = pdf.sort_values("pid").reset_index(drop=True)
+        pids = pdf["pid"].to_numpy()
+        edges = _pair_tree(_vectors(pdf), pdf["core"].to_numpy())
+        ends = np.sort(pids[np.array([e[1:] for e in edges], dtype=np.int64).reshape(-1, 2)], axis=1)
+        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "w": [e[0] for e in edges], "u": ends[:, 0], "v": ends[:, 1]})
+
+    sizes = points.groupBy("run_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = points.join(sizes, "run_id").withColumn("own", F.pmod(F.xxhash64("pid"), F.col("blocks")))
+    own = placed.groupBy("run_id", "own").applyInPandas(trees, "run_id string, w double, u int, v int")
+    core = points.select("run_id", F.col("pid").alias("near"), F.col("core").alias("far"))
+    met = _meet(_meet(near.select("run_id", "pid", "near", "d"), points.select("run_id", "pid", "core"), ["run_id", "pid"]), core, ["run_id", "near"])
+    return met.select(
+        "run_id", F.greatest("d", "core", "far").alias("w"), F.least("pid", "near").alias("u"), F.greatest("pid", "near").alias("v")
+    ).unionByName(own).distinct()
+
+
+def _kruskal(w: np.ndarray, u: np.ndarray, v: np.ndarray, n: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(edges, order, step): the forest's edges from light to heavy; the points so that each merged group stands together;
+    and per place which of the edges, by number in ``edges``, merged it with the next one, -1 between trees."""
+    up, size, tail = list(range(n)), [1] * n, list(range(n))
+    after, by, edges = [-1] * n, [-1] * n, []
+    for e, a, b in zip((at := np.lexsort((v, u, w))).tolist(), u[at].tolist(), v[at].tolist()):
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        while up[b] != b:
+            up[b] = up[up[b]]
+            b = up[b]
+        if a == b:
+            continue
+        if size[a] < size[b]:
+            a, b = b, a
+        # A root is the first point of its group.
+        after[tail[a]], by[tail[a]], tail[a] = b, len(edges), tail[b]
+        up[b] = a
+        size[a] += size[b]
+        edges.append(e)
+    order = []
+    for i in range(n):
+        if up[i] == i:
+            while i >= 0:
+                order.append(i)
+                i = after[i]
+    order = np.array(order, dtype=np.int64)
+    return edges, order, np.array(by, dtype=np.int64)[order]
 
-    return _block_pairs(points, block).groupBy("run_id", "a", "b").applyInPandas(
-        trees, "run_id string, w double, u string, v string"
-    ).distinct()
+
+def _merged_order(block: int):
+    """A run's first edges to (run_id, pid, pos, own, w, u, v, limit).
+
+    ``pos``: the point's place in merging order, ``own`` its block of neighbouring places. ``w, u, v``: the tree's edge that
+    merged it with the next place. ``limit``: per block the heaviest edge, with its number from light to heavy, on the way to
+    the block's first place, or for a block before ``own`` to the first place of ``own``; for ``own`` the edge to the next place.
+    """
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, u, v = (pdf[c].to_numpy() for c in ("w", "u", "v"))
+        n = int(v.max()) + 1
+        edges, order, step = _kruskal(w, u, v, n)
+        # Number len(edges) stands for no way at all, -1 for no step.
+        edge = [np.r_[w[edges], np.inf, 0.0], np.r_[u[edges], -1, -1].astype(np.int32), np.r_[v[edges], -1, -1].astype(np.int32)]
+        step = np.where(step < 0, len(edges), step)
+        sides = min(-(-n // block), max(SIDES, -(-n // (WIDE * block))))
+        start = -(-np.arange(sides + 1) * n // sides)
+        own = np.repeat(np.arange(sides), np.diff(start))
+        limit = np.full((n, sides), -1, dtype=np.int32)
+        for c in range(sides):
+            lo, hi = start[c], start[c + 1]
+            limit[lo:hi, c] = step[lo:hi]
+            limit[lo + 1 : hi, :c] = np.maximum.accumulate(step[lo : hi - 1])[:, None]
+            way = np.maximum.accumulate(step[lo:hi][::-1])[::-1]
+            for later in range(c + 1, sides):
+                limit[lo:hi, later] = way
+                way = np.maximum(way, step[start[later] : start[later + 1]].max())
+        return pd.DataFrame(
+            {
+                "run_id": pdf["run_id"].iloc[0], "pid": order, "pos": np.arange(n), "own": own,
+                **{c: col[step] for c, col in zip("wuv", edge)},
+                "n": list(limit), **{f"l{c}": list(col[limit]) for c, col in zip("wuv", edge)},
+            }
+        )
+
+    return order
+
+
+_ORDERED = (
+    "run_id string, pid int, pos int, own int, w double, u int, v int, "
+    "n array<int>, lw array<double>, lu array<int>, lv array<int>"
+)
+
+
+def _forest(edges: np.ndarray) -> np.ndarray:
+    """The spanning forest of edges given as rows (w, u, v)."""
+    points, ends = np.unique(edges[:, 1:], return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    return edges[_kruskal(edges[:, 0], u, v, len(points))[0]]
+
+
+def _lighter(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(run_id, w, u, v): of a pair of blocks the edges that are lighter than the first tree's way between their ends.
+
+    Single precision, with twice its possible error to spare, says which distances can be; the others are not worked out.
+    """
+    pdf = pdf.sort_values("pos")
+    same = pdf["a"].iloc[0] == pdf["b"].iloc[0]
+    left = pdf[pdf["own"] == pdf["a"]]
+    right = left if same else pdf[pdf["own"] == pdf["b"]]
+    (a, b), both = (_vectors(left), _vectors(right)), pd.concat([left, right])
+    pid, core, rank, lw, lu, lv = (both[c].to_numpy() for c in ("pid", "core", "n", "lw", "lu", "lv"))
+    scale = float(max(np.abs(a).max(initial=0.0), np.abs(b).max(initial=0.0))) or 1.0
+    small, few = (a / scale).astype(np.float32), (b / scale).astype(np.float32)
+    square, squares = np.einsum("ij,ij->i", small, small), np.einsum("ij,ij->i", few, few)
+    spare = np.float32((a.shape[1] + 16) * 8 * np.finfo(np.float32).eps * (float(max(square.max(), squares.max())) + 1e-30))
+    few = np.ascontiguousarray(few.T) * np.float32(-2)
+    most = ((lw / scale) ** 2).astype(np.float32) * np.float32(1 + 1e-6) + spare
+    n, held, found = len(left), [], np.empty((0, 3))
+    if same:  # steps from light to heavy
+        steps = np.argsort(rank[: n - 1], kind="stable")
+        number, limit = np.empty(n - 1, dtype=np.int64), most[steps]
+        number[steps] = np.arange(n - 1)
+
+    def keep(at: np.ndarray, to: np.ndarray, heaviest: np.ndarray) -> None:
+        for i in range(0, len(at), _EXACT):
+            x, y, h = at[i : i + _EXACT], to[i : i + _EXACT], heaviest[i : i + _EXACT]
+            w = np.maximum(np.sqrt(((b[y] - a[x]) ** 2).sum(axis=1)), np.maximum(core[x], core[n + y]))
+            u, v = np.minimum(pid[x], pid[n + y]), np.maximum(pid[x], pid[n + y])
+            less = (w < lw[h]) | ((w == lw[h]) & ((u < lu[h]) | ((u == lu[h]) & (v < lv[h]))))
+            held.append(np.column_stack([w[less], u[less], v[less]]))
+
+    for lo in range(0, n, _ROWS):
+        rough = small[lo : lo + _ROWS] @ few
+        rough += squares
+        rough += square[lo : lo + _ROWS, None]
+        if same:
+            for i in range(lo, min(lo + _ROWS, n - 1)):
+                way = np.maximum.accumulate(number[i:])
+                to = np.flatnonzero(rough[i - lo, i + 1 :] <= limit[way])
+                keep(np.full(len(to), i), i + 1 + to, steps[way[to]])
+        else:
+            at, to = np.divmod(np.flatnonzero(rough <= np.maximum(most[lo : min(lo + _ROWS, n), None], most[n:])), len(right))
+            at += lo
+            keep(at, to, np.where(rank[at] >= rank[n + to], at, n + to))
+        if lo + _ROWS >= n or sum(map(len, held)) > _HELD:
+            found, held = np.concatenate([found, *held]), []
+            found = _forest(found) if len(found) > _HELD else found
+    return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "w": found[:, 0], "u": found[:, 1].astype(np.int64), "v": found[:, 2].astype(np.int64)})
+
+
+def _candidate_edges(points: DataFrame, near: DataFrame, block: int) -> DataFrame:
+    """(run_id, w, u, v): the first tree's edges, and all others lighter than its way between their ends."""
+    first = _first_edges(points, near, block)
+    ordered = cut_lineage(first.groupBy("run_id").applyInPandas(_merged_order(block), _ORDERED))
+    placed = _meet(points.select("run_id", "pid", "core", "vector"), ordered.drop("w", "u", "v"), ["run_id", "pid"])
+    spread = placed.select("run_id", "pid", "core", "vector", "pos", "own", F.posexplode(F.arrays_zip("n", "lw", "lu", "lv")).alias("other", "limit"))
+    pairs = spread.select("*", "limit.*", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).drop("other", "limit")
+    lighter = _dealt(pairs).applyInPandas(_lighter, "run_id string, w double, u int, v int")
+    return ordered.filter("u >= 0").select("run_id", "w", "u", "v").unionByName(lighter)
 
 
 def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -419,10 +590,19 @@ def labels(points: DataFrame, block: int = BLOCK) -> DataFrame:
     if over.isEmpty():
         return points.groupBy("run_id").applyInPandas(label_block, _LABELS)
     small = points.join(over, "run_id", "left_anti").groupBy("run_id").applyInPandas(label_block, _LABELS)
-    large = cut_lineage(points.join(over, "run_id", "left_semi"))
-    cored = cut_lineage(_meet(large, core_distances(large, block), ["run_id", "pid"]))
-    tree = cut_lineage(spanning_tree(cored, cut_lineage(_candidate_edges(cored, block))))
-    return small.unionByName(tree_labels(cored, tree))
+    # Points go by number, in the order of their names.
+    number = (F.row_number().over(Window.partitionBy("run_id").orderBy("pid")) - 1).cast("int")
+    large = cut_lineage(points.join(over, "run_id", "left_semi").withColumn("number", number))
+    named = large.select("run_id", F.col("number").alias("pid"), F.col("pid").alias("name"))
+    large = large.select("run_id", F.col("number").alias("pid"), "copies", "vector")
+    near = cut_lineage(_near(large, block))
+    cored = cut_lineage(_meet(large, core_distances(large, near), ["run_id", "pid"]))
+    tree = cut_lineage(spanning_tree(cored, cut_lineage(_candidate_edges(cored, near, block))))
+    found = _meet(tree_labels(cored, tree), named, ["run_id", "pid"])
+    group = named.select("run_id", F.col("pid").alias("cluster"), F.col("name").alias("group"))
+    return small.unionByName(
+        _meet(found, group, ["run_id", "cluster"], "left").select("run_id", F.col("name").alias("pid"), "copies", F.col("group").alias("cluster"))
+    )
 
 
 def cluster_counts(labelled: DataFrame) -> DataFrame:

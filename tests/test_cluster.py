@@ -162,3 +162,54 @@ def test_rounds_stay_among_the_executors(spark):
     ends = cluster._ends(tree, home)
     assert ends.count() == 2
     assert "Broadcast" not in ends._jdf.queryExecution().toString()
+
+
+def test_few_edges_leave_the_block_pairs_and_the_tree_is_the_dense_one(spark, monkeypatch):
+    """Ties, equal points and groups far apart: however many blocks, a few candidates per point, and the same tree."""
+    rng = np.random.default_rng(11)
+    spread = np.concatenate([np.round(rng.normal(c, 1.0, (120, 2)), 1) for c in (0, 40)] + [rng.normal(90, 4, (60, 2))])
+    copies = np.r_[np.ones(290, dtype=int), np.full(10, 3)]
+    met = {}
+
+    def spy(points, candidates, tree=cluster.spanning_tree):
+        met["edges"], met["tree"] = candidates.count(), tree(points, candidates)
+        return met["tree"]
+
+    monkeypatch.setattr(cluster, "spanning_tree", spy)
+    points = spark.createDataFrame(as_rows(spread, copies), SCHEMA)
+    got = cluster.labels(points, block=12).orderBy("pid").collect()
+    assert met["edges"] < 5 * len(spread)
+    dist = cluster._distances(spread, spread)
+    core = cluster._core(dist, copies, 5)
+    want = cluster._tree(np.maximum(dist, np.maximum(core[:, None], core[None, :])))
+    assert {(r.w, r.u, r.v) for r in met["tree"].collect()} == {(w, *sorted((a, b))) for w, a, b in want}
+    one = cluster.labels(points).orderBy("pid").collect()
+    assert same_up_to_names([r.cluster for r in got], [r.cluster for r in one])
+
+
+def test_pairs_lighter_than_the_first_tree_hold_the_tree(monkeypatch):
+    """Also from a poor first tree, a chain or two chains without a link, and when more is found than may be held."""
+    import pandas as pd
+
+    v = np.random.default_rng(3).normal(size=(90, 4))
+    dist = cluster._distances(v, v)
+    core = np.sort(dist, axis=1)[:, 5]
+    reach = np.maximum(dist, np.maximum(core[:, None], core[None, :]))
+    want = {(w, *sorted((a, b))) for w, a, b in cluster._tree(reach)}
+    for held in (1_000_000, 5):
+        for name, value in {"_HELD": held, "_ROWS": 4, "_EXACT": 7}.items():
+            monkeypatch.setattr(cluster, name, value)
+        for cut in (89, 40):
+            u = np.array([i for i in range(89) if i != cut])
+            first = pd.DataFrame({"run_id": "r", "w": reach[u, u + 1], "u": u, "v": u + 1})
+            rows = cluster._merged_order(12)(first)
+            rows["core"], rows["vector"] = core[rows["pid"]], list(v[rows["pid"]])
+            edges = [first[["w", "u", "v"]].to_numpy()]
+            for a in range(8):
+                for b in range(a, 8):
+                    pair = rows[rows["own"].isin([a, b])].assign(a=a, b=b)
+                    for c in ("n", "lw", "lu", "lv"):
+                        pair[c] = [x[b if own == a else a] for x, own in zip(pair[c], pair["own"])]
+                    edges.append(cluster._lighter(pair)[["w", "u", "v"]].to_numpy())
+            tree = cluster._forest(np.concatenate(edges))
+            assert {(w, int(x), int(y)) for w, x, y in tree} == want
