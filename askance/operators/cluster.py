@@ -41,7 +41,7 @@ from .order import first_per_group
 from .report import question_counts
 
 BLOCK = 2_048
-#: Blocks of a run in the work on all pairs, while none is over so many times ``BLOCK``.
+#: Blocks of a run in the work on all pairs, more when one would be over ``WIDE`` times ``BLOCK``.
 SIDES = 8
 WIDE = 8
 NEIGHBOURS = 5
@@ -220,7 +220,7 @@ def label_block(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _sides(rows: Column, block: int) -> Column:
     """Blocks of a run of so many points: the pairs of blocks give tasks enough, and a point's copies stay few."""
-    return F.least(F.ceil(rows / block), F.greatest(F.lit(SIDES), F.ceil(rows / (WIDE * block)))).cast("int")
+    return F.least(rows, F.greatest(F.lit(SIDES), F.ceil(rows / (WIDE * block)))).cast("int")
 
 
 def _block_pairs(points: DataFrame, block: int) -> DataFrame:
@@ -354,7 +354,7 @@ def _merged_order(block: int):
         # Number len(edges) stands for no way at all, -1 for no step.
         edge = [np.r_[w[edges], np.inf, 0.0], np.r_[u[edges], -1, -1].astype(np.int32), np.r_[v[edges], -1, -1].astype(np.int32)]
         step = np.where(step < 0, len(edges), step)
-        sides = min(-(-n // block), max(SIDES, -(-n // (WIDE * block))))
+        sides = min(n, max(SIDES, -(-n // (WIDE * block))))
         start = -(-np.arange(sides + 1) * n // sides)
         own = np.repeat(np.arange(sides), np.diff(start))
         limit = np.full((n, sides), -1, dtype=np.int32)
